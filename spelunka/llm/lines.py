@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spelunka.llm.common import column, documents, durable, slices
 
@@ -210,13 +211,15 @@ def _hashed_lines(batch, least: int):
 def _emit(batch, split, dropped: dict[int, set]):
     kept = [b"\n".join(x for j, x in enumerate(lines) if j not in dropped[i]) if i in dropped else b"\n".join(lines) for i, lines in enumerate(split)]
     null = [not column(batch, "text")[i].is_valid and i not in dropped for i in range(len(split))]
+    carried = [c for c in batch.schema.names if c.startswith(CARRIED)]
     return pa.RecordBatch.from_arrays(
-        [column(batch, "id"), pa.array([len(x) for x in split], pa.int64()), pa.array([len(dropped.get(i, ())) for i in range(len(split))], pa.int64()), pa.array([None if z else k.decode() for k, z in zip(kept, null)], pa.string()), column(batch, "row")],
-        ["id", "n_lines", "n_dropped", "kept", "row"],
+        [column(batch, "id"), pa.array([len(x) for x in split], pa.int64()), pa.array([len(dropped.get(i, ())) for i in range(len(split))], pa.int64()), pa.array([None if z else k.decode() for k, z in zip(kept, null)], pa.string()), *(column(batch, c) for c in carried)],
+        ["id", "n_lines", "n_dropped", "kept", *carried],
     )
 
 
-OUT = "id long, n_lines long, n_dropped long, kept string, row binary"
+OUT = "id long, n_lines long, n_dropped long, kept string"
+CARRIED = "__carried_"
 
 
 def _prober(arrays, least: int, shards: int):
@@ -295,27 +298,29 @@ def _joiner(least: int):
     return work
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, salts: int = SALTS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """id, n_lines (before dropping), n_dropped and kept (the text that is left; null where the text was null)."""
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, salts: int = SALTS, shard_keys: int = SHARD_KEYS, carry: list[str] = ()) -> DataFrame:
+    """id, n_lines (before dropping), n_dropped, kept (the text that is left; null where the text was null), and the columns to carry, in that order."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_counter(min_length), "h1 long, h2 long, n long, last long")
+    names = {c: f"{CARRIED}{i}" for i, c in enumerate(carry)}
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in names.items()))
+    out = T.StructType([*T.StructType.fromDDL(OUT).fields, *(T.StructField(x, rows.schema[x].dataType) for x in names.values())])
+    back = lambda d: d.select("id", "n_lines", "n_dropped", "kept", *(F.col(x).alias(c) for c, x in names.items()))
+    counted = rows.select("id", "text").mapInArrow(_counter(min_length), "h1 long, h2 long, n long, last long")
     shared = durable(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_documents))
     keys = shared.count()
     shards = max(1, -(-keys // shard_keys))
     built = shared.withColumn("shard", _shard_column(shards)("h1")).groupBy("shard").applyInPandas(_builder, "shard long, seeds binary, prints binary, counts binary, lasts binary")
-    rows = rows.withColumn("row", F.lit(None).cast("binary"))
     if keys * 24 <= max_broadcast_bytes:  # eight bytes each of fingerprint and id, four of count, under two of displacements
         arrays = spark.sparkContext.broadcast([r.asDict() for r in built.collect()])
-        return rows.mapInArrow(_prober(arrays, min_length, shards), OUT).drop("row")
+        return back(rows.mapInArrow(_prober(arrays, min_length, shards), out))
     rows = rows.withColumn("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # with the id, it tells rows apart where they differ
-    lines = rows.mapInArrow(_line_rows(min_length), "id long, row binary, line long, h1 long, h2 long, spread long").dropDuplicates(["id", "row", "line"])
+    lines = rows.select("id", "text", "row").mapInArrow(_line_rows(min_length), "id long, row binary, line long, h1 long, h2 long, spread long").dropDuplicates(["id", "row", "line"])
     lines = lines.withColumns({"shard": _shard_column(shards)("h1"), "salt": F.pmod(F.xxhash64("id", "row"), F.lit(salts))}).drop("spread")
     copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     both = copies.unionByName(lines, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("seeds").isNull())
     dropped = both.mapInArrow(_streamed, "id long, row binary, line long").groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
-    joined = rows.alias("r").join(dropped.alias("d"), (F.col("r.id") == F.col("d.id")) & (F.col("r.row") == F.col("d.row")), "left").select("r.id", "r.text", "r.row", "d.lines")
-    return joined.mapInArrow(_joiner(min_length), OUT).drop("row")
+    joined = rows.alias("r").join(dropped.alias("d"), (F.col("r.id") == F.col("d.id")) & (F.col("r.row") == F.col("d.row")), "left").select("r.*", "d.lines").drop("row")
+    return back(joined.mapInArrow(_joiner(min_length), out))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
