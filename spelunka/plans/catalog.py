@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spelunka.plans import search  # noqa: F401
+from spelunka.plans import graph, search  # noqa: F401
 from spelunka.plans.base import ORACLES, QUERIES  # noqa: F401
