@@ -1,0 +1,455 @@
+"""Hygiene, packing, history and telemetry queries over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from spelunka.functions import text as X
+from spelunka.operators import graph as G
+from spelunka.operators import history as H
+from spelunka.operators import hygiene as Y
+from spelunka.operators import packing as P
+from spelunka.operators import telemetry as T
+from spelunka.plans.base import CALLS_SQL, EDGES_SQL, LINES_SQL, SYMBOLS_SQL, calls, edges, lines, query, symbols, table
+
+# -- hygiene --------------------------------------------------------------------------------------------------------------
+
+#: Files of nations: 'n<key>.py', every seventh one a test and nation 3 an entry point.
+FILE = "CASE WHEN {k} = 3 THEN 'main.py' WHEN {k} % 7 = 0 THEN 'test_n' || {k} || '.py' ELSE 'n' || {k} || '.py' END"
+
+
+def file_of(k):
+    k = F.col(k)
+    return F.when(k == 3, "main.py").when(k % 7 == 0, F.concat(F.lit("test_n"), k.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("n"), k.cast("string"), F.lit(".py")))
+
+
+FILES = f"{EDGES_SQL}, fe AS (SELECT {FILE.format(k='src')} AS src, {FILE.format(k='dst')} AS dst FROM edges), files AS (SELECT {FILE.format(k='n_nationkey')} AS file FROM nation)"
+
+
+def file_edges(spark, sf):
+    return edges(spark, sf).select(file_of("src").alias("src"), file_of("dst").alias("dst"))
+
+
+def nation_files(spark, sf):
+    return table(spark, sf, "nation").select(file_of("n_nationkey").alias("file"), "n_nationkey")
+
+
+@query("dead_files", f"WITH {FILES}, roots AS (SELECT file FROM files WHERE file = 'main.py'), imp AS (SELECT DISTINCT dst AS file FROM fe), live AS (SELECT file FROM imp UNION SELECT file FROM roots), held AS (SELECT DISTINCT dst AS file FROM fe WHERE src IN (SELECT file FROM live)) SELECT file, CASE WHEN file NOT IN (SELECT file FROM imp) THEN CASE WHEN starts_with(file, 'test_') THEN 0.9 ELSE 1.0 END ELSE 0.7 END::DOUBLE AS confidence FROM files WHERE file NOT IN (SELECT file FROM roots) AND (file NOT IN (SELECT file FROM imp) OR file NOT IN (SELECT file FROM held))")
+def dead_files(spark, sf):
+    return Y.dead_files(nation_files(spark, sf), file_edges(spark, sf))
+
+
+@query("dead_code_v2", f"WITH {SYMBOLS_SQL}, reached AS (SELECT DISTINCT p_brand AS file FROM part WHERE p_size > 48), called AS (SELECT DISTINCT p_name AS name FROM part WHERE p_type = 'PROMO' AND p_size > 40), exported AS (SELECT DISTINCT p_name AS name FROM part WHERE p_brand = 'Brand#1') SELECT id, round(((file NOT IN (SELECT file FROM reached))::INT + (name NOT IN (SELECT name FROM called))::INT + (name NOT IN (SELECT name FROM exported))::INT) / 3.0, 4) AS confidence FROM symbols WHERE (file NOT IN (SELECT file FROM reached))::INT + (name NOT IN (SELECT name FROM called))::INT + (name NOT IN (SELECT name FROM exported))::INT >= 1.5")
+def dead_code_v2(spark, sf):
+    s = symbols(spark, sf)
+    found = Y.dead_symbols(s, s.where("cyclomatic > 48"), s.where("kind = 'PROMO' and cyclomatic > 40"), s.where("file = 'Brand#1'"))
+    return found.select("id", F.round("confidence", 4).alias("confidence"))
+
+
+@query("untested_symbols", f"WITH {SYMBOLS_SQL}, imp AS (SELECT DISTINCT file FROM symbols WHERE cyclomatic = 50), named AS (SELECT DISTINCT file, name FROM symbols WHERE cyclomatic > 40) SELECT id, CASE WHEN s.file NOT IN (SELECT file FROM imp) THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN s.file NOT IN (SELECT file FROM imp) THEN 'unreached' ELSE 'imported_not_called' END AS reason FROM symbols s WHERE s.file NOT IN (SELECT file FROM imp) OR NOT EXISTS (SELECT 1 FROM named n WHERE n.file = s.file AND n.name = s.name)")
+def untested_symbols(spark, sf):
+    s = symbols(spark, sf)
+    return Y.untested(s, s.where("cyclomatic = 50"), s.where("cyclomatic > 40")).select("id", "confidence", "reason")
+
+
+@query("extraction_candidates", f"WITH {SYMBOLS_SQL}, c AS (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS callers FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 30) SELECT id, cyclomatic, callers, cyclomatic * callers AS score FROM symbols JOIN c USING (id) WHERE cyclomatic >= 20")
+def extraction_candidates(spark, sf):
+    c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("file"))
+    return Y.extraction_candidates(symbols(spark, sf), c, 20, 30).select("id", "cyclomatic", "callers", "score")
+
+
+@query("layer_violations", f"WITH {EDGES_SQL}, l AS (SELECT src, dst, CASE WHEN starts_with(src::VARCHAR, '1') THEN 'api' WHEN starts_with(src::VARCHAR, '2') THEN 'core' END AS src_layer, CASE WHEN starts_with(dst::VARCHAR, '1') THEN 'api' WHEN starts_with(dst::VARCHAR, '2') THEN 'core' END AS dst_layer FROM edges) SELECT * FROM l WHERE (src_layer = 'core' AND dst_layer = 'api') OR (src_layer = 'api' AND dst_layer = 'api')")
+def layer_violations(spark, sf):
+    return Y.layer_violations(edges(spark, sf), [("api", ["1"]), ("core", ["2"])], {"core": ["api"], "api": ["api"]})
+
+
+@query("rename_collisions", f"WITH {SYMBOLS_SQL}, imp AS (SELECT DISTINCT x.file AS src, y.file AS dst FROM symbols x JOIN symbols y ON x.name = y.name AND x.kind = y.kind AND x.cyclomatic > 47 AND y.cyclomatic > 47 AND x.file <> y.file), t AS (SELECT file AS tf FROM symbols WHERE id = 3), near AS (SELECT tf AS file FROM t UNION SELECT src FROM imp JOIN t ON dst = tf) SELECT id, name, file FROM symbols WHERE lower(name) = 'red ring' AND id <> 3 AND file IN (SELECT file FROM near)")
+def rename_collisions(spark, sf):
+    s = symbols(spark, sf)
+    few = s.where("cyclomatic > 47").select("name", "kind", "file")
+    imports = few.select("name", "kind", F.col("file").alias("src")).join(few.select("name", "kind", F.col("file").alias("dst")), ["name", "kind"]).where("src <> dst").select("src", "dst").distinct()
+    return Y.rename_collisions(s, imports, 3, "Red Ring").select("id", "name", "file")
+
+
+IMPORTS = "imports AS (SELECT p_brand AS file, lower(p_type) || '/' || p_name || '.py' AS specifier, string_split(p_name, ' ') AS names FROM part)"
+
+
+@query("find_references", f"WITH {IMPORTS} SELECT DISTINCT file, specifier, CASE WHEN list_contains(names, 'bolt') THEN 'named' ELSE 'specifier' END AS match_type FROM imports WHERE list_contains(names, 'bolt') OR regexp_extract(specifier, '([^/]*)[.]py$', 1) = 'bolt'")
+def find_references(spark, sf):
+    i = table(spark, sf, "part").select(F.col("p_brand").alias("file"), F.concat(F.lower("p_type"), F.lit("/"), "p_name", F.lit(".py")).alias("specifier"), F.split("p_name", " ").alias("names"))
+    return Y.references(i, "Bolt")
+
+
+@query("check_references", f"WITH {LINES_SQL} SELECT doc_id, line, substr(text, 1, 200) AS text FROM lines WHERE contains(lower(text), 'license') AND file NOT IN (SELECT source FROM documents WHERE lang = 'de' AND contains(text, 'MIT'))")
+def check_references(spark, sf):
+    defining = table(spark, sf, "documents").where("lang = 'de' and contains(text, 'MIT')").select(F.col("source").alias("file"))
+    return Y.content_references(lines(spark, sf), defining, "license").select("doc_id", "line", "text")
+
+
+#: Suppliers call parts by name; the supplier's nation and the part's brand are their files.
+CALL_SITES = "sites AS (SELECT DISTINCT s_suppkey + 1000000 AS caller_id, 'Brand#' || (s_nationkey + 1) AS caller_file, p_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49)"
+
+
+def call_sites(spark, sf):
+    l = table(spark, sf, "lineitem").where("l_quantity > 49").select("l_suppkey", "l_partkey").distinct()  # noqa: E741
+    s = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("caller_file"))
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"))
+    both = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return both.select((F.col("s_suppkey") + 1000000).alias("caller_id"), "caller_file", "name").distinct()
+
+
+BRAND_EDGES = EDGES_SQL + ", be AS (SELECT DISTINCT 'Brand#' || (src + 1) AS src, 'Brand#' || (dst + 1) AS dst FROM edges)"
+
+
+def brand_edges(spark, sf):
+    name = lambda c: F.concat(F.lit("Brand#"), (F.col(c) + 1).cast("string")).alias(c)
+    return edges(spark, sf).select(name("src"), name("dst"))
+
+
+@query("direct_callers", f"WITH {SYMBOLS_SQL}, {CALL_SITES}, {BRAND_EDGES} SELECT s.id AS callee_id, count(DISTINCT c.caller_id) AS callers FROM symbols s JOIN sites c USING (name) WHERE s.file = c.caller_file OR EXISTS (SELECT 1 FROM be WHERE be.src = c.caller_file AND be.dst = s.file) GROUP BY s.id")
+def direct_callers(spark, sf):
+    found = Y.callers(symbols(spark, sf), call_sites(spark, sf), brand_edges(spark, sf))
+    return found.groupBy("callee_id").agg(F.count("*").alias("callers"))
+
+
+@query("direct_callees", f"WITH {SYMBOLS_SQL}, {CALL_SITES} SELECT caller_id, resolution, count(*) AS n FROM (SELECT DISTINCT c.caller_id, s.id, CASE WHEN s.file = c.caller_file THEN 'ast_resolved' ELSE 'ast_inferred' END AS resolution FROM symbols s JOIN sites c USING (name)) GROUP BY ALL")
+def direct_callees(spark, sf):
+    return Y.callees(symbols(spark, sf), call_sites(spark, sf)).groupBy("caller_id", "resolution").agg(F.count("*").alias("n"))
+
+
+@query("combined_callers", "WITH a AS (SELECT DISTINCT l_suppkey AS caller_id, l_partkey AS callee_id, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 3 END AS p FROM lineitem) SELECT source, count(*) AS n FROM (SELECT caller_id, callee_id, CASE WHEN min(p) = 2 THEN 'ast' ELSE 'text' END AS source FROM a GROUP BY ALL) GROUP BY source")
+def combined_callers(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("caller_id"), F.col("l_partkey").alias("callee_id"), "l_returnflag")  # noqa: E741
+    return Y.combined_edges({"ast": l.where("l_returnflag = 'R'"), "text": l.where("l_returnflag <> 'R'")}).groupBy("source").agg(F.count("*").alias("n"))
+
+
+RANGES = "ranges AS (SELECT file, line AS a, end_line AS b, id FROM symbols), points AS (SELECT DISTINCT 'Brand#' || (s_nationkey + 1) AS file, s_suppkey % 150 AS pos FROM supplier)"
+
+
+def ranges(spark, sf):
+    return symbols(spark, sf).select("file", F.col("line").alias("start"), F.col("end_line").alias("end"), "id")
+
+
+def points(spark, sf):
+    return table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 1).cast("string")).alias("file"), (F.col("s_suppkey") % 150).alias("pos")).distinct()
+
+
+@query("enclosing_asof", f"WITH {SYMBOLS_SQL}, {RANGES} SELECT file, pos, id FROM (SELECT p.file, p.pos, r.id, row_number() OVER (PARTITION BY p.file, p.pos ORDER BY a DESC, b, id DESC) AS k FROM points p JOIN ranges r ON p.file = r.file AND p.pos BETWEEN a AND b) WHERE k = 1")
+def enclosing_asof(spark, sf):
+    return Y.enclosing(points(spark, sf), ranges(spark, sf))
+
+
+@query("near_symbols", f"WITH {SYMBOLS_SQL}, {RANGES} SELECT p.file, p.pos, r.id FROM points p JOIN ranges r ON p.file = r.file AND (p.pos BETWEEN a AND b OR abs(p.pos - a) <= 5)")
+def near_symbols(spark, sf):
+    return Y.near_symbols(points(spark, sf), ranges(spark, sf)).select("file", "pos", "id")
+
+
+@query("stale_references", "WITH refs AS (SELECT DISTINCT string_split(p_name, ' ')[1] || CASE WHEN p_size % 5 = 0 THEN 'x' ELSE '' END AS ref FROM part), names AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part), stale AS (SELECT ref FROM refs WHERE length(ref) > 3 AND ref NOT IN (SELECT name FROM names)), c AS (SELECT ref, name, levenshtein(ref, name) AS d FROM stale, names WHERE abs(length(ref) - length(name)) <= 3 AND levenshtein(ref, name) <= 3 AND (left(lower(ref), 2) = left(lower(name), 2) OR right(lower(ref), 2) = right(lower(name), 2))) SELECT s.ref, (SELECT name FROM c WHERE c.ref = s.ref ORDER BY d, name LIMIT 1) AS suggestion FROM stale s")
+def stale_references(spark, sf):
+    first = F.element_at(F.split("p_name", " "), 1)
+    p = table(spark, sf, "part")
+    return Y.stale_references(p.select(F.concat(first, F.when(F.col("p_size") % 5 == 0, "x").otherwise("")).alias("ref")), p.select(first.alias("name")))
+
+
+@query("dead_paths", "WITH refs AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS ref FROM pages), files AS (SELECT DISTINCT url AS file FROM pages WHERE contains(url, '/en/') AND NOT contains(url, '?') AND NOT contains(url, '#')) SELECT ref FROM refs WHERE NOT EXISTS (SELECT 1 FROM files WHERE suffix(file, ref))")
+def dead_paths(spark, sf):
+    p = table(spark, sf, "pages")
+    refs = p.select(F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("ref"))
+    return Y.dead_paths(refs, p.where("contains(url, '/en/') and not contains(url, '?') and not contains(url, '#')").select(F.col("url").alias("file")))
+
+
+@query("duplicate_runs", f"WITH {LINES_SQL}, known AS (SELECT DISTINCT text FROM lines WHERE file = 'src1' AND text <> ''), s AS (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM lines WHERE text IN (SELECT text FROM known)) SELECT doc_id AS file, min(line) AS start, count(*) AS length FROM s GROUP BY doc_id, g HAVING count(*) >= 3")
+def duplicate_runs(spark, sf):
+    own = lines(spark, sf)
+    return Y.duplicate_runs(own.select(F.col("doc_id").alias("file"), "line", "text"), own.where("file = 'src1'"))
+
+
+@query("config_bloat", "SELECT doc_id, (octet_length(encode(text)) // 4)::BIGINT AS tokens, CASE WHEN octet_length(encode(text)) // 4 > 2000 THEN 'too_long' ELSE 'ok' END AS verdict FROM documents")
+def config_bloat(spark, sf):
+    return Y.bloat(table(spark, sf, "documents"), "text").select("doc_id", "tokens", "verdict")
+
+
+# -- packing --------------------------------------------------------------------------------------------------------------
+
+
+RANKED = f"{SYMBOLS_SQL}, c AS (SELECT *, row_number() OVER (ORDER BY cyclomatic DESC, id) AS k FROM symbols ORDER BY k LIMIT 500)"
+
+
+@query("budget_pack", f"WITH RECURSIVE {RANKED}, w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS size, 0::BIGINT AS used, false AS taken UNION ALL SELECT c.k, c.id, c.byte_length, CASE WHEN used + c.byte_length <= 20000 THEN used + c.byte_length ELSE used END, used + c.byte_length <= 20000 FROM w JOIN c ON c.k = w.k + 1) SELECT id, size AS byte_length FROM w WHERE taken")
+def budget_pack(spark, sf):
+    return P.greedy_skip(symbols(spark, sf), 20_000, [F.desc("cyclomatic"), F.col("id")], "byte_length", "id", k=500)
+
+
+@query("diverse_pack", f"WITH RECURSIVE {RANKED}, w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, '' AS file, 0::BIGINT AS byte_length, 0 AS cyc, 0::BIGINT AS used, ''::VARCHAR AS held, false AS taken, 0::BIGINT AS n UNION ALL SELECT k, id, file, byte_length, cyc, CASE WHEN fits THEN used + byte_length ELSE used END, CASE WHEN fits THEN held || '|' || file || '|' ELSE held END, fits, n FROM (SELECT c.k, c.id, c.file, c.byte_length, c.cyclomatic AS cyc, used, held, len(string_split(held, '|' || c.file || '|')) - 1 AS n, used + c.byte_length <= 20000 AND len(string_split(held, '|' || c.file || '|')) - 1 < 3 AS fits FROM w JOIN c ON c.k = w.k + 1)) SELECT id, file, byte_length, cyc * pow(0.5, n) AS adjusted FROM w WHERE taken")
+def diverse_pack(spark, sf):
+    return P.diverse_pack(symbols(spark, sf), 20_000, [F.desc("cyclomatic"), F.col("id")], "byte_length", "id", "file", "cyclomatic", k=500)
+
+
+@query("snippet_budget", f"WITH {SYMBOLS_SQL}, b AS (SELECT *, sum(byte_length) OVER (PARTITION BY file ORDER BY cyclomatic DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM symbols) SELECT id, file, used::BIGINT AS used FROM b WHERE used <= 3000")
+def snippet_budget(spark, sf):
+    w = Window.partitionBy("file").orderBy(F.desc("cyclomatic"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    return symbols(spark, sf).withColumn("used", F.sum("byte_length").over(w)).where("used <= 3000").select("id", "file", "used")
+
+
+@query("prefix_budget", f"WITH {SYMBOLS_SQL} SELECT id FROM (SELECT id, sum(byte_length) OVER (ORDER BY cyclomatic DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT * FROM symbols ORDER BY cyclomatic DESC, id LIMIT 1000)) WHERE used <= 20000")
+def prefix_budget(spark, sf):
+    best = symbols(spark, sf).orderBy(F.desc("cyclomatic"), "id").limit(1000)
+    return P.prefix_pack(best, 20_000, [F.desc("cyclomatic"), F.col("id")], "byte_length").select("id")
+
+
+@query("per_file_cap", f"WITH {SYMBOLS_SQL} SELECT id, file, k, round(cyclomatic * pow(0.5, k - 1), 6) AS adjusted FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY cyclomatic DESC, id) AS k FROM symbols) WHERE k <= 3")
+def per_file_cap(spark, sf):
+    w = Window.partitionBy("file").orderBy(F.desc("cyclomatic"), "id")
+    return symbols(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 3").select("id", "file", "k", F.round(F.col("cyclomatic") * F.pow(F.lit(0.5), F.col("k") - 1), 6).alias("adjusted"))
+
+
+# -- history --------------------------------------------------------------------------------------------------------------
+
+SIDES = "a AS (SELECT p_name AS name, p_type AS kind, p_brand AS file, p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN NULL ELSE md5(p_size::VARCHAR) END AS h, p_brand AS s FROM part WHERE p_size % 2 = 0), b AS (SELECT p_name AS name, p_type AS kind, p_brand AS file, p_partkey AS id, md5(p_size::VARCHAR) AS h, p_brand AS s FROM part WHERE p_size % 3 = 0)"
+
+
+@query("symbol_diff", f"WITH {SIDES}, fa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, kind ORDER BY file, id) AS k FROM a) WHERE k = 1), fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, kind ORDER BY file, id) AS k FROM b) WHERE k = 1), j AS (SELECT coalesce(fa.name, fb.name) AS name, coalesce(fa.kind, fb.kind) AS kind, CASE WHEN fa.name IS NULL THEN 'added' WHEN fb.name IS NULL THEN 'removed' WHEN CASE WHEN coalesce(fa.h, '') <> '' THEN coalesce(fb.h, '') <> '' AND fa.h <> fb.h ELSE fa.s <> fb.s END THEN 'changed' END AS change FROM fa FULL JOIN fb ON fa.name = fb.name AND fa.kind = fb.kind) SELECT * FROM j WHERE change IS NOT NULL")
+def symbol_diff(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("signature"), "p_size")
+    digest = F.md5(F.col("p_size").cast("string").cast("binary"))
+    a = p.where("p_size % 2 = 0").withColumn("content_hash", F.when(F.col("p_size") % 9 == 0, None).otherwise(digest))
+    return H.symbol_diff(a, p.where("p_size % 3 = 0").withColumn("content_hash", digest))
+
+
+@query("change_detect", "WITH k AS (SELECT o_orderkey AS path, o_custkey AS mtime, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey % 5 <> 0), f AS (SELECT o_orderkey AS path, o_custkey + o_orderkey % 3 AS mtime, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey % 4 <> 0), j AS (SELECT coalesce(k.path, f.path) AS path, CASE WHEN k.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'deleted' WHEN k.mtime = f.mtime THEN NULL WHEN k.hash = f.hash THEN 'touched' ELSE 'changed' END AS state FROM (SELECT * FROM k WHERE hash <> '') k FULL JOIN f ON k.path = f.path) SELECT state, count(*) AS n, sum(path)::BIGINT AS paths FROM j WHERE state IS NOT NULL GROUP BY state")
+def change_detect(spark, sf):
+    o = table(spark, sf, "orders")
+    known = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("path"), F.col("o_custkey").alias("mtime"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderstatus")).alias("hash"))
+    found = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("path"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("mtime"), F.when(F.col("o_orderkey") % 7 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("hash"))
+    return H.detect_changes(known, found).groupBy("state").agg(F.count("*").alias("n"), F.sum("path").alias("paths"))
+
+
+@query("branch_overlay", "WITH d AS (SELECT DISTINCT p_brand AS file, CASE substr(p_brand, 7)::INT % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'modify' ELSE 'delete' END AS action FROM part WHERE substr(p_brand, 7)::INT % 10 < 5), rows_ AS (SELECT p_brand AS file, p_partkey AS id FROM part) SELECT file, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT file, id FROM rows_ WHERE file NOT IN (SELECT file FROM d) UNION ALL SELECT r.file, r.id + 1000000 FROM rows_ r JOIN d USING (file) WHERE action <> 'delete') GROUP BY file")
+def branch_overlay(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("id"))
+    k = F.substring("file", 7, 10).cast("int")
+    delta = rows.where(k % 10 < 5).select("file", (F.col("id") + 1000000).alias("id"), F.when(k % 3 == 0, "add").when(k % 3 == 1, "modify").otherwise("delete").alias("action"))
+    return H.compose_branch(rows, delta).groupBy("file").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("set_operations", "WITH a AS (SELECT DISTINCT p_name AS x FROM part WHERE p_size < 3), b AS (SELECT DISTINCT p_name AS x FROM part WHERE p_size > 48) SELECT 'added' AS what, x FROM (SELECT x FROM b EXCEPT SELECT x FROM a) UNION ALL SELECT 'removed', x FROM (SELECT x FROM a EXCEPT SELECT x FROM b) UNION ALL SELECT 'common', x FROM (SELECT x FROM a INTERSECT SELECT x FROM b)")
+def set_operations(spark, sf):
+    p = table(spark, sf, "part")
+    a, b = p.where("p_size < 3").select(F.col("p_name").alias("x")), p.where("p_size > 48").select(F.col("p_name").alias("x"))
+    tag = lambda d, w: d.select(F.lit(w).alias("what"), "x")
+    return tag(b.subtract(a), "added").unionByName(tag(a.subtract(b), "removed")).unionByName(tag(a.intersect(b), "common"))
+
+
+@query("overload_ordinals", "SELECT p_brand || '::' || p_name || CASE WHEN count(*) OVER (PARTITION BY p_brand, p_name) > 1 THEN '~' || row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) ELSE '' END AS unique_id FROM part")
+def overload_ordinals(spark, sf):
+    p = table(spark, sf, "part").select(F.concat("p_brand", F.lit("::"), "p_name").alias("id"), F.col("p_partkey").alias("byte_offset"))
+    return H.overload_ids(p).select("unique_id")
+
+
+@query("representative_per_file", f"WITH {SYMBOLS_SQL} SELECT file, id FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY CASE kind WHEN 'PROMO' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END, byte_length DESC, id) AS k FROM symbols) WHERE k = 1")
+def representative_per_file(spark, sf):
+    return G.representative(symbols(spark, sf), ["PROMO", "LARGE"]).select("file", "id")
+
+
+@query("repo_outline_sets", "SELECT p_brand AS file, p_type AS kind, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_brand, p_type), ())")
+def repo_outline_sets(spark, sf):
+    return H.outline(symbols(spark, sf), [["file"], ["kind"], ["file", "kind"], []]).select("file", "kind", "n")
+
+
+COMMITS = "commits AS (SELECT event_type AS file, user_id AS author, ts FROM events)"
+
+
+def commits(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_type").alias("file"), F.col("user_id").alias("author"), "ts")
+
+
+@query("churn_rate", f"WITH {COMMITS} SELECT file, count(*) AS commits, count(DISTINCT author) AS authors, min(ts) AS first_ts, max(ts) AS last_ts, round(count(*) / (30 / 7.0::DOUBLE), 2) AS per_week, CASE WHEN round(count(*) / (30 / 7.0::DOUBLE), 2) <= 1 THEN 'stable' WHEN round(count(*) / (30 / 7.0::DOUBLE), 2) <= 3 THEN 'active' ELSE 'volatile' END AS assessment FROM commits GROUP BY file")
+def churn_rate(spark, sf):
+    return H.churn(commits(spark, sf), "file", 30)
+
+
+@query("hotspots", f"WITH {SYMBOLS_SQL}, c AS (SELECT p_brand AS file, count(*) AS churn FROM part WHERE p_size > 40 GROUP BY p_brand), h AS (SELECT id, file, round(cyclomatic * ln(1 + coalesce(churn, 0)), 4) AS hotspot FROM symbols LEFT JOIN c USING (file) WHERE cyclomatic >= 2) SELECT id, file, hotspot, CASE WHEN hotspot > 10 THEN 'high' WHEN hotspot > 3 THEN 'medium' ELSE 'low' END AS assessment FROM h ORDER BY hotspot DESC, id LIMIT 20")
+def hotspots(spark, sf):
+    s = symbols(spark, sf)
+    churned = s.where("cyclomatic > 40").groupBy("file").agg(F.count("*").alias("churn"))
+    return H.hotspots(s, churned).select("id", "file", "hotspot", "assessment")
+
+
+@query("pr_risk", """WITH s AS (SELECT p_brand, count(*) AS changed, max(p_size) AS max_complexity, avg(p_size) AS avg_churn, count(*) FILTER (WHERE p_type = 'PROMO') * 1.0::DOUBLE / count(*) AS untested_ratio, count(*) FILTER (WHERE p_size > 25) AS blast, (SELECT count(*) FROM part) AS total FROM part GROUP BY p_brand),
+r AS (SELECT p_brand AS file, round(0.3 * least(1, greatest(0, 1 - exp(-5.0 * blast / greatest(total, 1)))) + 0.25 * least(1, ln(1 + max_complexity) / ln(31)) + 0.15 * least(1, ln(1 + avg_churn) / ln(26)) + 0.2 * least(1, untested_ratio) + 0.1 * least(1, ln(1 + changed) / ln(61)), 4) AS risk FROM s) SELECT file, risk, CASE WHEN risk <= 0.25 THEN 'low' WHEN risk <= 0.5 THEN 'medium' WHEN risk <= 0.75 THEN 'high' ELSE 'critical' END AS level FROM r""")
+def pr_risk(spark, sf):
+    s = symbols(spark, sf)
+    per = s.groupBy("file").agg(F.count("*").alias("changed"), F.max("cyclomatic").alias("max_complexity"), F.avg("cyclomatic").alias("avg_churn"), (F.count_if(F.col("kind") == "PROMO") / F.count("*")).alias("untested_ratio"), F.count_if(F.col("cyclomatic") > 25).alias("blast"))
+    total = s.agg(F.count("*").alias("total"))
+    return H.pr_risk(per.join(F.broadcast(total))).select("file", "risk", "level")
+
+
+@query("repo_health", f"WITH {SYMBOLS_SQL} SELECT count(*) AS symbols, round(avg(cyclomatic) FILTER (WHERE cyclomatic > 0), 2) AS avg_complexity, count(*) FILTER (WHERE cyclomatic > 10) AS complex, count(DISTINCT file) AS files FROM symbols")
+def repo_health(spark, sf):
+    return symbols(spark, sf).agg(F.count("*").alias("symbols"), F.round(F.avg(F.when(F.col("cyclomatic") > 0, F.col("cyclomatic"))), 2).alias("avg_complexity"), F.count_if(F.col("cyclomatic") > 10).alias("complex"), F.countDistinct("file").alias("files"))
+
+
+@query("freshness_case", "SELECT CASE WHEN event_type = 'error' THEN 'stale_index' WHEN value > 20 + 1.0 THEN 'edited_uncommitted' ELSE 'fresh' END AS freshness, count(*) AS n FROM events GROUP BY ALL")
+def freshness_case(spark, sf):
+    return table(spark, sf, "events").groupBy(H.freshness(F.lit(20.0), F.col("value"), F.col("event_type") == "error").alias("freshness")).agg(F.count("*").alias("n"))
+
+
+@query("file_slice", "SELECT doc_id, len(t) AS n_lines, md5(array_to_string(t[least(2, len(t)):least(4, len(t))], chr(10))) AS slice FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)")
+def file_slice(spark, sf):
+    found = H.line_slice(table(spark, sf, "documents"), 2, 4, "text")
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.md5(F.col("slice").cast("binary")).alias("slice"))
+
+
+@query("byte_range", "SELECT item_id, substr(text, 3, 6) AS part FROM benchmark WHERE strlen(text) = length(text)")
+def byte_range(spark, sf):
+    b = table(spark, sf, "benchmark").where(F.octet_length("text") == F.char_length("text"))
+    return b.select("item_id", H.byte_slice(F.col("text"), F.lit(2), F.lit(6)).alias("part"))
+
+
+@query("file_tree", "SELECT file, len(string_split(file, '/')) - 1 AS depth, regexp_replace(file, '/?[^/]*$', '') AS folder FROM (SELECT DISTINCT url AS file FROM pages WHERE starts_with(url, 'https://')) ORDER BY file LIMIT 500")
+def file_tree(spark, sf):
+    found = H.file_tree(table(spark, sf, "pages").select(F.col("url").alias("file")), "https://")
+    return found.withColumn("depth", F.col("depth").cast("long"))
+
+
+@query("resolve_bare_name", "SELECT name, min(repo) AS repo FROM (SELECT DISTINCT p_name AS name, p_brand AS repo FROM part WHERE p_size = 1) GROUP BY name HAVING count(*) = 1")
+def resolve_bare_name(spark, sf):
+    c = table(spark, sf, "part").where("p_size = 1").select(F.col("p_name").alias("name"), F.col("p_brand").alias("repo")).distinct()
+    return H.resolve_bare_name(c)
+
+
+@query("legend_selection", "SELECT p_name, count(*) AS uses, (length(p_name) - 3) * count(*) - length(p_name) - 3 AS saved FROM part GROUP BY p_name HAVING count(*) >= 2 AND (length(p_name) - 3) * count(*) - length(p_name) - 3 >= 8 ORDER BY count(*) * (length(p_name) + 1) DESC, p_name LIMIT 32")
+def legend_selection(spark, sf):
+    return H.legend(table(spark, sf, "part"), "p_name")
+
+
+# -- telemetry ------------------------------------------------------------------------------------------------------------
+
+RING = f"{CALLS_SQL}, ring AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY ts DESC, event_id DESC) AS k FROM calls) WHERE k <= 512)"
+
+
+@query("ring_last_n", f"WITH {RING} SELECT event_id, tool FROM ring")
+def ring_last_n(spark, sf):
+    return T.ring(calls(spark, sf), "tool").select("event_id", "tool")
+
+
+@query("latency_percentiles", f"WITH {RING}, v AS (SELECT tool, count(*) AS n, list_sort(list(duration_ms)) AS v, max(duration_ms) AS max_ms, round(avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END), 4) AS error_rate FROM ring GROUP BY tool) SELECT tool, n, v[n // 2 + 1] AS p50, v[least(floor(n * 0.95)::BIGINT, n - 1) + 1] AS p95, max_ms, error_rate FROM v")
+def latency_percentiles(spark, sf):
+    return T.latency(calls(spark, sf), "tool")
+
+
+@query("ledger_summary", "SELECT user_id % 7 AS repo, event_type AS tool, count(*) AS events, round(avg(value), 3) AS mean_confidence, count(*) FILTER (WHERE value > 40) AS stale, count(*) FILTER (WHERE event_type = 'view') AS identity, count(*) FILTER (WHERE user_id % 2 = 0) AS semantic FROM events GROUP BY GROUPING SETS ((repo, tool), (repo), ())")
+def ledger_summary(spark, sf):
+    e = table(spark, sf, "events").select((F.col("user_id") % 7).alias("repo"), F.col("event_type").alias("tool"), F.col("value").alias("confidence"), (F.col("value") > 40).alias("stale"), (F.col("event_type") == "view").alias("identity_hit"), (F.col("user_id") % 2 == 0).alias("semantic_used"))
+    return T.ledger(e, "repo", "tool", "confidence")
+
+
+@query("tuner_means", """WITH m AS (SELECT count(value) AS n, avg(value / 100) FILTER (WHERE user_id % 2 = 0) AS a, avg(value / 100) FILTER (WHERE user_id % 2 <> 0) AS b, avg(value / 100) FILTER (WHERE event_type = 'view') AS c, avg(value / 100) FILTER (WHERE event_type <> 'view') AS d FROM events)
+SELECT n, round(least(0.8, greatest(0.1, CASE WHEN n < 50 OR abs(a - b) < 0.05 THEN 0.5 WHEN a > b THEN 0.55 ELSE 0.45 END)), 4)::DOUBLE AS semantic_weight, round(least(2.0, greatest(0.5, CASE WHEN n < 50 OR abs(c - d) < 0.05 THEN 1.0 WHEN c > d THEN 1.05 ELSE 0.95 END)), 4)::DOUBLE AS identity_boost FROM m""")
+def tuner_means(spark, sf):
+    e = table(spark, sf, "events").select((F.col("value") / 100).alias("confidence"), (F.col("user_id") % 2 == 0).alias("semantic_used"), (F.col("event_type") == "view").alias("identity_hit"))
+    return T.tune(e)
+
+
+@query("turn_sessions", "WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id) > 300000000 THEN 1 ELSE 0 END AS new FROM events), t AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM g), u AS (SELECT *, sum(value) OVER (PARTITION BY event_type, turn ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM t) SELECT event_id, turn::BIGINT AS turn, round(used, 4) AS used, CASE WHEN used >= 50 THEN 'over' WHEN used >= 40 THEN 'warn' ELSE 'ok' END AS state FROM u")
+def turn_sessions(spark, sf):
+    return T.sessions(table(spark, sf, "events"), "event_type", "value", 50.0, 300).select("event_id", "turn", F.round("used", 4).alias("used"), "state")
+
+
+@query("offered_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS offered FROM events")
+def offered_rate(spark, sf):
+    return T.offered_rate(table(spark, sf, "events"), "user_id", 3600).select("event_id", "offered")
+
+
+@query("session_journal", "SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+def session_journal(spark, sf):
+    return T.journal(table(spark, sf, "events"), "user_id")
+
+
+@query("session_snapshot", "SELECT * FROM (SELECT 'frequent' AS section, user_id::VARCHAR AS key, n FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 5) UNION ALL SELECT 'failed', user_id::VARCHAR, n FROM (SELECT user_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY t DESC, user_id LIMIT 5))")
+def session_snapshot(spark, sf):
+    e = table(spark, sf, "events")
+    part = lambda d, name: d.select(F.lit(name).alias("section"), F.col("user_id").cast("string").alias("key"), "n")
+    return part(T.journal(e.where("event_type = 'view'"), "user_id", 5), "frequent").unionByName(part(T.journal(e.where("event_type = 'error'"), "user_id", 5, "recency"), "failed"))
+
+
+@query("ndcg_mrr_recall", """WITH p AS (SELECT source AS query, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), r AS (SELECT DISTINCT d.source AS query, l.doc_id AS id FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1), h AS (SELECT p.query, count(*) AS hits, min(rank) AS first, sum(1 / log2(1 + rank)) AS dcg FROM p JOIN r ON p.query = r.query AND p.id = r.id WHERE rank <= 10 GROUP BY p.query), t AS (SELECT query, count(*) AS total FROM r GROUP BY query)
+SELECT q.query, round(coalesce(hits * 1.0::DOUBLE / total, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(dcg / (SELECT sum(1 / log2(1 + i)) FROM range(1, least(total, 10) + 1) x(i)), 0), 6) AS ndcg FROM (SELECT DISTINCT query FROM p) q LEFT JOIN h USING (query) LEFT JOIN t USING (query)""")
+def ndcg_mrr_recall(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), "n_chars")
+    predicted = d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "id"))).where("rank <= 10")
+    predicted = predicted.select("query", "id", "rank")
+    relevant = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).join(d.select("query", "id"), "id")
+    q = T.ranking_quality(predicted, relevant)
+    return q.select("query", *(F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")))
+
+
+@query("drift_stats", "WITH d AS (SELECT 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT count(*) AS n, round(max(d), 6) AS worst, round(avg(d), 6) AS mean, max(d) > 0.05 AS alarm FROM d")
+def drift_stats(spark, sf):
+    e = table(spark, sf, "embeddings")
+    d = T.drift(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("v")))
+    return d.select("n", F.round("worst", 6).alias("worst"), F.round("mean", 6).alias("mean"), "alarm")
+
+
+# -- functions ------------------------------------------------------------------------------------------------------------
+
+
+@query("commit_classify", "SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, '(?i)^revert') THEN 'revert' WHEN regexp_matches(t, '(?i)\\brename[ds]?\\b|\\bmove[ds]?\\b') THEN 'rename' WHEN regexp_matches(t, '(?i)\\bfix(?:e[ds])?\\b|\\bbug\\b|\\bpatch\\b|\\bhotfix\\b|\\bcorrect\\b|\\bresolve[ds]?\\b') THEN 'bugfix' WHEN regexp_matches(t, '(?i)\\bperf(?:ormance)?\\b|\\boptimize?\\b|\\bspeed\\b|\\bfaster\\b|\\bcache\\b') THEN 'perf' WHEN regexp_matches(t, '(?i)\\brefactor\\b|\\bclean\\s*up\\b|\\brestructur\\b|\\bsimplif\\b|\\bextract\\b|\\bdecompos\\b') THEN 'refactor' WHEN regexp_matches(t, '(?i)\\btests?\\b|\\bspecs?\\b|\\bcoverage\\b') THEN 'test' WHEN regexp_matches(t, '(?i)\\bdocs?\\b|\\breadme\\b|\\bchangelog\\b|\\bcomment\\b') THEN 'docs' WHEN regexp_matches(t, '(?i)\\bconfig\\b|\\bci\\b|\\bdocker\\b|\\byaml\\b|\\benv\\b|\\bdeps?\\b|\\bbump\\b|\\bupgrade\\b') THEN 'config' WHEN regexp_matches(t, '(?i)\\badds?\\b|\\bfeat(?:ure)?\\b|\\bimplement\\b|\\bintroduc\\b|\\bnew\\b|\\bsupport\\b|\\benable\\b') THEN 'feature' ELSE 'evolution' END AS category FROM (SELECT ['Fix ', 'Add ', 'Move ', 'Speed up ', 'Test '][1 + p_partkey % 5] || p_name AS t FROM part)) GROUP BY category")
+def commit_classify(spark, sf):
+    verbs = F.array(*map(F.lit, ["Fix ", "Add ", "Move ", "Speed up ", "Test "]))
+    p = table(spark, sf, "part").select(F.concat(F.element_at(verbs, (1 + F.col("p_partkey") % 5).cast("int")), "p_name").alias("t"))
+    return p.groupBy(X.commit_category(F.col("t")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("entropy", "WITH d AS (SELECT DISTINCT p_name AS t FROM part), c AS (SELECT t, c, count(*) AS n FROM (SELECT t, unnest(string_split(t, '')) AS c FROM d) GROUP BY ALL), n AS (SELECT t, sum(n) AS total FROM c GROUP BY t) SELECT t AS name, round(-sum(n / total * log2(n / total)), 6) AS bits FROM c JOIN n USING (t) GROUP BY t")
+def entropy(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("bits", F.round(X.entropy(F.col("name")), 6))
+
+
+@query("secret_redact", "SELECT event_id, 'token ' || CASE WHEN event_type = 'error' THEN 'ghp_' || repeat('a', 36 + (event_id % 4)::INTEGER) ELSE 'none' END AS raw, 'token ' || CASE WHEN event_type = 'error' THEN '[REDACTED:github_token]' ELSE 'none' END AS clean FROM events")
+def secret_redact(spark, sf):
+    raw = F.concat(F.lit("token "), F.when(F.col("event_type") == "error", F.concat(F.lit("ghp_"), F.repeat(F.lit("a"), (36 + F.col("event_id") % 4).cast("int")))).otherwise("none"))
+    return table(spark, sf, "events").select("event_id", raw.alias("raw"), X.redact(raw).alias("clean"))
+
+
+@query("redacted_documents")
+def redacted_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", X.redact(F.col("text")).alias("clean"), "text").where("clean <> text").select("doc_id", F.size(F.regexp_extract_all("clean", F.lit(r"\[REDACTED:\w+\]"), F.lit(0))).alias("secrets"))
+
+
+@query("json_props", "SELECT (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("complexity_bands", f"WITH {SYMBOLS_SQL} SELECT CASE WHEN cyclomatic <= 4 THEN 'low' WHEN cyclomatic <= 10 THEN 'medium' ELSE 'high' END AS band, count(*) AS n FROM symbols GROUP BY ALL")
+def complexity_bands(spark, sf):
+    return symbols(spark, sf).groupBy(X.complexity_band(F.col("cyclomatic")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("body_complexity", "SELECT page_id, len(regexp_extract_all(html, '\\b(if|elif|for|while|case|catch|except|and|or)\\b|&&|\\|\\||\\?')) + 1 AS cyclomatic FROM pages")
+def body_complexity(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.cyclomatic(F.col("html")).cast("long").alias("cyclomatic"))
+
+
+@query("token_estimates", "SELECT source, sum(octet_length(encode(text)) // 4)::BIGINT AS tokens FROM documents GROUP BY source")
+def token_estimates(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.sum(X.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query("stems", f"SELECT DISTINCT w AS word, {X.stem_sql('w')} AS stem FROM (SELECT lower(unnest(regexp_extract_all(html, '[a-z]+'))) AS w FROM pages)")
+def stems(spark, sf):
+    w = table(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return w.withColumn("stem", X.stem(F.col("word")))
+
+
+@query("path_parts", "SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_replace(regexp_extract(url, '[^/]*$'), '[.][^.]*$', '') AS stem FROM pages")
+def path_parts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.basename(F.col("url")).alias("base"), X.stem_of_path(F.col("url")).alias("stem"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
