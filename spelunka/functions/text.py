@@ -208,7 +208,7 @@ def commit_category(subject: Column) -> Column:
 def commit_intent(message: Column) -> Column:
     """The first body line that is neither a trailer nor a heading; else the subject."""
     lines = F.split(F.trim(message), "\r?\n")
-    body = F.filter(F.transform(F.slice(lines, 2, 1_000_000), F.trim), lambda x: (x != "") & ~x.rlike(r"(?i)^(signed-off-by|co-authored-by|reviewed-by|acked-by|fixes|closes|refs?):") & ~x.startswith("#"))
+    body = F.filter(F.transform(F.slice(lines, 2, 1_000_000), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"(?i)^(signed-off-by|co-authored-by|reviewed-by|acked-by|fixes|closes|refs?):") & ~x.startswith("#"))
     return F.coalesce(F.get(body, F.lit(0)), F.element_at(lines, 1))
 
 
@@ -259,7 +259,7 @@ def is_barrel(path: Column) -> Column:
 
 def bases_of(signature: Column) -> Column:
     """Base classes named in a class signature."""
-    listed = lambda s: F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    listed = lambda s: F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
     named = F.concat(listed(F.regexp_extract(signature, r"\bextends\s+([\w.,\s]+?)(?=\s+implements\b|\s*\{|$)", 1)), listed(F.regexp_extract(signature, r"\bimplements\s+([\w.,\s]+?)(?=\s*\{|$)", 1)))
     inside = F.filter(listed(F.regexp_extract(signature, r"class\s+\w+\s*\(([^)]*)\)", 1)), lambda x: x.rlike(r"^[A-Z][\w.]*$"))
     return F.when(F.size(named) > 0, named).otherwise(inside)
