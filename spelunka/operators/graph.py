@@ -119,12 +119,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = ROU
     out = e.groupBy("src").agg(F.count("*").alias("out"))
     e = kept(e.join(out, "src").select("src", "dst", (F.lit(1.0) / F.col("out")).alias("share")))
     ranks = kept(all_nodes.join(out.select(F.col("src").alias("node"), "out"), "node", "left").select("node", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
     for _ in range(rounds):
-        lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
         base = (1 - damping) / n + damping * lost / n
         got = ranks.join(e, ranks["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = kept(ranks.join(got, "node", "left").select("node", "dangling", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")))
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        # One small job a round: the change, and the dangling mass that the next round spreads.
+        change, lost = new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
         ranks = new.drop("old")
         if change <= tolerance:
             break

@@ -32,7 +32,7 @@ def test_scan_parse_resolve(spark, tmp_path):
     files, skipped = folder.discover(folder.scan(spark, tree(tmp_path)), ignore=[("", "logs/")])
     assert {r.skip_reason: r.n for r in skipped.collect()} == {"skip_folder": 1, "gitignore": 1, "secret": 1, "unknown_extension": 1}
     assert {r.path for r in files.collect()} == {"pkg/__init__.py", "pkg/core.py", "pkg/util.py", "web/app.ts", "web/foo.ts", "broken.py"}
-    assert [r.path for r in folder.discover(folder.scan(spark, str(tmp_path)), limit=1, ignore=[("", "logs/")])[0].collect()] == ["broken.py"]
+    assert [r.path for r in folder.discover(folder.scan(spark, str(tmp_path)), limit=1, ignore=[("", "logs/")])[0].collect()] == ["pkg/__init__.py"]  # pkg is a priority folder
     symbols = parser.parse_symbols(files).cache()
     ids = {r.id for r in symbols.collect()}
     assert {"pkg/core.py::LIMIT#constant", "pkg/core.py::Engine.go#method", "pkg/util.py::helper#function", "web/app.ts::run#function", "web/foo.ts::Foo#class"} <= ids
