@@ -39,16 +39,16 @@ def fold_of(doc_id, folds: int):
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that none holds more than SLICE_ROWS rows, or more than about SLICE_BYTES of text unless one row does."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that none holds more than that many rows, or more than about size bytes of text unless one row does."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         column = batch.column(batch.schema.get_field_index(text))
         start = 0
         while start < batch.num_rows:
-            stop = min(batch.num_rows, start + SLICE_ROWS)
-            while stop - start > 1 and column.slice(start, stop - start).nbytes > SLICE_BYTES:
+            stop = min(batch.num_rows, start + rows)
+            while stop - start > 1 and column.slice(start, stop - start).nbytes > size:
                 stop = start + (stop - start) // 2
             yield batch.slice(start, stop - start)
             start = stop

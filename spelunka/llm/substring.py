@@ -6,7 +6,7 @@ counts less than the windows do, with a fifth of the entries. Tasks emit sparse
 the sketch, the cells that they hit and how often. Sketches merge by addition, shard by shard.
 
 Pass 2. A window whose key is estimated to occur once is unique, and nothing more happens to it. Every other window is
-emitted with a 128-bit hash of its words, its document and its place. Grouped by that hash, windows whose document isn't
+emitted with a 96-bit hash of its words, its document and its place. Grouped by that hash, windows whose document isn't
 the smallest one are removed. No repeated window is lost, since estimates are never too low; windows that pass by
 collision form groups of their own and change nothing.
 
@@ -38,6 +38,7 @@ CELLS_PER_BYTE = 0.25
 SHARD_CELLS = 1 << 20
 MAX_CELLS = 1 << 29
 HOT, SALTS = 4096, 64
+SLICE = 1 << 20  # bytes of text that a task's Python side works on at a time
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 
 
@@ -108,12 +109,12 @@ def _sketcher(cells: int, window: int):
 
     def work(batches):
         held, n = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             for doc, text in zip(column(batch, "id").to_pylist(), column(batch, "text").to_pylist()):
                 if doc is not None and (found := _parts(text, window)):
                     held.append(found[1][stretches(found[1])])
                     n += len(held[-1])
-            if n > 1 << 21:
+            if n > 1 << 19:
                 yield from emit(held)
                 held, n = [], 0
         if held:
@@ -145,27 +146,32 @@ def _merger(cells: int, hot: int):
     return work
 
 
+def assembled(rows: list, cells: int) -> list[tuple[bytes, bytes]]:
+    """For each row of the sketch: a bit for each cell that was hit more than once, and the sorted numbers of the hot cells."""
+    shards = max(1, cells // SHARD_CELLS)
+    size = cells // shards
+    bits, hot = np.zeros((ROWS, cells // 8), np.uint8), [[np.zeros(0, np.int64)] for _ in range(ROWS)]
+    for shard, repeated, often in rows:
+        row, s = divmod(shard, shards)
+        bits[row, s * size // 8 : (s + 1) * size // 8] = np.frombuffer(repeated, np.uint8)
+        hot[row].append(np.frombuffer(often, np.int64) + s * size)
+    return [(b.tobytes(), np.sort(np.concatenate(x)).tobytes()) for b, x in zip(bits, hot)]
+
+
 class Sketch:
-    """What the merged sketch says of keys."""
+    """What the merged sketch says of keys; its arrays are views of the broadcast bytes."""
 
-    def __init__(self, rows: list[tuple[int, bytes, bytes]], cells: int):
-        shards = max(1, cells // SHARD_CELLS)
-        size = cells // shards
+    def __init__(self, parts: list[tuple[bytes, bytes]], cells: int):
         self.cells = cells
-        self.bits = np.zeros((ROWS, cells // 8), np.uint8)
-        hot = [[np.zeros(0, np.int64)] for _ in range(ROWS)]
-        for shard, repeated, often in rows:
-            row, s = divmod(shard, shards)
-            self.bits[row, s * size // 8 : (s + 1) * size // 8] = np.frombuffer(repeated, np.uint8)
-            hot[row].append(np.frombuffer(often, np.int64) + s * size)
-        self.hot = [np.sort(np.concatenate(x)) for x in hot]
+        self.bits = [np.frombuffer(b, np.uint8) for b, _ in parts]
+        self.hot = [np.frombuffer(h, np.int64) for _, h in parts]
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         """Which keys are estimated to occur more than once."""
         found = np.ones(len(keys), bool)
         for row in range(ROWS):
             at = cells_of(keys, row, self.cells)
-            found &= (self.bits[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            found &= (self.bits[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return found
 
     def often(self, keys: np.ndarray) -> np.ndarray:
@@ -181,7 +187,7 @@ def _candidates(sketch, cells: int, window: int):
         from xxhash import xxh3_128_digest
 
         known = Sketch(sketch.value, cells)
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             digests, docs, rows, places, salts = [], [], [], [], []
             for doc, row, text in zip(*(column(batch, c).to_pylist() for c in ("id", "row", "text"))):
                 if doc is None or not (found := _parts(text, window)):
@@ -200,19 +206,19 @@ def _candidates(sketch, cells: int, window: int):
                 ends = starts + sizes - 1
                 digests += [xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + window - 1].tolist())]
                 docs.append(np.full(len(at), doc, np.int64))
-                rows.append(np.full(len(at), row, np.int64))
+                rows.append(np.full(len(at), row, np.int32))
                 places.append(at.astype(np.int32))
                 salts.append(np.where(hot, 1 + doc % SALTS, 0).astype(np.int32))
             if digests:
-                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), *(pa.array(np.concatenate(x)) for x in (docs, rows, places, salts))], ["h1", "h2", "id", "row", "at", "salt"])
+                both = np.frombuffer(b"".join(digests), np.dtype([("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both["h1"])), pa.array(np.ascontiguousarray(both["h2"])), *(pa.array(np.concatenate(x)) for x in (docs, rows, places, salts))], ["h1", "h2", "id", "row", "at", "salt"])
 
     return work
 
 
 def _cutter(window: int):
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             totals, gone, texts = [], [], []
             for text, starts in zip(column(batch, "text").to_pylist(), column(batch, "starts").to_pylist()):
                 words = text.encode().split() if text else []
@@ -246,8 +252,8 @@ def repeated_windows(rows: DataFrame, window: int, max_cells: int, hot: int) ->
     cells = sketch_cells(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, max_cells)
     partial = rows.select("id", "text").mapInArrow(_sketcher(cells, window), "shard long, at binary, counts binary")
     merged = partial.repartition("shard").sortWithinPartitions("shard").mapInArrow(_merger(cells, hot), "shard long, repeated binary, hot binary")
-    sketch = spark.sparkContext.broadcast([tuple(r) for r in merged.collect()])
-    found = rows.mapInArrow(_candidates(sketch, cells, window), "h1 long, h2 long, id long, row long, at int, salt int")
+    sketch = spark.sparkContext.broadcast(assembled(merged.collect(), cells))
+    found = rows.mapInArrow(_candidates(sketch, cells, window), "h1 long, h2 int, id long, row int, at int, salt int")
     judged = found.withColumn("first", F.min("id").over(Window.partitionBy("h1", "h2", "salt")))
     cold = judged.where("id > first").select("id", "row", "at")
     # What hot windows leave within their salts meets again; the filter reads `first`, so that both branches share one shuffle.
@@ -258,7 +264,7 @@ def repeated_windows(rows: DataFrame, window: int, max_cells: int, hot: int) ->
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_cells: int = MAX_CELLS, hot: int = HOT) -> DataFrame:
     """id, n_words, n_removed, kept (the words that are left, joined by one space)."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.hash("text"))  # tells apart rows of one id
     gone = repeated_windows(rows, window, max_cells, hot).groupBy("id", "row").agg(F.collect_list("at").alias("starts"))
     both = rows.alias("r").join(gone.alias("g"), (F.col("r.id") == F.col("g.id")) & (F.col("r.row") == F.col("g.row")), "left")
     return both.select("r.id", "r.text", "g.starts").mapInArrow(_cutter(window), "id long, n_words long, n_removed long, kept string")
