@@ -3,7 +3,8 @@
 Writing: among pages of equal payloads of at least ``min_revisit`` bytes, the largest page id is a response record and
 the others are revisit records that refer to it. The groups are found on (id, digest) alone; payloads move once, by page
 id, so a payload that many pages share makes no large partition. Records are strings, written by Spark's text writer
-with CRLF ends, at most ``records_per_file`` a file: any file system will do, and a lost task is written again.
+with CRLF ends, at most ``records_per_file`` a file, compressed by gzip:
+any file system will do, and a lost task is written again. Offsets are those of the uncompressed archive.
 
 Reading: tasks search each file for the magic line and take every hit as a candidate record; they emit its offset, the
 offset of its successor (after header, block and the two closing line ends) and what the header and block say. Per file,
@@ -17,6 +18,7 @@ empty table gives no records. Columns other than those named are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -65,7 +67,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write_archives(recs: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    recs.write.mode("overwrite").option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(folder)
+    recs.write.mode("overwrite").option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
@@ -111,10 +113,15 @@ FIELDS = [("path", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("nex
 SCHEMA = "path string, size long, at long, next long, id long, kind string, digest string, sound boolean, payload_bytes long, refers_to long, url string"
 
 
+def unpacked(content: bytes) -> bytes:
+    """The archive in a file: gzip, in one member or many, or plain."""
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def _scan(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            path, content = batch.column(0)[i].as_py(), unpacked(batch.column(1)[i].as_py())
             found = [r | {"path": path, "size": len(content)} for r in candidates(content)]
             if content and (not found or found[0]["at"] != 0):
                 found.insert(0, {"path": path, "size": len(content), "at": 0, "next": -1})
