@@ -329,6 +329,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: The same in DuckDB.
+ORACLE = r"""WITH l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT k.doc_id, line, i, coalesce(last <> k.doc_id, false) AS gone FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
+
+
 def brute_force(docs: list[tuple[int | None, str | None]], min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> list[tuple]:
     """The same by plain dictionaries, for tests: (id, n_lines, n_dropped, digest) in input order."""
     holders: dict[str, list[int]] = {}

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op5_substring": substring.ORACLE, "op7_line_dedup": lines.ORACLE, "op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}

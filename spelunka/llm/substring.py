@@ -274,3 +274,14 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents without the words of windows that smaller documents hold too."""
     found = dedup_substrings(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB.
+ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT *, string_agg(word, ' ') OVER span AS k, count(*) OVER span AS n FROM p WINDOW span AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT k, min(doc_id) AS first FROM k WHERE n = 13 GROUP BY k),
+r AS (SELECT k.doc_id, k.i, k.word, coalesce(k.n = 13 AND m.first < k.doc_id, false)::INTEGER AS hit FROM k LEFT JOIN m USING (k)),
+c AS (SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM r),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone = 1) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept, sha256('')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)"""

@@ -184,3 +184,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     whole = F.when(F.col("sound"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload in "), F.col("path"))).cast("string"))
     return found.select(F.col("id").alias("page_id"), "payload_bytes", whole.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+
+
+#: The same in DuckDB.
+ORACLE = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM m"""
