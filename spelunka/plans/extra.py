@@ -10,6 +10,7 @@ from spelunka.operators import graph as G
 from spelunka.operators import history as H
 from spelunka.operators import hygiene as Y
 from spelunka.operators import packing as P
+from spelunka.operators import refactor as R
 from spelunka.operators import search as S
 from spelunka.operators import telemetry as T
 from spelunka.plans.base import LINES_SQL, SYMBOLS_SQL, lines, query, symbols, table
@@ -129,3 +130,16 @@ def hybrid_semantic_only(spark, sf):
     e = table(spark, sf, "embeddings")
     found = S.against(e, e.where("vec_id = 3"), "embedding").where("score > 0")
     return found.groupBy("label").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query("rename_plan", f"WITH {LINES_SQL} SELECT doc_id, line, CASE WHEN regexp_matches(text, '^\\s*(import|from|use|using|include|export)\\b|require\\(|#\\s*include') THEN 'import' WHEN regexp_matches(text, '\\b(def|class|function|func|fn|struct|interface|type|enum|trait|const|let|var)\\s+License\\b') THEN 'definition' ELSE 'usage' END AS kind, md5(regexp_replace(text, '\\bLicense\\b', 'Licence', 'g')) AS after FROM lines WHERE regexp_matches(text, '\\bLicense\\b')")
+def rename_plan(spark, sf):
+    rows = lines(spark, sf).withColumn("file", F.col("doc_id"))
+    plan = R.rename_plan(rows, rows, "License", "Licence")
+    return plan.select(F.col("file").alias("doc_id"), "line", "kind", F.md5(F.col("after").cast("binary")).alias("after"))
+
+
+@query("call_site_plan", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS calls FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bprint\\s*\\(([^()]*)\\)', 1)) AS a FROM lines) GROUP BY doc_id")
+def call_site_plan(spark, sf):
+    rows = lines(spark, sf).withColumn("file", F.col("doc_id"))
+    return R.call_sites(rows, rows, "print").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("calls"))

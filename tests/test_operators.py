@@ -94,3 +94,23 @@ def test_fuzzy_pairs_complete(spark):
 
     want = {(a, b) for a in names for b in names if len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.4 or edits(a, b) <= 2}
     assert {(r.a, r.b) for r in S.fuzzy_pairs(df, df).collect()} == want
+
+
+def test_refactor_plans(spark):
+    from spelunka.operators import refactor as R
+
+    lines = spark.createDataFrame([("a.py", 1, "from b import old"), ("b.py", 1, "def old(x):"), ("b.py", 2, "    return helper(x) + older"), ("a.py", 2, "y = old(f(1), 2)"), ("a.py", 3, "'old'"), ("c.py", 1, "old()")], "file string, line int, text string")
+    edges = spark.createDataFrame([("a.py", "b.py")], "src string, dst string")
+    files = R.affected_files(edges, spark.createDataFrame([("b.py",)], "file string"))
+    plan = {(r.file, r.line): (r.kind, r.after) for r in R.rename_plan(lines, files, "old", "new").collect()}
+    assert plan == {("a.py", 1): ("import", "from b import new"), ("b.py", 1): ("definition", "def new(x):"), ("a.py", 2): ("usage", "y = new(f(1), 2)")}
+    assert [r.arguments for r in R.call_sites(lines, files, "old").collect()] == ["f(1), 2"]
+    symbols = spark.createDataFrame([("s", "b.py", "old", 1, 2), ("t", "c.py", "old", 1, 1)], "id string, file string, name string, line int, end_line int")
+    imports = spark.createDataFrame([("b.py", "u", ["helper", "unused"])], "file string, specifier string, names array<string>")
+    moved = R.move_plan(symbols, lines, imports, "s", "c.py")
+    assert moved["body"].count() == 2 and [r.name for r in moved["needed"].collect()] == ["helper"] and [r.id for r in moved["collisions"].collect()] == ["t"]
+    table = spark.createDataFrame([("src/long/path.py", i) for i in range(6)] + [("x", 9)], "file string, n int")
+    legend, rows = R.compact_table(table, ["file", "n"])
+    back = {r.code: r.value for r in legend.collect()}
+    got = sorted(tuple(r.row.split("\t")) for r in rows.collect())
+    assert sorted((back.get(a, a), int(b)) for a, b in got) == sorted((r.file, r.n) for r in table.collect()) and "@1" in {a for a, _ in got}
