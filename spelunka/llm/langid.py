@@ -71,65 +71,127 @@ def cut(word: str) -> list[str]:
     return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
 
 
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # odd multipliers
+_SLOT_BITS = 20
+
+
+class PieceTable:
+    """Finds pieces among many substrings by vector: two hash tables, the second for what collides in the first."""
+
+    def __init__(self, pieces: list[str]):
+        keys = np.zeros(len(pieces), np.uint64)
+        for i, p in enumerate(pieces):
+            h = 0
+            for c in p:
+                h = (h * int(_M1) + ord(c) + 1) % 2**64
+            keys[i] = h
+        self.missing = len(pieces)
+        self.keys = np.r_[keys, np.uint64(0)]
+        self.tables = []
+        rest = np.arange(len(pieces))
+        for multiplier in (_M2, _M3):
+            table = np.full(1 << _SLOT_BITS, self.missing, np.int32)
+            slots = self._slots(keys[rest], multiplier)
+            _, first = np.unique(slots, return_index=True)
+            table[slots[first]] = rest[first]
+            rest = np.delete(rest, first)
+            self.tables.append((multiplier, table))
+        self.rest = {int(keys[i]): int(i) for i in rest}  # hardly any
+
+    @staticmethod
+    def _slots(h: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+        return ((h ^ (h >> np.uint64(31))) * multiplier) >> np.uint64(64 - _SLOT_BITS)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash's piece, or the number of pieces."""
+        (m, table), (m2, table2) = self.tables
+        at = table[self._slots(h, m)]
+        bad = self.keys[at] != h
+        other = table2[self._slots(h, m2)]
+        at = np.where(bad, np.where(self.keys[other] == h, other, self.missing), at)
+        for key, i in self.rest.items():
+            at[h == np.uint64(key)] = i
+        return at
+
+
+@lru_cache(maxsize=2)
+def _table(pieces: tuple[str, ...]) -> PieceTable:
+    return PieceTable(list(pieces))
+
+
 class Lattice:
     """Sums over all segmentations of many words together."""
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
         self.place = {p: i for i, p in enumerate(pieces)}
+        self.table = _table(tuple(pieces))
+        self.longest = max(map(len, pieces), default=1)
         scaled = probabilities * (SCALE ** np.array([len(p) for p in pieces], float))[:, None]
         self.languages = scaled.shape[1]
-        # The last rows stand for "no piece" and for one unknown letter.
-        self.none, self.unknown = len(pieces), len(pieces) + 1
-        self.p = np.concatenate([scaled, np.zeros((1, self.languages)), np.full((1, self.languages), UNKNOWN * SCALE)])
+        # The last row stands for one unknown letter.
+        self.unknown = len(pieces)
+        self.p = np.concatenate([scaled, np.full((1, self.languages), UNKNOWN * SCALE)])
 
     def _arcs(self, words: list[str], n: int):
-        """(end, [(start, piece of each word)]) for each end, in order."""
-        get = self.place.get
-        arcs = []
-        for j in range(1, n + 1):
-            row = []
-            for i in range(max(0, j - MAX_PIECE), j):
-                fallback = self.unknown if j - i == 1 else self.none
-                ids = np.fromiter((get(w[i:j], fallback) for w in words), np.int64, len(words))
-                if fallback == self.unknown or (ids != self.none).any():
-                    row.append((i, ids))
-            arcs.append(row)
+        """For each end, in order: (start, words that have a piece there or None for all, their pieces)."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
+        arcs: list = [[] for _ in range(n)]
+        for i in range(n):
+            h = np.zeros(len(words), np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = h * _M1 + letters[j - 1]
+                ids = self.table.find(h)
+                if j == i + 1:
+                    arcs[j - 1].append((i, None, ids))  # the number of pieces is the unknown letter's row
+                else:
+                    rows = np.flatnonzero(ids != self.table.missing)
+                    if len(rows):
+                        arcs[j - 1].append((i, rows, ids[rows]))
         return arcs
 
     def _forward(self, arcs, count: int) -> np.ndarray:
         alpha = np.zeros((len(arcs) + 1, count, self.languages))
         alpha[0] = 1.0
         for j, row in enumerate(arcs, 1):
-            for i, ids in row:
-                alpha[j] += alpha[i] * self.p[ids]
+            for i, rows, ids in row:
+                if rows is None:
+                    alpha[j] += alpha[i] * self.p[ids]
+                else:
+                    alpha[j][rows] += alpha[i][rows] * self.p[ids]
         return alpha
 
     def log_sums(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of the sum over all segmentations, up to a constant of each word."""
         out = np.zeros((len(words), self.languages))
         for n, rows in _by_length(words):
-            group = [words[k] for k in rows]
+            group = [words[k] for k in rows.tolist()]
             out[rows] = np.log(self._forward(self._arcs(group, n), len(group))[-1])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """(pieces, columns of counts): expected counts of pieces, given how often each word occurs in each language."""
-        total = np.zeros((len(self.place) + 2, counts.shape[1]))
+        total = np.zeros((len(self.place) + 1, counts.shape[1]))
         for n, rows in _by_length(words):
-            group = [words[k] for k in rows]
+            group = [words[k] for k in rows.tolist()]
             arcs = self._arcs(group, n)
             alpha = self._forward(arcs, len(group))
             beta = np.zeros_like(alpha)
             beta[n] = 1.0
             for j in range(n, 0, -1):
-                for i, ids in arcs[j - 1]:
-                    beta[i] += self.p[ids] * beta[j]
+                for i, some, ids in arcs[j - 1]:
+                    if some is None:
+                        beta[i] += self.p[ids] * beta[j]
+                    else:
+                        beta[i][some] += self.p[ids] * beta[j][some]
             weight = counts[rows] / alpha[n]
+            pieces, shares = [], []
             for j in range(1, n + 1):
-                for i, ids in arcs[j - 1]:
-                    share = alpha[i] * self.p[ids] * beta[j] * weight
-                    for c in range(counts.shape[1]):
-                        total[:, c] += np.bincount(ids, share[:, c], len(total))
+                for i, some, ids in arcs[j - 1]:
+                    pieces.append(ids)
+                    shares.append(alpha[i] * self.p[ids] * beta[j] * weight if some is None else alpha[i][some] * self.p[ids] * beta[j][some] * weight[some])
+            at, share = np.concatenate(pieces), np.concatenate(shares)
+            for c in range(counts.shape[1]):
+                total[:, c] += np.bincount(at, share[:, c], len(total))
         return total[: len(self.place)]
 
 
@@ -137,8 +199,8 @@ def _by_length(words: list[str]):
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == n)
-        for at in range(0, len(rows), 4096):
-            yield n, rows[at : at + 4096]
+        for at in range(0, len(rows), 8192):
+            yield n, rows[at : at + 8192]
 
 
 def _expecter(path: str, model):
@@ -204,30 +266,27 @@ def _predictor(path: str, model):
         table = np.zeros((KNOWN_WORDS * 2, len(names)))
         for batch in slices(batches):
             split = [find(t) if t else [] for t in column(batch, "text").to_pylist()]
-            langs, scores = [], []
-            for words in split:
-                if not words or not names:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                new = list(set(words).difference(place))
-                if new:
-                    if len(place) + len(new) > len(table):
-                        place.clear()
-                        new = list(set(words))
-                        if len(new) > len(table):
-                            table = np.zeros((len(new), len(names)))
-                    parts = [(k, x) for k, w in enumerate(new) for x in cut(w)]
-                    sums = lattice.log_sums([x for _, x in parts])
-                    lines = np.array([k for k, _ in parts])
-                    each = np.stack([np.bincount(lines, sums[:, c], len(new)) for c in range(len(names))], axis=1)
-                    table[len(place) : len(place) + len(new)] = each
-                    place.update(zip(new, range(len(place), len(place) + len(new))))
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                total = table[at].sum(axis=0) + prior
-                best = int(np.argmax(np.round(total, 9)))
-                langs.append(names[best])
-                scores.append(float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
+            langs, scores = ["und"] * len(split), [0.0] * len(split)
+            new = list(set().union(*split).difference(place)) if names else []
+            if new:
+                if len(place) + len(new) > len(table):
+                    place.clear()
+                    new = list(set().union(*split))
+                    if len(new) > len(table):
+                        table = np.zeros((len(new), len(names)))
+                parts = [(k, x) for k, w in enumerate(new) for x in cut(w)]
+                sums = lattice.log_sums([x for _, x in parts])
+                lines = np.array([k for k, _ in parts])
+                each = np.stack([np.bincount(lines, sums[:, c], len(new)) for c in range(len(names))], axis=1)
+                table[len(place) : len(place) + len(new)] = each
+                place.update(zip(new, range(len(place), len(place) + len(new))))
+            for k, words in enumerate(split):
+                if words and names:
+                    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                    total = table[at].sum(axis=0) + prior
+                    best = int(np.argmax(np.round(total, 9)))
+                    langs[k] = names[best]
+                    scores[k] = float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "held_out"), pa.array(langs), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     return work
