@@ -201,7 +201,7 @@ def prefix_budget(spark, sf):
 @query("per_file_cap", f"WITH {SYMBOLS_SQL} SELECT id, file, k, round(cyclomatic * pow(0.5, k - 1), 6) AS adjusted FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY cyclomatic DESC, id) AS k FROM symbols) WHERE k <= 3")
 def per_file_cap(spark, sf):
     w = Window.partitionBy("file").orderBy(F.desc("cyclomatic"), "id")
-    return symbols(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 3").select("id", "file", "k", F.round(F.col("cyclomatic") * F.pow(F.lit(0.5), F.col("k") - 1), 6).alias("adjusted"))
+    return symbols(spark, sf).withColumn("k", F.row_number().over(w).cast("long")).where("k <= 3").select("id", "file", "k", F.round(F.col("cyclomatic") * F.pow(F.lit(0.5), F.col("k") - 1), 6).alias("adjusted"))
 
 
 # -- history --------------------------------------------------------------------------------------------------------------
