@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelunka.llm import bpe, lines, mixing, simhash, toxicity
+from spelunka.llm import bpe, lines, mixing, nearcopies, toxicity
 from spelunka.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,9 +33,11 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    """Of each class of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    keyed = nearcopies.with_key(docs.select("doc_id", "text")).select("doc_id", F.col("__key").alias("key"))
+    found = keyed.join(nearcopies.classes(docs), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
+    gone = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
