@@ -132,6 +132,16 @@ def fuzzy(df: DataFrame, query: str, name: str = "name", min_jaccard: float = 0.
     return found.where((F.col("jaccard") >= min_jaccard) | (F.col("edits") <= max_edits))
 
 
+def deletions(d: DataFrame, c: str, most: int) -> DataFrame:
+    """c and v: the names of column c and what is left of each after at most that many deletions."""
+    now = d.select(c, F.col(c).alias("v"))
+    seen = now
+    for _ in range(most):
+        now = now.where(F.length("v") > 0).select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.concat(F.substring("v", F.lit(1), i - 1), F.substring(F.col("v"), i + 1, F.length("v"))))).alias("v")).distinct()
+        seen = seen.unionByName(now)
+    return seen.distinct()
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, min_jaccard: float = 0.4, max_edits: int = 2) -> DataFrame:
     """Pairs of distinct names (columns `name`) that are close: blocked by trigram for the first test and by deleted
     characters for the second (names within e edits share a variant with at most e deletions), never a cross join."""
@@ -140,15 +150,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, min_jaccard: float = 0.4, max
     shared = gram(a, "a").join(gram(b, "b"), "g").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
     by_gram = shared.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= min_jaccard).select("a", "b")
 
-    def variants(d, c):
-        now = d.select(c, F.col(c).alias("v"))
-        seen = now
-        for _ in range(max_edits):
-            now = now.where(F.length("v") > 0).select(c, F.explode(F.transform(F.sequence(F.lit(1), F.length("v")), lambda i: F.concat(F.substring("v", F.lit(1), i - 1), F.substring(F.col("v"), i + 1, F.length("v"))))).alias("v")).distinct()
-            seen = seen.unionByName(now)
-        return seen.distinct()
-
-    by_edit = variants(a, "a").join(variants(b, "b"), "v").select("a", "b").distinct().where(F.levenshtein("a", "b") <= max_edits)
+    by_edit = deletions(a, "a", max_edits).join(deletions(b, "b", max_edits), "v").select("a", "b").distinct().where(F.levenshtein("a", "b") <= max_edits)
     return by_gram.unionByName(by_edit).distinct().withColumns({"jaccard": X.jaccard(X.trigrams(F.col("a")), X.trigrams(F.col("b"))), "edits": F.levenshtein("a", "b")})
 
 

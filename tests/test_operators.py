@@ -96,6 +96,27 @@ def test_fuzzy_pairs_complete(spark):
     assert {(r.a, r.b) for r in S.fuzzy_pairs(df, df).collect()} == want
 
 
+def test_stale_references_complete(spark):
+    refs = ["xrinx", "mod.aplhb", "zzzzzzzz", "ring", "bcdefg", "abc"]
+    names = ["ring", "xxaanx", "alpha", "bolt", "xcdefx", "abcdexx", "é"]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for ref in (r.split(".")[-1] for r in refs):
+        if len(ref) > 3 and ref not in names:
+            want[ref] = min(((edits(ref, n), n) for n in names if edits(ref, n) <= 3), default=(None, None))[1]
+    assert want["xrinx"] == "ring"
+    got = Y.stale_references(spark.createDataFrame([(r,) for r in refs], "ref string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    assert {r.ref: r.suggestion for r in got.collect()} == want
+
+
 def test_refactor_plans(spark):
     from spelunka.operators import refactor as R
 
