@@ -37,7 +37,7 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 class WarcError(ValueError):
-    """A file whose records don't chain from its start to its end."""
+    """A file whose records don't chain from its start to its end, or name pages by what is no id."""
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -76,8 +76,14 @@ def _field(head: bytes, name: bytes) -> bytes | None:
 
 
 def _number(value: bytes | None) -> int | None:
-    m = value and re.fullmatch(rb"(?:<urn:page:)?(\d{1,18})>?", value)
-    return int(m[1]) if m else None
+    """A 64-bit number, bare or as a page's URI."""
+    m = value and re.fullmatch(rb"(?:<urn:page:)?(-?\d{1,19})>?", value)
+    return n if m and -(1 << 63) <= (n := int(m[1])) < 1 << 63 else None
+
+
+def _named(value: bytes | None) -> bool:
+    """Whether that is a page's id, or the null one."""
+    return value == b"<urn:page:null>" or _number(value) is not None
 
 
 def candidates(content: bytes) -> list[dict]:
@@ -102,6 +108,7 @@ def candidates(content: bytes) -> list[dict]:
                     "id": _number(_field(head, b"WARC-Record-ID")), "kind": kind, "digest": said if revisit else own, "sound": revisit or said == own,
                     "payload_bytes": _number(_field(head, b"X-Payload-Length")) if revisit else len(payload),
                     "refers_to": _number(_field(head, b"WARC-Refers-To")) if revisit else None,
+                    "named": _named(_field(head, b"WARC-Record-ID")) and (not revisit or _number(_field(head, b"WARC-Refers-To")) is not None),
                     "url": (_field(head, b"WARC-Target-URI") or b"").decode("utf-8", "replace"),
                 }
         out.append(row)
@@ -109,7 +116,8 @@ def candidates(content: bytes) -> list[dict]:
     return out
 
 
-FIELDS = [("path", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("sound", pa.bool_()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string())]
+#: named is for the candidates alone: whether the page ids parse.
+FIELDS = [("path", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("next", pa.int64()), ("id", pa.int64()), ("kind", pa.string()), ("digest", pa.string()), ("sound", pa.bool_()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("named", pa.bool_())]
 SCHEMA = "path string, size long, at long, next long, id long, kind string, digest string, sound boolean, payload_bytes long, refers_to long, url string"
 
 
@@ -150,18 +158,25 @@ def reachable(at: np.ndarray, nxt: np.ndarray, size: int) -> np.ndarray:
     return seen[:n]
 
 
-def _chain(pdf):
-    pdf = pdf.sort_values("at", ignore_index=True)
+def _chain(table: pa.Table) -> pa.Table:
+    """The reachable records of a file. Arrow throughout: pandas would turn ids beside nulls into doubles."""
+    table = table.sort_by("at")
+    path = table.column("path")[0].as_py()
     try:
-        return pdf[reachable(pdf["at"].to_numpy(np.int64), pdf["next"].to_numpy(np.int64), int(pdf["size"].iloc[0]))]
+        seen = reachable(table.column("at").to_numpy(), table.column("next").to_numpy(), table.column("size")[0].as_py())
     except WarcError as e:
-        raise WarcError(f"{pdf['path'].iloc[0]}: {e}") from None
+        raise WarcError(f"{path}: {e}") from None
+    table = table.filter(pa.array(seen))
+    if not all(table.column("named").to_pylist()):
+        at = table.column("at")[table.column("named").to_pylist().index(False)]
+        raise WarcError(f"{path}: the record at {at} has no valid page id")
+    return table.drop_columns(["named"])
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The true records of all files in folder, one row each: path, size (of the file), at, next, id, kind, digest, sound (the payload has the digest that the header names), payload_bytes, refers_to, url."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    return files.mapInArrow(_scan, SCHEMA).groupBy("path").applyInPandas(_chain, SCHEMA)
+    return files.mapInArrow(_scan, SCHEMA + ", named boolean").groupBy("path").applyInArrow(_chain, SCHEMA)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -26,6 +26,22 @@ def test_warc_against_brute_force(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_warc_ids_of_64_bits(spark):
+    big = "y" * 1200
+    ids = [-(2**63), -5, 2**53 + 1, 10**18 + 3, 2**63 - 2, 2**63 - 1]
+    pages = [(i, "u", big) for i in ids] + [(-7, "u", "a" * 1000), (-9, "u", "a" * 1000), (-1, "u", "small"), (None, "u", big)]
+    got = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()
+    want = [(i, 2**63 - 1 if i != 2**63 - 1 else None) for i in ids] + [(-7, None), (-9, -7), (-1, None), (None, None)]
+    assert sorted(((r.id, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["<urn:page:x1>", "<urn:page:9223372036854775808>", ""])
+def test_warc_refuses_what_is_no_id(spark, tmp_path, name):
+    (tmp_path / "part-0").write_text(FAKE.replace("<urn:page:999>", name), newline="")
+    with pytest.raises(Exception, match="no valid page id"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
 def test_chain():
     one = FAKE.encode()
     data = one + one.replace(b"hello", FAKE.encode()).replace(b"Content-Length: 5", b"Content-Length: %d" % len(FAKE), 1) + one
