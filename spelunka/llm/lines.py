@@ -1,8 +1,7 @@
 """Line dedup: a sharded minimal perfect hash over distinct line hashes; documents probe its arrays.
 
-1. Tasks hash the keys of their lines (128 bits) and emit, already summed over a slice of documents, how many documents
-   hold each key and the largest id among them; one aggregation over the hashes adds these up. Only keys in enough
-   documents remain.
+1. Tasks hash the keys of their lines (128 bits) and emit each with the ids that hold it. Distinct pairs of hash and id
+   are counted by hash, with the largest id. Only keys in enough documents remain.
 2. The remaining hashes are dealt to shards. Each shard becomes a minimal perfect hash: displacements of its buckets, and
    arrays of a 64-bit fingerprint, the count and the largest id, one entry a key, no gaps.
 3. Documents compute the same hashes and look them up in the arrays. If the arrays of all shards together are at most
@@ -56,26 +55,19 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _counter(least: int):
+def _holders(least: int):
+    """Each key and the document that holds it, once a slice."""
+
     def work(batches):
         for batch in slices(batches):
-            found: dict[tuple[int, int], list[int]] = {}
+            found: set[tuple[int, int, int]] = set()
             for doc, text in zip(column(batch, "id").to_pylist(), column(batch, "text").to_pylist()):
                 if doc is None or not text:
                     continue
-                for key in {k for k in map(line_key, text.encode().split(b"\n")) if long_enough(k, least)}:
-                    entry = found.get(h := key_hash(key))
-                    if entry is None:
-                        found[h] = [1, doc]
-                    else:
-                        entry[0] += 1
-                        entry[1] = max(entry[1], doc)
+                found.update((*key_hash(k), doc) for k in {k for k in map(line_key, text.encode().split(b"\n")) if long_enough(k, least)})
             if found:
-                keys, entries = list(found), list(found.values())
-                yield pa.RecordBatch.from_arrays(
-                    [_signed([k[0] for k in keys]), _signed([k[1] for k in keys]), pa.array([e[0] for e in entries], pa.int64()), pa.array([e[1] for e in entries], pa.int64())],
-                    ["h1", "h2", "n", "last"],
-                )
+                h1, h2, ids = zip(*found)
+                yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(ids, pa.int64())], ["h1", "h2", "id"])
 
     return work
 
@@ -305,8 +297,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in names.items()))
     out = T.StructType([*T.StructType.fromDDL(OUT).fields, *(T.StructField(x, rows.schema[x].dataType) for x in names.values())])
     back = lambda d: d.select("id", "n_lines", "n_dropped", "kept", *(F.col(x).alias(c) for c, x in names.items()))
-    counted = rows.select("id", "text").mapInArrow(_counter(min_length), "h1 long, h2 long, n long, last long")
-    shared = durable(counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_documents))
+    held = rows.select("id", "text").mapInArrow(_holders(min_length), "h1 long, h2 long, id long").distinct()
+    shared = durable(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents))
     keys = shared.count()
     shards = max(1, -(-keys // shard_keys))
     built = shared.withColumn("shard", _shard_column(shards)("h1")).groupBy("shard").applyInPandas(_builder, "shard long, seeds binary, prints binary, counts binary, lasts binary")

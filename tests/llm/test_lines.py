@@ -26,6 +26,14 @@ def test_against_brute_force(spark, limit):
     assert sum(r[2] for r in got) > 100
 
 
+@pytest.mark.parametrize("limit", [lines.MAX_BROADCAST_BYTES, 0])
+def test_repeated_rows_are_one_document(spark, limit):
+    other = "Another line that is long enough to count"
+    docs = [(1, BIG), (1, BIG), (2, BIG), (3, other), (3, other + "\nx"), (4, other), (5, other)]
+    found = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), max_broadcast_bytes=limit)
+    assert sorted((r.id, r.n_dropped) for r in found.collect()) == [(1, 0), (1, 0), (2, 0), (3, 1), (3, 1), (4, 1), (5, 0)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(df).count() == 0
