@@ -33,12 +33,13 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    keyed = nearcopies.with_key(docs.select("doc_id", "text")).select("doc_id", F.col("__key").alias("key"))
-    found = keyed.join(nearcopies.classes(docs), "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies (five-word shingles, similarity 0.8) one row stays: that of the smallest id, of several by hash."""
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__h"))
+    keyed = nearcopies.with_key(rows.select("doc_id", "text", "__h")).select("doc_id", "__h", F.col("__key").alias("key"))
+    found = keyed.join(nearcopies.classes(docs), "key", "left").where("doc_id is not null").select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "__h").alias("row"))
+    kept = found.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.__h")
+    one = rows.join(kept, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"])
+    return one.unionByName(rows.where("doc_id is null")).select(*COLUMNS)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def test_stage_against_brute_force(spark):
     assert C.stage_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(80))
+    rows = [(1, text("a")), (1, text("a")), (1, text("a") + " end"), (2, text("a")), (2, text("b")), (3, text("b") + " end"), (4, text("c")), (4, text("d")), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.removesuffix(" end")) for r in C.stage_near_duplicates(spark, docs.repartition(4), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text("a")), (2, text("b")), (4, text("c")), (4, text("d")), (None, text("a")), (None, text("a"))], key=str)
+
+
 def test_similar_at_the_bound():
     sets = [np.arange(8, dtype=np.uint64), np.arange(10, dtype=np.uint64), np.arange(7, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
     assert nearcopies.similar(sets).tolist() == [0, 0, 0, 3]
