@@ -1,10 +1,11 @@
 """WARC archives: written with one record a page, read back by boundary-chain verification.
 
 Writing: among pages of equal payloads of at least ``min_revisit`` bytes, the largest page id is a response record and
-the others are revisit records that refer to it. The groups are found on (id, digest) alone; payloads move once, by page
-id, so a payload that many pages share makes no large partition. Records are strings, written by Spark's text writer
-with CRLF ends, at most ``records_per_file`` a file, compressed by gzip:
-any file system will do, and a lost task is written again. Offsets are those of the uncompressed archive.
+the others are revisit records that refer to it. The groups are found on (id, digest) alone, and dealt to ``SALTS`` parts
+of each digest; payloads move once, by page id. So a payload that very many pages share makes no large partition. Records
+are strings, written by Spark's text writer with CRLF ends, compressed by gzip: any file system will do, and a lost task is
+written again. Pages are written by classes of size, each with as many records a file as fit ``file_bytes``; a page beyond
+that has a file of its own. Offsets are those of the uncompressed archive.
 
 Reading: tasks search each file for the magic line and take every hit as a candidate record; they emit its offset, the
 offset of its successor (after header, block and the two closing line ends) and what the header and block say. Per file,
@@ -32,7 +33,8 @@ from spelunka.llm.common import durable, ensure_checkpoint_dir
 
 MAGIC = b"WARC/1.1\r\n"
 MIN_REVISIT = 1000
-RECORDS_PER_FILE = 2000
+FILE_BYTES = 64 << 20
+SALTS = 32
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -40,15 +42,24 @@ class WarcError(ValueError):
     """A file whose records don't chain from its start to its end, or name pages by what is no id."""
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """One column, record: the whole record of each row, without its last line end."""
+def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"))
-    rows = rows.withColumns({"n": F.octet_length("html"), "digest": F.sha1(F.col("html").cast("binary"))})
-    narrow = rows.where((F.col("n") >= min_revisit) & F.col("id").isNotNull()).select("id", "digest")
+    return rows.withColumn("n", F.octet_length("html"))
+
+
+def revisits(rows: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """id, digest and refers_to of those rows (id, html, n) whose payload a larger page has too."""
+    narrow = rows.where((F.col("n") >= min_revisit) & F.col("id").isNotNull()).select("id", F.sha1(F.col("html").cast("binary")).alias("digest"))
     groups = narrow.groupBy("digest").agg(F.max("id").alias("refers_to"), F.min("id").alias("least")).where("least < refers_to").drop("least")
-    revisits = narrow.join(groups, "digest").where("id < refers_to").select("id", "digest", "refers_to").distinct()
-    both = rows.alias("r").join(revisits.alias("v"), (F.col("r.id") == F.col("v.id")) & (F.col("r.digest") == F.col("v.digest")), "left").select("r.*", "v.refers_to")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return narrow.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(groups, ["digest", "salt"]).where("id < refers_to").select("id", "digest", "refers_to").distinct()
+
+
+def records(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """One column, record: the whole record of each row (id, url, html, n), without its last line end. again: from revisits()."""
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    both = rows.alias("r").join(again.alias("v"), (F.col("r.id") == F.col("v.id")) & (F.col("r.digest") == F.col("v.digest")), "left").select("r.*", "v.refers_to")
     uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
     return both.select(
@@ -66,8 +77,25 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def write_archives(recs: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    recs.write.mode("overwrite").option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
+def size_classes(largest: int, file_bytes: int = FILE_BYTES) -> list[tuple[int, int, int]]:
+    """(from, to, records a file) of payload sizes, up to the largest: records of a class fit file_bytes together, or are alone."""
+    out, low = [], 0
+    for per_file in (2048, 128, 8, 1):
+        high = file_bytes // per_file if per_file > 1 else largest + 1
+        out.append((low, high, per_file))
+        low = high
+    return [c for c in out if c[0] <= largest]
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> None:
+    rows = _rows(pages, id_col, url_col, html_col)
+    classes = size_classes(rows.agg(F.max("n")).first()[0] or 0, file_bytes)
+    again = revisits(rows, min_revisit)
+    if len(classes) > 1:
+        again = durable(again)
+    for low, high, per_file in classes:
+        some = rows if len(classes) == 1 else rows.where((F.col("n") >= low) & (F.col("n") < high))
+        records(some, again).write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
@@ -188,7 +216,7 @@ def archived(pages: DataFrame, **columns) -> DataFrame:
     """pages, written to archives in the shared folder and read back; the archives are removed once their records' fields are safe."""
     spark = pages.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(records(pages, **columns), folder)
+    write_archives(pages, folder, **columns)
     found = durable(read_archives(spark, folder))
     remove_folder(spark, folder)
     return found

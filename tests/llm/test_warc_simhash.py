@@ -35,6 +35,19 @@ def test_warc_ids_of_64_bits(spark):
     assert sorted(((r.id, r.refers_to) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of all sizes; what shares a payload still refers to it; no file holds much more than file_bytes or one page."""
+    sizes = [0, 5, 90, 700, 1000, 1000, 5000, 40_000, 300_000, 2_000_000] * 6
+    pages = spark.createDataFrame([(i, f"u{i}", "p" * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "a"), file_bytes=200_000)
+    found = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert len(found) == 60 and {r.id: r.refers_to for r in found} == {i: max(j for j in range(60) if sizes[j] == n) if n >= 1000 and any(sizes[j] == n for j in range(i + 1, 60)) else None for i, n in enumerate(sizes)}
+    assert all(r.size <= max(200_000 + 2048 * 600, r.payload_bytes + 1000) for r in found if r.kind == "response")
+    assert max(r.size for r in found if r.payload_bytes < 10_000) < 300_000
+    assert warc.size_classes(0, 1 << 20) == [(0, 512, 2048)]
+    assert [c[2] for c in warc.size_classes(1 << 40, 1 << 26)] == [2048, 128, 8, 1]
+
+
 @pytest.mark.parametrize("name", ["<urn:page:x1>", "<urn:page:9223372036854775808>", ""])
 def test_warc_refuses_what_is_no_id(spark, tmp_path, name):
     (tmp_path / "part-0").write_text(FAKE.replace("<urn:page:999>", name), newline="")
