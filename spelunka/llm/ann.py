@@ -1,15 +1,21 @@
 """Approximate nearest neighbours: a forest of random-projection trees with one priority queue over all trees.
 
-The forest is fitted on a sample of at most ``sample_rows`` vectors, chosen by a hash of the id; it has ``trees`` trees of
-about ``leaves`` leaves, split at the median of the projection on the difference of two random vectors. Its size depends
-on these parameters and the dimension only. All vectors are indexed: each is dealt to its leaf in every tree.
+The forest is fitted on a sample of at most ``sample_rows`` vectors, chosen by a hash of the id; each tree has about
+``leaves`` leaves, split at the median of the projection on the difference of two random vectors. Its size depends on these
+parameters and the dimension only. All vectors are indexed: each is dealt to its leaf in every tree.
 
 A query walks all trees through one queue, ordered by the squared distance to the nearest planes crossed, and visits
-leaves until their shares of the sample sum to ``visit``. It goes to the leaves it has chosen, where its exact cosines
-with the vectors there are computed in blocks and only the best few stay; the best of all leaves are its answer.
+leaves until their shares of the sample sum to ``visit``. How many trees are searched (of TREES) and how far is measured on
+the sample: the cheapest forest and the smallest sum with which ``recall`` of the true neighbours, inside the sample, of at
+most PROBES sampled vectors are found. Neighbours are nearer among all rows than in the sample, so this errs to the safe
+side, at any number of rows: a table without structure is read widely, a clustered one in few leaves.
 
-Vectors equal in every component are one vector with the few smallest of its ids, so a vector that very many rows share
-fills no leaf.
+A leaf's vectors are split by a hash into parts of about ``part_rows``; a task holds one part, and the queries that visit
+the leaf stream past it. Exact cosines are computed in blocks; the best of all leaves are the answer.
+
+Vectors are scaled by a power of two before anything is multiplied, so very large and very small ones neither over- nor
+underflow, and cosines don't change. Vectors equal in every component are one vector with the few smallest of its ids, so
+a vector that very many rows share fills no leaf.
 
 Defined results: null vectors, zero ones, those with null or non-finite components, rows with a null id and vectors not
 of the most frequent dimension take no part. A query whose id occurs in several rows is answered once for each distinct
@@ -28,14 +34,17 @@ from pyspark.sql import functions as F
 from spelunka.llm.common import column, durable
 
 NEIGHBOURS = 5
-TREES, LEAVES, VISIT, SAMPLE_ROWS = 8, 128, 0.9, 32_768
+TREES, LEAVES, SAMPLE_ROWS = (2, 4, 8), 128, 32_768
+RECALL, PROBES = 0.97, 400
+TREE_COST = 0.05  # a further tree copies all vectors once more: worth it if it saves this share of the reading
+PART_ROWS = 16_384
 BLOCK = 1024
 
 
 class Forest:
     """trees: lists of nodes (plane, offset, left, right) or (leaf number, share of the sample)."""
 
-    def __init__(self, sample: np.ndarray, trees: int = TREES, leaves: int = LEAVES, seed: int = 0):
+    def __init__(self, sample: np.ndarray, trees: int = max(TREES), leaves: int = LEAVES, seed: int = 0):
         rng = np.random.default_rng(seed)
         least = max(16, len(sample) // leaves)
         self.planes, self.offsets, self.trees = [], [], []
@@ -91,8 +100,8 @@ class Forest:
             out.append(leaf)
         return out
 
-    def visits(self, margins: np.ndarray, visit: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until the leaves' shares sum to visit."""
+    def visits(self, margins: np.ndarray, visit: float) -> list[tuple[int, int, float]]:
+        """(tree, leaf, shares before it) in the order of the shared queue, until the leaves' shares sum to visit."""
         m = margins.tolist()
         heap = [(0.0, t, 0) for t in range(len(self.trees))]
         out, total = [], 0.0
@@ -104,24 +113,55 @@ class Forest:
                 near, other = (node[1], node[2]) if d < 0 else (node[2], node[1])
                 heappush(heap, (far + d * d, t, other))
                 node = self.trees[t][near]
-            out.append((t, node[0]))
+            out.append((t, node[0], total))
             total += node[1]
         return out
 
+    def first(self, trees: int) -> Forest:
+        """The forest of the first trees only."""
+        out = object.__new__(Forest)
+        out.planes, out.offsets, out.trees = self.planes, self.offsets, self.trees[:trees]
+        return out
+
+    def reach(self, sample: np.ndarray, neighbours: int, recall: float, probes: int = PROBES) -> float:
+        """The least sum of shares with which that recall is met on the sample it was fitted on."""
+        if len(sample) < 2:
+            return float(len(self.trees))
+        asked = np.arange(0, len(sample), max(1, -(-len(sample) // probes)))
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        k = min(neighbours, len(sample) - 1)
+        near = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        of, margins, costs = self.leaves_of(sample), self.margins(sample[asked]), []
+        for m, theirs in zip(margins, near):
+            before = {(t, leaf): cost for t, leaf, cost in self.visits(m, np.inf)}
+            costs += [min(before[t, int(leaf[x])] for t, leaf in enumerate(of)) for x in theirs.tolist()]
+        costs.sort()
+        return float(np.nextafter(costs[min(len(costs) - 1, int(np.ceil(recall * len(costs))))], np.inf))
+
+
+def fitted(sample: np.ndarray, neighbours: int, recall: float = RECALL, trees: tuple[int, ...] = TREES, leaves: int = LEAVES) -> tuple[Forest, float]:
+    """The cheapest forest of those numbers of trees, and how far to visit it."""
+    whole = Forest(sample, max(trees), leaves)
+    found = [(whole.first(t), whole.first(t).reach(sample, neighbours, recall)) for t in sorted(trees)]
+    return min(found, key=lambda c: c[1] + TREE_COST * len(c[0].trees))
+
 
 def _matrix(values) -> np.ndarray:
-    return np.array([np.frombuffer(v, np.float64) for v in values])
+    """The vectors, each scaled by a power of two so that its largest component is between a half and one."""
+    x = np.array([np.frombuffer(v, np.float64) for v in values])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _router(forest, visit: float):
-    """kind 0: queries, to each leaf visited; kind 1: vectors, to their leaf of each tree."""
+def _router(forest, visit: float, parts: int):
+    """kind 0: vectors, to one part of their leaf of each tree; kind 1: queries, to all parts of each leaf visited."""
 
-    def out(tree, leaf, kind, ids, vectors):
-        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], ["tree", "leaf", "kind", "id", "v"])
+    def out(tree, leaf, part, kind, ids, vectors):
+        return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], ["tree", "leaf", "part", "kind", "id", "v"])
 
     def work(batches):
         known = forest.value
@@ -130,62 +170,58 @@ def _router(forest, visit: float):
                 batch = whole.slice(at, BLOCK)
                 ids, asks, packed = (column(batch, c).to_pylist() for c in ("cid", "asks", "v"))
                 x = _unit(_matrix(packed))
+                part = (np.array(ids, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts  # an odd multiplier
                 for t, leaf in enumerate(known.leaves_of(x)):
-                    yield out([t] * len(ids), leaf, 1, ids, packed)
+                    yield out([t] * len(ids), leaf, part, 0, ids, packed)
                 asking = [i for i, a in enumerate(asks) if a]
-                if asking:
-                    margins = known.margins(x[asking])
-                    for i, m in zip(asking, margins):
-                        seen = known.visits(m, visit)
-                        yield out([t for t, _ in seen], [leaf for _, leaf in seen], 0, [ids[i]] * len(seen), [packed[i]] * len(seen))
+                for a in range(0, len(asking), 64):
+                    some = asking[a : a + 64]
+                    for i, m in zip(some, known.margins(x[some])):
+                        seen = [(t, leaf, p) for t, leaf, _ in known.visits(m, visit) for p in range(parts)]
+                        yield out(*zip(*seen), 1, [ids[i]] * len(seen), [packed[i]] * len(seen))
 
     return work
 
 
 def _searcher(keep: int):
-    """Rows come sorted by tree, leaf, kind and id: queries of a leaf first, then its vectors in blocks."""
-
-    def result(queries, best, names):
-        q, k = np.nonzero(np.isfinite(best))
-        return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(names[q, k]), pa.array(best[q, k])], ["qid", "cid", "score"])
+    """Rows come sorted by tree, leaf, part and kind: the vectors of a part first, then the queries that visit it."""
+
+    def best(queries, x, names, y, sizes):
+        k = min(keep, len(names))
+        score = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * sizes)
+        if len(names) > k:
+            worst = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            q, c = np.nonzero(score >= worst)  # ties stay, all of them
+        else:
+            q, c = np.nonzero(np.ones(score.shape, bool))
+        order = np.lexsort((names[c], -score[q, c], q))
+        q, c = q[order], c[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, c = q[place < k], c[place < k]
+        return pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(names[c]), pa.array(score[q, c])], ["qid", "cid", "score"])
 
     def work(batches):
-        place, asked, vectors, ready = None, [], [], None
+        place, held, ready = None, [], None
         for whole in batches:
-            tree, leaf, kind = (column(whole, c).to_numpy(zero_copy_only=False) for c in ("tree", "leaf", "kind"))
-            cuts = np.r_[0, np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0) | (np.diff(kind) != 0)) + 1, len(tree)]
+            keys = [column(whole, c).to_numpy(zero_copy_only=False) for c in ("tree", "leaf", "part", "kind")]
+            cuts = np.r_[0, np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1, whole.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
                     continue
-                if (tree[a], leaf[a]) != place:
-                    if ready:
-                        yield result(*ready)
-                    place, asked, vectors, ready = (tree[a], leaf[a]), [], [], None
+                if (now := tuple(int(k[a]) for k in keys[:3])) != place:
+                    place, held, ready = now, [], None
                 part = whole.slice(a, b - a)
-                ids, packed = column(part, "id").to_numpy(zero_copy_only=False), column(part, "v").to_pylist()
-                if kind[a] == 0:
-                    asked.append(ids)
-                    vectors.append(_matrix(packed))
+                ids, vectors = column(part, "id").to_numpy(zero_copy_only=False), _matrix(column(part, "v").to_pylist())
+                if keys[3][a] == 0:
+                    held.append((ids, vectors))
                     continue
-                if not asked:
+                if not held:
                     continue
                 if ready is None:
-                    queries, x = np.concatenate(asked), np.concatenate(vectors)
-                    ready = queries, np.full((len(queries), keep), -np.inf), np.zeros((len(queries), keep), np.int64)
-                    sizes = np.linalg.norm(x, axis=1)
-                queries, best, names = ready
-                y = _matrix(packed)
-                for i in range(0, len(y), BLOCK):
-                    block, theirs = y[i : i + BLOCK], ids[i : i + BLOCK]
-                    for j in range(0, len(x), BLOCK):
-                        score = (x[j : j + BLOCK] @ block.T) / (sizes[j : j + BLOCK, None] * np.linalg.norm(block, axis=1))
-                        both = np.concatenate([best[j : j + BLOCK], score], axis=1)
-                        label = np.concatenate([names[j : j + BLOCK], np.broadcast_to(theirs, score.shape)], axis=1)
-                        order = np.argsort(-both, axis=1, kind="stable")[:, :keep]  # ids ascend, so ties stay with the smaller
-                        best[j : j + BLOCK] = np.take_along_axis(both, order, 1)
-                        names[j : j + BLOCK] = np.take_along_axis(label, order, 1)
-        if ready:
-            yield result(*ready)
+                    y = np.concatenate([v for _, v in held])
+                    ready = np.concatenate([i for i, _ in held]), y, np.linalg.norm(y, axis=1)
+                for i in range(0, len(ids), 256):
+                    yield best(ids[i : i + 256], vectors[i : i + 256], *ready)
 
     return work
 
@@ -202,7 +238,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select("id", plain.alias("v"), F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2"))
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, neighbours: int = NEIGHBOURS, trees: int = TREES, leaves: int = LEAVES, visit: float = VISIT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, neighbours: int = NEIGHBOURS, recall: float = RECALL, trees: tuple[int, ...] = TREES, leaves: int = LEAVES, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every`` its nearest others found, by cosine."""
     spark = df.sparkSession
     rows = usable(df, id_col, vector_col)
@@ -219,9 +255,10 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     chosen = pack.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)).select("v").limit(sample_rows).toPandas()["v"]
     if not len(chosen):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = spark.sparkContext.broadcast(Forest(_unit(_matrix(chosen)), trees, leaves))
-    routed = pack.mapInArrow(_router(forest, visit), "tree int, leaf int, kind int, id long, v binary")
-    found = routed.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "kind", "id").mapInArrow(_searcher(keep), "qid long, cid long, score double")
+    fit, visit = fitted(_unit(_matrix(chosen)), neighbours, recall, trees, leaves)
+    forest, parts = spark.sparkContext.broadcast(fit), max(1, -(-n // (leaves * part_rows)))
+    routed = pack.mapInArrow(_router(forest, visit, parts), "tree int, leaf int, part int, kind int, id long, v binary")
+    found = routed.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind").mapInArrow(_searcher(keep), "qid long, cid long, score double")
     best = found.groupBy("qid", "cid").agg(F.max("score").alias("score"))
     best = best.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("n") <= keep).drop("n")
     names = unique.select("cid", "ids", "k1", "k2")
