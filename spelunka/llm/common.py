@@ -54,6 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SL
             start = stop
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores more as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

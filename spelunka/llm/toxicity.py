@@ -1,20 +1,23 @@
-"""Toxicity by compression distance: two zstandard dictionaries, window by window, and calibrated thresholds.
+"""Toxicity by compression distance: two trained zstandard dictionaries, window by window, and calibrated thresholds.
 
-Learning uses at most ``sample_rows`` labelled rows of each class, chosen by a hash of the id; this bound fixes the size of
-the model and of everything that reaches the driver.
+Learning uses at most ``sample_rows`` labelled rows of each class, those of the smallest hashes; this documented bound
+fixes the size of the model and of everything that reaches the driver.
 
 1. Contrast: byte n-grams of words are counted in both classes, over distinct contexts (the word and its two neighbours),
    so that copies of a text count once. The n-grams far more frequent in one class give that class's training text: the
-   stretches of its words that they cover.
-2. Dictionaries: a common base is trained by zstandard on windows of ordinary text. The toxic dictionary is the base and
-   the toxic training text, the ordinary one the base and the ordinary training text, laid out to equal lengths so that
-   the base is indexed alike in both; each stretch stands there three times, at all three phases of the indexer.
+   stretches of its words that they cover, as often as they occur.
+2. Dictionaries: zstandard trains one on the toxic training text and one on the ordinary training text. Each follows a
+   common base, which zstandard trains on at most ``base_windows`` windows of ordinary text (of the sample, by hash), so
+   that both compress what is common alike. Both pairs are padded to equal lengths, so the base is indexed alike.
 3. Windows: a text's words (runs of letters, lower case) are cut into windows. The gain of a window is its compressed
    length under the ordinary dictionary less that under the toxic one. A document's features are the sum of its gains, of
    its positive gains, its largest gain, and its number of words.
 4. Calibration: a logistic regression on these features; then its threshold moves to where the F1 score on the sample,
    weighted as the classes are in all labelled rows, is best, and this becomes score 0.5.
 
+Trained on all windows of each class alone, the dictionaries hold what is common in both and tell little: README.md has
+the figures.
+
 Defined results: null, empty and letterless texts have no windows and the score of no evidence; if the rows to learn from
 lack one of the classes, every score is 0 or 1, as the only class says (0 with no rows at all). Labels count if 0 or 1;
 rows with a null id or text teach nothing; a document with several label rows counts for each. Scores depend on the text
@@ -37,9 +40,10 @@ from spelunka.llm.common import column, documents, durable, fold_of, slices
 SAMPLE_ROWS = 6_000
 WINDOW, GRAM = 8, 6
 LEVEL = 3
-BASE_BYTES, TAIL_BYTES, PHASES = 16 << 10, 2 << 10, 3
+BASE_BYTES, CLASS_BYTES = 16 << 10, 2 << 10
 CONTRAST = 5.0
 BASE_WINDOWS = 40_000
+TRAINING_SAMPLES = 20_000  # stretches that a class's dictionary is trained on, repeated as often as they occur
 _EDGES = b"\x00"
 
 
@@ -109,13 +113,16 @@ def _counted(of_word):
 
 
 def _sampled(rows: DataFrame, sample_rows: int) -> tuple[DataFrame, list[int]]:
-    """At most sample_rows rows of each class, and how many rows each class has."""
+    """At most sample_rows rows of each class, those of the smallest hashes, and how many rows each class has."""
+    hashed = rows.withColumn("h", F.xxhash64("id", "text"))
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     parts = []
     for toxic in (0, 1):
-        share = min(1.0, sample_rows / max(1, totals.get(toxic, 0)))
-        chosen = rows.where((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1)))
-        parts.append(chosen)
+        part = hashed.where(F.col("toxic") == toxic)
+        if totals.get(toxic, 0) > sample_rows:
+            share = 1.05 * sample_rows / totals[toxic]  # first by hash alone, so that few rows are sorted
+            part = part.where(F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40)))).orderBy(F.pmod(F.col("h"), F.lit(1 << 40)), "id").limit(sample_rows)
+        parts.append(part)
     return parts[0].unionByName(parts[1]), [totals.get(0, 0), totals.get(1, 0)]
 
 
@@ -132,40 +139,43 @@ def _base_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.array([xxh64_intdigest(x) >> 44 for x in out], np.int64))], ["w", "h"])
 
 
-def _tail(snippets: list[bytes], size: int = TAIL_BYTES) -> bytes:
-    """Snippets, the most frequent last, none inside another, at most size bytes."""
-    out = b""
-    for x in snippets:
-        if x not in out and len(out) + len(x) <= size:
-            out = x + out
-    return out
+def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary that zstandard trains on samples, or their end where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
 
+def _repeated(counted: list[tuple[bytes, int]], samples: int = TRAINING_SAMPLES) -> list[bytes]:
+    """Stretches as often as they occur, in all about that many, well mixed."""
+    total = sum(n for _, n in counted)
+    many = [x for x, n in sorted(counted) for _ in range(round(n * min(1.0, samples / max(1, total))))]
+    return [many[i] for i in np.random.default_rng(0).permutation(len(many))]
 
-def dictionaries(sample: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[bytes, bytes]:
+
+def dictionaries(sample: DataFrame, base_windows: int = BASE_WINDOWS) -> tuple[bytes, bytes]:
     """(ordinary, toxic) raw dictionaries, learnt from rows (text, toxic)."""
     context = durable(sample.mapInArrow(_contexts, "toxic int, context long, word binary").dropDuplicates(["toxic", "context"]))
     size = [0, 0]
     for r in context.groupBy("toxic").count().collect():
         size[r["toxic"]] = r["count"]
+    least = max(16, 2e-5 * size[0]), max(8, 6e-5 * size[1])
     counts = context.mapInArrow(_counted(lambda w, _: grams(w)), "x binary, toxic int, n long").groupBy("x").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
-    counts = durable(counts.where((F.col("n0") >= max(16, 2e-5 * size[0])) | (F.col("n1") >= max(8, 6e-5 * size[1]))))
-    picked = []
-    for own, least in ((0, max(16, 2e-5 * size[0])), (1, max(8, 6e-5 * size[1]))):
-        n, other = F.col(f"n{own}"), F.col(f"n{1 - own}")
-        good = counts.where((n >= least) & (n / size[own] >= CONTRAST * (other + 1) / size[1 - own]))
-        picked.append(frozenset(bytes(r["x"]) for r in good.orderBy(F.desc(f"n{own}"), "x").limit(4 * TAIL_BYTES).collect()))
+    far = [(F.col(f"n{c}") >= least[c]) & (F.col(f"n{c}") / size[c] >= CONTRAST * (F.col(f"n{1 - c}") + 1) / size[1 - c]) for c in (0, 1)]
+    # A word has few n-grams, so no more than some tens of thousands of them reach these shares of all words.
+    chosen = counts.select("x", *(far[c].alias(f"far{c}") for c in (0, 1))).where("far0 or far1").collect()
+    picked = [frozenset(bytes(r["x"]) for r in chosen if r[f"far{c}"]) for c in (0, 1)]
     of_word = lambda w, toxic: stretches(w, picked[toxic])
     snippets = context.mapInArrow(_counted(of_word), "x binary, toxic int, n long").groupBy("toxic", "x").agg(F.sum("n").alias("n"))
-    tails = [_tail([bytes(r["x"]) for r in snippets.where(F.col("toxic") == c).orderBy(F.desc("n"), "x").limit(TAIL_BYTES).collect()]) for c in (0, 1)]
+    total = {r["toxic"]: r["n"] for r in snippets.groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+    least_n = F.when(F.col("toxic") == 0, total.get(0, 0)).otherwise(total.get(1, 0)) / (2 * TRAINING_SAMPLES)  # less than half a sample
+    found = [(r["toxic"], bytes(r["x"]), r["n"]) for r in snippets.where(F.col("n") >= least_n).collect()]
+    own = [_trained(_repeated([(x, n) for c, x, n in found if c == toxic]), CLASS_BYTES, 32, 8) for toxic in (0, 1)]
     windows = sample.where("toxic = 0").mapInArrow(_base_windows, "w binary, h long").where(F.col("w").isNotNull())
-    found = windows.orderBy("h", "w").limit(BASE_WINDOWS).select("w").toPandas()["w"].map(bytes).tolist()
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, found, k=64, d=6, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on
-        base = b"".join(found)[-BASE_BYTES:]
-    laid = [b"".join(b" " * ((len(t) + i) % 3) + t for i in range(PHASES)) for t in tails]
-    longest = max(map(len, laid))
-    return tuple(base + bytes(longest - len(x)) + x for x in laid)
+    base = _trained(windows.orderBy("h", "w").limit(base_windows).select("w").toPandas()["w"].map(bytes).tolist(), BASE_BYTES, 64, 6)
+    longest = max(map(len, own))
+    return tuple(base + bytes(longest - len(x)) + x for x in own)
 
 
 class Gains:
@@ -226,13 +236,13 @@ def _measured(pair):
     return work
 
 
-def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
+def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, base_windows: int = BASE_WINDOWS) -> dict:
     """A model from rows (id, text, toxic): the two dictionaries and the regression."""
     sample, totals = _sampled(rows.where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & F.col("text").isNotNull()), sample_rows)
     if not all(totals):
         return {"only": float(totals[1] > 0)}
     sample = durable(sample.select("text", "toxic"))
-    pair = dictionaries(sample, sample_rows)
+    pair = dictionaries(sample, base_windows)
     found = sample.mapInArrow(_measured(pair), "toxic int, a double, b double, c double, d double").toPandas().sort_values(["toxic", "a", "b", "c", "d"])
     y = found["toxic"].to_numpy(float)
     x = design(found[["a", "b", "c", "d"]].to_numpy())
@@ -247,8 +257,8 @@ def _scorer(sent, place: int):
     def work(batches):
         model = sent.value
         gains = Gains(model["pair"]) if "pair" in model else None
-        for batch in slices(batches, "__text"):
-            texts = column(batch, "__text").to_pylist()
+        for batch in slices(batches):
+            texts = column(batch, "text").to_pylist()
             if gains is None:
                 score = np.full(len(texts), model["only"])
             else:
@@ -260,10 +270,12 @@ def _scorer(sent, place: int):
 
 
 def with_scores(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """df, all its columns as they are, and __score and __predicted."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
-    return df.withColumn("__text", F.col(text_col)).mapInArrow(_scorer(sent, len(df.columns)), schema)
+    """df, all its columns as they are, and __score and __predicted (which replace columns of these names)."""
+    kept = [f for f in df.schema.fields if f.name.lower() not in ("__score", "__predicted")]
+    quoted = ["`" + f.name.replace("`", "``") + "`" for f in kept]
+    rows = df.select(*(F.col(q).alias(f"c{i}") for i, q in enumerate(quoted)), F.col(text_col).alias("text"))  # plain names, whatever theirs are
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
+    return rows.mapInArrow(_scorer(df.sparkSession.sparkContext.broadcast(model), len(kept)), schema).toDF(*(f.name for f in kept), "__score", "__predicted")
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
