@@ -1,16 +1,20 @@
-"""Byte-level BPE encoding and decoding by merge replay over blocks of the corpus.
+"""Byte-level BPE encoding and decoding by merge replay over the distinct words of the whole corpus.
 
-A task gathers the distinct words (matches of the split pattern) of a block of its documents, lays all their bytes out
-in one linked array of symbols, and keeps an inverted index from token pair (named by the rank of the merge that joins
-it) to the positions where that pair stands. Merges are replayed in rank order over the whole block: a merge visits only
-the positions in its index entry, and re-indexes only the two neighbours that it touches. Merged words serve all
-documents of the block and stay known to the task's later blocks, up to a bound.
+1. Tasks split their texts into words (matches of the split pattern). A block is some documents of a task, up to SLICE_BYTES
+   of text; its distinct words are numbered, its documents become lists of these numbers, and the words are packed by
+   shard, a hash of the word. Blocks are kept in the shared folder, so texts are split only once.
+2. Each shard gathers its words from all blocks and takes each distinct one once. Their bytes lie in one linked array of
+   symbols, with an inverted index from token pair (named by the rank of the merge that joins it) to the positions where
+   that pair stands. Merges are replayed in rank order: a merge visits only the positions in its index entry, and
+   re-indexes only the two neighbours that it touches. No word is replayed twice in the corpus.
+3. The ids of a block's words go back to the block, in the order of its words, and its documents' ids are gathered from
+   them by number. Texts themselves never move. Decoding gathers the tokens' bytes in the same way.
 
-Words never cross documents and equal words give equal ids, so a block needs nothing from other blocks: there is no
-shuffle, and a lost task is simply run again.
+Shards are as many as keep each at about SHARD_BYTES of words, which are counted first.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; texts of any length are encoded whole; rows
-with null ids keep a null id; an empty table gives no rows. Columns other than the two named are not read.
+with null ids keep a null id; repeated rows give a row each; an empty table gives no rows. Columns other than the two
+named are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelunka.llm.common import column, documents, slices
+from spelunka.llm.common import column, documents, durable, slices
 
-#: Words that a task remembers at most; beyond, it forgets all and replays anew.
-KNOWN_WORDS = 1_000_000
+SHARDS_OF_WORDS = 1 << 16  # hashes of words; shards are runs of these
+SHARD_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -138,34 +144,186 @@ def _replayer(path: str) -> MergeReplay:
     return MergeReplay(load_ranks(path))
 
 
-def encoder(path: str, pattern: str):
-    """A mapInArrow function: id, ids (little-endian unsigned 32-bit) and decoded bytes of each text."""
+# -- blocks -------------------------------------------------------------------------------------------------------------
+
+BLOCKS = "block long, words binary, sizes binary, hashes binary, ids binary, null binary, counts binary, numbers binary"
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
+def _blocker(pattern: str):
+    """One row for each block: its distinct words in order of their hashes, and its documents as numbers of words."""
 
     def work(batches):
         import regex
+        from pyspark import TaskContext
+        from xxhash import xxh3_64_intdigest
 
-        words_of = regex.compile(pattern).findall
-        replay = _replayer(path)
-        known: dict[str, bytes] = {}
-        for batch in slices(batches):
+        words_of, n = regex.compile(pattern).findall, 0
+        for batch in slices(batches, rows=1 << 14):
             split = [words_of(text) if text else [] for text in column(batch, "text").to_pylist()]
-            new = list(set().union(*split).difference(known))
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list(set().union(*split))
-            known.update(zip(new, replay.encode_words([w.encode() for w in new])))
-            get, back = known.__getitem__, replay.bytes_of.__getitem__
-            ids = [b"".join(map(get, words)) for words in split]
-            decoded = [b"".join(map(back, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
+            known = list(set().union(*split))
+            packed = [w.encode() for w in known]
+            hashes = np.array([xxh3_64_intdigest(w) >> 48 for w in packed], np.uint16)
+            order = np.argsort(hashes, kind="stable").tolist()
+            number = {known[k]: i for i, k in enumerate(order)}.__getitem__
+            counts = np.fromiter(map(len, split), np.int64, len(split))
+            numbers = np.fromiter((number(w) for words in split for w in words), np.uint32, int(counts.sum()))
+            ids = column(batch, "id")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": [TaskContext.get().partitionId() << 32 | n],
+                    "words": [_pack(b"".join([packed[k] for k in order]))],
+                    "sizes": [_pack(np.array([len(packed[k]) for k in order], np.uint32))],
+                    "hashes": [_pack(hashes[order])],
+                    "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()],
+                    "null": [np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()],
+                    "counts": [_pack(counts)],
+                    "numbers": [_pack(numbers)],
+                },
+                pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("words", "sizes", "hashes", "ids", "null", "counts", "numbers"))]),
+            )
+            n += 1
+
+    return work
+
+
+def _dealer(shards: int):
+    """The words of each block, by shard."""
+
+    def work(batches):
+        for batch in batches:
+            for block, words, sizes, hashes in zip(*(column(batch, c).to_pylist() for c in ("block", "words", "sizes", "hashes"))):
+                words, sizes, hashes = zstandard.decompress(words), _unpack(sizes, np.uint32), _unpack(hashes, np.uint16)
+                shard = hashes.astype(np.int64) * shards >> 16
+                some, cut = np.unique(shard, return_index=True)
+                cut, ends = np.r_[cut, len(shard)].tolist(), np.r_[0, np.cumsum(sizes.astype(np.int64))]
+                parts = [(words[ends[a] : ends[b]], sizes[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
+                for i in range(0, len(some), 1024):
+                    part = parts[i : i + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(some[i : i + 1024]), pa.array([w for w, _ in part], pa.binary()), pa.array([k for _, k in part], pa.binary())], ["block", "shard", "words", "sizes"])
+
+    return work
+
+
+def _replayed(path: str):
+    """Rows come sorted by shard: for each block, how many ids each of its words has, and the ids."""
+
+    def answers(asked):
+        replay, lists = _replayer(path), []
+        for _, words, sizes in asked:
+            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
+            lists.append([words[a:b] for a, b in zip([0, *ends], ends)])
+        new = list(dict.fromkeys(w for words in lists for w in words))
+        get = dict(zip(new, replay.encode_words(new))).__getitem__
+        for (block, _, _), words in zip(asked, lists):
+            found = list(map(get, words))
+            yield block, np.array(list(map(len, found)), np.uint32) // 4, b"".join(found)
+
+    def work(batches):
+        shard, asked, out, size = None, [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_pydict({"block": [b for b, *_ in out], "shard": [s for _, s, *_ in out], "lengths": [_pack(x) for *_, x, _ in out], "tokens": [_pack(x) for *_, x in out]}, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("lengths", pa.binary()), ("tokens", pa.binary())]))
+
+        for whole in batches:
+            for block, s, words, sizes in zip(*(column(whole, c).to_pylist() for c in ("block", "shard", "words", "sizes"))):
+                if s != shard:
+                    for b, n, ids in answers(asked):
+                        out.append((b, shard, n, ids))
+                        size += len(ids)
+                        if size > PACK_BYTES:
+                            yield batch()
+                            out, size = [], 0
+                    shard, asked = s, []
+                asked.append((block, words, sizes))
+        for b, n, ids in answers(asked):
+            out.append((b, shard, n, ids))
+        if out:
+            yield batch()
+
+    return work
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for sizes[0] numbers, then on with starts[1]."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Decoder:
+    """The bytes of all tokens, one after another."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        top = max(ranks.values()) + 1
+        sizes = np.zeros(top, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(token for token, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        parts = (ids[i : i + (1 << 20)].astype(np.int64) for i in range(0, len(ids), 1 << 20))
+        return b"".join(self.bytes[ranges(self.starts[x], self.sizes[x])].tobytes() for x in parts)
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(load_ranks(path))
+
+
+def _gatherer(path: str):
+    """Rows come sorted by block and shard, the block's documents last: id, ids and decoded bytes of each document."""
+
+    def work(batches):
+        decoder = _decoder(path)
+        block, lengths, tokens = None, [], []
+        for batch in batches:
+            for now, n, t, ids, null, counts, numbers in zip(*(column(batch, c).to_pylist() for c in ("block", "lengths", "tokens", "ids", "null", "counts", "numbers"))):
+                if now != block:
+                    block, lengths, tokens = now, [], []
+                if numbers is None:
+                    lengths.append(_unpack(n, np.uint32))
+                    tokens.append(_unpack(t, np.uint32))
+                    continue
+                size = np.concatenate([*lengths, np.zeros(0, np.uint32)]).astype(np.int64)
+                start, every = np.cumsum(size) - size, np.concatenate([*tokens, np.zeros(0, np.uint32)])
+                ids, counts, numbers = np.frombuffer(ids, np.int64), _unpack(counts, np.int64), _unpack(numbers, np.uint32)
+                null = np.unpackbits(np.frombuffer(null, np.uint8), count=len(ids)).astype(bool)
+                ends, out, made = np.cumsum(counts), [[], [], []], 0
+                for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+                    words = numbers[a:b]
+                    found = every[ranges(start[words], size[words])]
+                    text = decoder.decode(found)
+                    for column_, value in zip(out, (None if null[k] else int(ids[k]), found.astype("<u4").tobytes(), text)):
+                        column_.append(value)
+                    made += len(text) + 4 * len(found)
+                    if made > 8 * PACK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
+                        out, made = [[], [], []], 0
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
 
     return work
 
 
-def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, ids (binary) and decoded (binary, from the ids) of each whole text."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(encoder(path, pattern), "id long, ids binary, decoded binary")
+    blocks = durable(rows.mapInArrow(_blocker(pattern), BLOCKS))
+    size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    shards = min(SHARDS_OF_WORDS, max(1, -(-2 * size // shard_bytes)))  # packed words are about half as long
+    dealt = blocks.select("block", "words", "sizes", "hashes").mapInArrow(_dealer(shards), "block long, shard long, words binary, sizes binary")
+    replies = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_replayed(path), "block long, shard long, lengths binary, tokens binary")
+    both = replies.unionByName(blocks.select("block", "ids", "null", "counts", "numbers"), allowMissingColumns=True)
+    ready = both.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull(), "shard")
+    return ready.mapInArrow(_gatherer(path), "id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
