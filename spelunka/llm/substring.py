@@ -39,7 +39,7 @@ SHARD_CELLS = 1 << 20
 MAX_CELLS = 1 << 29
 SALTS = 8
 BUCKET_BYTES = 4 << 20  # bytes of text for each bucket of pass 2
-HELD = 1 << 19  # entries that a task holds before it settles them
+HELD = 1 << 18  # entries that a task holds before it settles them
 SLICE = 1 << 20  # bytes of text that a task's Python side works on at a time
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # odd multipliers
 _CHUNK_WORDS, _LONG_WORD = 1 << 16, 256
@@ -241,7 +241,7 @@ def _packed(bucket, h, who, at, ids, rows):
 
 def _unpacked(h, who, at, ids, rows, width: int):
     w = np.cumsum(np.frombuffer(who, np.int32))
-    return np.frombuffer(h, np.uint64).reshape(-1, width), np.frombuffer(ids, np.int64)[w], np.frombuffer(rows, np.int64)[w], np.frombuffer(at, np.int32)
+    return np.frombuffer(h, np.uint64).reshape(len(w), width), np.frombuffer(ids, np.int64)[w], np.frombuffer(rows, np.int64)[w], np.frombuffer(at, np.int32)
 
 
 def _by_document(ids, rows, at):
@@ -384,8 +384,17 @@ def once(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[kept], np.where(several, -1 - at[kept], at[kept])
 
 
-def _judge(batches):
-    """Rows come sorted by bucket: id, row and places of the windows that a smaller document has."""
+def group_of(ids: np.ndarray, rows: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a row belongs to; with_group says the same in columns."""
+    return (ids ^ rows) % groups
+
+
+def with_group(rows: DataFrame, groups: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.coalesce("id", F.lit(0)).bitwiseXOR(F.col("row")), F.lit(groups)))
+
+
+def _judge(batches, groups: int):
+    """Rows come sorted by bucket. Packed, by group of documents: the places of the windows that a smaller document has."""
     bucket, state, fresh, n = None, None, [], 0
     lost: list = []
     size = 0
@@ -405,7 +414,11 @@ def _judge(batches):
     def flush():
         nonlocal lost, size
         if lost:
-            yield from _by_document(*(np.concatenate([x[k] for x in lost]) for k in range(3)))
+            ids, rows, at = (np.concatenate([x[k] for x in lost]) for k in range(3))
+            order = np.lexsort((rows, ids))
+            ids, rows, at = ids[order], rows[order], at[order]
+            new = np.r_[True, (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])]
+            yield from _packed(group_of(ids, rows, groups), np.zeros((len(ids), 0), np.uint64), np.cumsum(new) - 1, at, ids[new], rows[new])
         lost, size = [], 0
 
     for batch in batches:
@@ -449,55 +462,63 @@ def _everywhere(words: list[bytes], place: int, window: int) -> list[int]:
 
 
 def _cutter(window: int):
+    """Rows come sorted by bucket: what its documents lose, then their texts."""
+
+    def cut(text: str | None, lists: list[np.ndarray] | None):
+        words = text.encode().split() if text else []
+        n = len(words)
+        if lists:
+            at = np.unique(np.concatenate(lists)).astype(np.int64)
+            many = [k for p in (-1 - at[at < 0]).tolist() for k in _everywhere(words, p, window)]
+            at = np.unique(np.r_[at[at >= 0], np.array(many, np.int64)])
+            edge = np.zeros(n + 1, np.int64)
+            edge[at] += 1
+            edge[at + window] -= 1
+            keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
+            words = [words[k] for k in keep]
+        return n, n - len(words), b" ".join(words).decode()
+
     def work(batches):
+        bucket, lost = None, {}
         for batch in slices(batches, size=SLICE):
-            totals, gone, texts = [], [], []
-            for text, lists in zip(column(batch, "text").to_pylist(), column(batch, "places").to_pylist()):
-                words = text.encode().split() if text else []
-                n = len(words)
-                if lists:
-                    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists]).astype(np.int64))
-                    many = [k for p in (-1 - at[at < 0]).tolist() for k in _everywhere(words, p, window)]
-                    at = np.unique(np.r_[at[at >= 0], np.array(many, np.int64)])
-                    edge = np.zeros(n + 1, np.int64)
-                    edge[at] += 1
-                    edge[at + window] -= 1
-                    keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()
-                    words = [words[k] for k in keep]
-                totals.append(n)
-                gone.append(n - len(words))
-                texts.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            made = []
+            for b, doc, row, text, who, at, ids, rows in zip(*(column(batch, c).to_pylist() for c in ("bucket", "id", "row", "text", "who", "at", "ids", "rows"))):
+                if b != bucket:
+                    bucket, lost = b, {}
+                if who is None:
+                    made.append((doc, *cut(text, lost.get((doc, row)) if doc is not None else None)))
+                    continue
+                w, at = np.cumsum(np.frombuffer(who, np.int32)), np.frombuffer(at, np.int32)
+                edges = np.searchsorted(w, np.arange(len(ids) // 8 + 1)).tolist()
+                for key, a, z in zip(zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(rows, np.int64).tolist()), edges, edges[1:]):
+                    lost.setdefault(key, []).append(at[a:z])
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "n_words", "n_removed", "kept"])
 
     return work
 
 
-def with_row(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """rows (id, text, row) with a column of other (id, row)."""
-    same = (F.col("r.id") == F.col("o.id")) & (F.col("r.row") == F.col("o.row"))
-    return rows.alias("r").join(other.alias("o"), same, "left").select("r.id", "r.row", "r.text", f"o.{name}")
-
-
-def repeated_windows(rows: DataFrame, window: int, max_cells: int = MAX_CELLS, salts: int = SALTS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """id, row and places (lists of packed numbers): the windows of rows (id, text, row) that also start in a smaller document."""
-    spark = rows.sparkSession
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells, buckets = sketch_cells(total), 1 << max(0, (total // bucket_bytes).bit_length())
+def repeated_windows(rows: DataFrame, total_bytes: int, window: int, buckets: int, max_cells: int = MAX_CELLS, salts: int = SALTS) -> DataFrame:
+    """The windows of rows (id, text, row) that also start in a smaller document: packed, by group of documents."""
+    spark, cells = rows.sparkSession, sketch_cells(total_bytes)
     merged = sketch(rows, cells, window)
     if cells * ROWS <= max_cells:
         sent, asked = spark.sparkContext.broadcast(assembled(merged.collect(), cells)), rows
     else:
-        sent, asked = None, with_row(rows, routed(rows, merged, cells, window, salts), "stretches").where("stretches is not null")
+        same = (F.col("r.id") == F.col("o.id")) & (F.col("r.row") == F.col("o.row"))
+        sent, asked = None, rows.alias("r").join(routed(rows, merged, cells, window, salts).alias("o"), same).select("r.id", "r.row", "r.text", "o.stretches")
     found = asked.mapInArrow(_candidates(sent, cells, window, buckets), PACKED)
-    lost = found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge, "id long, row long, places binary")
-    return lost.groupBy("id", "row").agg(F.collect_set("places").alias("places"))
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _judge(batches, buckets), PACKED).drop("h")
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_cells: int = MAX_CELLS, salts: int = SALTS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """id, n_words, n_removed, kept (the words that are left, joined by one space)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("text"))  # tells apart rows of one id
-    gone = repeated_windows(rows, window, max_cells, salts, bucket_bytes)
-    return with_row(rows, gone, "places").select("id", "text", "places").mapInArrow(_cutter(window), "id long, n_words long, n_removed long, kept string")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(0, (total // bucket_bytes).bit_length())
+    both = with_group(rows, buckets).unionByName(repeated_windows(rows, total, window, buckets, max_cells, salts), allowMissingColumns=True)
+    ready = both.repartition("bucket").sortWithinPartitions("bucket", F.col("who").isNull())
+    return ready.mapInArrow(_cutter(window), "id long, n_words long, n_removed long, kept string")
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

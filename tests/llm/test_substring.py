@@ -72,5 +72,9 @@ def test_judged_while_streaming(monkeypatch):
     monkeypatch.setattr(substring, "HELD", 10)
     h = np.arange(40, dtype=np.uint64).reshape(-1, 2)
     parts = [b for doc in (9, 7, 7, 8, 3) for b in substring._packed(np.zeros(20, np.int64), h, np.zeros(20, np.int64), np.arange(20), np.array([doc]), np.array([doc * 10]))]
-    lost = {(r["id"], p) for b in substring._judge(parts) for r in b.to_pylist() for p in np.frombuffer(r["places"], np.int32).tolist()}
+    lost = set()
+    for r in (r for b in substring._judge(parts, 4) for r in b.to_pylist()):
+        _, ids, rows, at = substring._unpacked(r["h"], r["who"], r["at"], r["ids"], r["rows"], 0)
+        assert (rows == ids * 10).all() and (substring.group_of(ids, rows, 4) == r["bucket"]).all()
+        lost.update(zip(ids.tolist(), at.tolist()))
     assert lost == {(doc, p) for doc in (7, 8, 9) for p in range(20)}
