@@ -123,27 +123,37 @@ class Forest:
         out.planes, out.offsets, out.trees = self.planes, self.offsets, self.trees[:trees]
         return out
 
-    def reach(self, sample: np.ndarray, neighbours: int, recall: float, probes: int = PROBES) -> float:
-        """The least sum of shares with which that recall is met on the sample it was fitted on."""
-        if len(sample) < 2:
-            return float(len(self.trees))
-        asked = np.arange(0, len(sample), max(1, -(-len(sample) // probes)))
-        near = sample[asked] @ sample.T
-        near[np.arange(len(asked)), asked] = -np.inf
-        k = min(neighbours, len(sample) - 1)
-        near = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        of, margins, costs = self.leaves_of(sample), self.margins(sample[asked]), []
+    def reach(self, leaves: list[np.ndarray], margins: np.ndarray, near: np.ndarray, recall: float) -> float:
+        """The least sum of shares with which that recall is met. leaves: of the sample's vectors, for each tree; margins and
+        near (true neighbours, as places in the sample): of some of them."""
+        costs = []
         for m, theirs in zip(margins, near):
             before = {(t, leaf): cost for t, leaf, cost in self.visits(m, np.inf)}
-            costs += [min(before[t, int(leaf[x])] for t, leaf in enumerate(of)) for x in theirs.tolist()]
+            costs += [min(before[t, int(leaf[x])] for t, leaf in zip(range(len(self.trees)), leaves)) for x in theirs.tolist()]
         costs.sort()
         return float(np.nextafter(costs[min(len(costs) - 1, int(np.ceil(recall * len(costs))))], np.inf))
 
 
-def fitted(sample: np.ndarray, neighbours: int, recall: float = RECALL, trees: tuple[int, ...] = TREES, leaves: int = LEAVES) -> tuple[Forest, float]:
+def true_neighbours(sample: np.ndarray, asked: np.ndarray, neighbours: int) -> np.ndarray:
+    """Places of the nearest others of some of the sample, in blocks."""
+    k, out = min(neighbours, len(sample) - 1), []
+    for i in range(0, len(asked), 32):
+        near = sample[asked[i : i + 32]] @ sample.T
+        near[np.arange(len(near)), asked[i : i + 32]] = -np.inf
+        out.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
+    return np.concatenate(out)
+
+
+def fitted(sample: np.ndarray, neighbours: int, recall: float = RECALL, trees: tuple[int, ...] = TREES, leaves: int = LEAVES, probes: int = PROBES) -> tuple[Forest, float]:
     """The cheapest forest of those numbers of trees, and how far to visit it."""
     whole = Forest(sample, max(trees), leaves)
-    found = [(whole.first(t), whole.first(t).reach(sample, neighbours, recall)) for t in sorted(trees)]
+    if len(sample) < 2:
+        return whole, float(max(trees))
+    asked = np.arange(0, len(sample), max(1, -(-len(sample) // probes)))
+    near, margins = true_neighbours(sample, asked, neighbours), whole.margins(sample[asked])
+    parts = [whole.leaves_of(sample[i : i + BLOCK]) for i in range(0, len(sample), BLOCK)]
+    of = [np.concatenate(x) for x in zip(*parts)]
+    found = [(part, part.reach(of, margins, near, recall)) for part in map(whole.first, sorted(trees))]
     return min(found, key=lambda c: c[1] + TREE_COST * len(c[0].trees))
 
 
