@@ -9,8 +9,10 @@ of the corpus, run forward and backward over each distinct word, and emit the ex
 aggregation adds up. What reaches the driver is at most one number for each piece and language. The first round starts
 from the vocabulary's own order, which puts frequent pieces first.
 
-Letters that no piece covers have a small probability of their own, the same in every language. Words of more than
-MAX_WORD letters are read in parts of that length.
+Letters that no piece covers have a small probability of their own, the same in every language. Words of any length are
+summed whole: sums over long words are scaled down as they grow, and the logarithms of the scales are kept.
+
+One round is made by default: each round reads the corpus once more, and README.md has what a second one changes.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything if there is nothing
 to learn from; ties go to the language whose name sorts first; rows with a null language teach nothing; rows with a null
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from spelunka.llm.common import column, documents, fold_of, slices
 
 ROUNDS = 1
-MAX_WORD = 48
-MAX_PIECE = 16
 UNKNOWN = 1e-7
 PRIOR = 0.05
 SCALE = 50.0  # each letter's probability is multiplied by this, so that long words don't underflow; it cancels out
 KNOWN_WORDS = 200_000
+CELLS = 1 << 21  # numbers in each table of a task: of words by languages, and of letters by words by languages
+SCALED_EVERY = 32
 _MARK = "▁"
 
 
@@ -46,7 +48,7 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    found = (p for p in pieces if (body := p.removeprefix(_MARK)) and body.isalpha() and len(p) <= MAX_PIECE)
+    found = (p for p in pieces if (body := p.removeprefix(_MARK)) and body.isalpha())
     return list(dict.fromkeys(p.lower() for p in found))
 
 
@@ -63,14 +65,6 @@ def words_of():
     return lambda text: find(text.lower())
 
 
-def cut(word: str) -> list[str]:
-    """The word behind its mark, in parts of at most MAX_WORD letters."""
-    if len(word) < MAX_WORD:
-        return [_MARK + word]
-    word = _MARK + word
-    return [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
-
-
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # odd multipliers
 _SLOT_BITS = 20
 
@@ -136,71 +130,91 @@ class Lattice:
         """For each end, in order: (start, words that have a piece there or None for all, their pieces)."""
         letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).T.astype(np.uint64) + np.uint64(1)
         arcs: list = [[] for _ in range(n)]
-        for i in range(n):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = h * _M1 + letters[j - 1]
-                ids = self.table.find(h)
-                if j == i + 1:
-                    arcs[j - 1].append((i, None, ids))  # the number of pieces is the unknown letter's row
-                else:
-                    rows = np.flatnonzero(ids != self.table.missing)
-                    if len(rows):
-                        arcs[j - 1].append((i, rows, ids[rows]))
+        h = np.zeros(letters.shape, np.uint64)
+        for size in range(1, min(n, self.longest) + 1):  # all places at once
+            h = h[: n - size + 1] * _M1 + letters[size - 1 :]
+            ids = self.table.find(h)
+            if size == 1:
+                for i in range(n):
+                    arcs[i].append((i, None, ids[i]))  # the number of pieces is the unknown letter's row
+                continue
+            held = ids != self.table.missing
+            for i in np.flatnonzero(held.any(axis=1)).tolist():
+                rows = np.flatnonzero(held[i])
+                arcs[i + size - 1].append((i, rows, ids[i][rows]))
         return arcs
 
-    def _forward(self, arcs, count: int) -> np.ndarray:
-        alpha = np.zeros((len(arcs) + 1, count, self.languages))
+    def _forward(self, arcs, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums up to each place, and the logarithms of their scales; the last `longest` places share one scale."""
+        alpha, shift = (np.zeros((len(arcs) + 1, count, self.languages)) for _ in range(2))
         alpha[0] = 1.0
         for j, row in enumerate(arcs, 1):
+            shift[j] = shift[j - 1]
             for i, rows, ids in row:
                 if rows is None:
                     alpha[j] += alpha[i] * self.p[ids]
                 else:
                     alpha[j][rows] += alpha[i][rows] * self.p[ids]
-        return alpha
+            if j % SCALED_EVERY == 0:
+                near = slice(max(0, j - self.longest + 1), j + 1)
+                most = alpha[near].max(axis=0)
+                alpha[near] /= most
+                shift[near] += np.log(most)
+        return alpha, shift
+
+    def _backward(self, arcs, count: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(arcs)
+        beta, shift = (np.zeros((n + 1, count, self.languages)) for _ in range(2))
+        beta[n] = 1.0
+        for j in range(n, 0, -1):  # beta[j] is complete: all arcs that start there end behind it
+            if j % SCALED_EVERY == 0:
+                near = slice(max(0, j - self.longest), min(n, j + self.longest) + 1)
+                most = beta[near].max(axis=0)
+                beta[near] /= most
+                shift[near] += np.log(most)
+                shift[: near.start] = shift[near.start]
+            for i, some, ids in arcs[j - 1]:
+                if some is None:
+                    beta[i] += self.p[ids] * beta[j]
+                else:
+                    beta[i][some] += self.p[ids] * beta[j][some]
+        return beta, shift
 
     def log_sums(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of the sum over all segmentations, up to a constant of each word."""
         out = np.zeros((len(words), self.languages))
-        for n, rows in _by_length(words):
+        for n, rows in self._by_length(words):
             group = [words[k] for k in rows.tolist()]
-            out[rows] = np.log(self._forward(self._arcs(group, n), len(group))[-1])
+            alpha, shift = self._forward(self._arcs(group, n), len(group))
+            out[rows] = np.log(alpha[-1]) + shift[-1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """(pieces, columns of counts): expected counts of pieces, given how often each word occurs in each language."""
         total = np.zeros((len(self.place) + 1, counts.shape[1]))
-        for n, rows in _by_length(words):
+        for n, rows in self._by_length(words):
             group = [words[k] for k in rows.tolist()]
             arcs = self._arcs(group, n)
-            alpha = self._forward(arcs, len(group))
-            beta = np.zeros_like(alpha)
-            beta[n] = 1.0
-            for j in range(n, 0, -1):
-                for i, some, ids in arcs[j - 1]:
-                    if some is None:
-                        beta[i] += self.p[ids] * beta[j]
-                    else:
-                        beta[i][some] += self.p[ids] * beta[j][some]
+            (alpha, a), (beta, b) = self._forward(arcs, len(group)), self._backward(arcs, len(group))
             weight = counts[rows] / alpha[n]
             pieces, shares = [], []
             for j in range(1, n + 1):
                 for i, some, ids in arcs[j - 1]:
+                    share = alpha[i] * np.exp(a[i] + b[j] - a[n]) * beta[j] * weight if n >= SCALED_EVERY else alpha[i] * beta[j] * weight
                     pieces.append(ids)
-                    shares.append(alpha[i] * self.p[ids] * beta[j] * weight if some is None else alpha[i][some] * self.p[ids] * beta[j][some] * weight[some])
+                    shares.append(share * self.p[ids] if some is None else share[some] * self.p[ids])
             at, share = np.concatenate(pieces), np.concatenate(shares)
             for c in range(counts.shape[1]):
                 total[:, c] += np.bincount(at, share[:, c], len(total))
         return total[: len(self.place)]
 
-
-def _by_length(words: list[str]):
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == n)
-        for at in range(0, len(rows), 8192):
-            yield n, rows[at : at + 8192]
+    def _by_length(self, words: list[str]):
+        """Groups of words of one length, so many that their lattice stays small."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(sizes).tolist():
+            rows, most = np.flatnonzero(sizes == n), max(1, min(8192, CELLS // (n * self.languages)))
+            for at in range(0, len(rows), most):
+                yield n, rows[at : at + most]
 
 
 def _expecter(path: str, model):
@@ -216,14 +230,12 @@ def _expecter(path: str, model):
             langs = sorted(counts)
             words = sorted(set().union(*counts.values()))
             table = np.array([[counts[g][w] for g in langs] for w in words], float)
-            parts = [(k, x) for k, w in enumerate(words) for x in cut(w)]
-            lines = np.array([k for k, _ in parts])
             if model is not None:  # a column for each language that the model knows
                 full = np.zeros((len(words), len(names)))
                 full[:, [names.index(g) for g in langs]] = table
                 table, langs = full, names
-            found = lattice.expected([x for _, x in parts], table[lines])
-            piece, lang = np.nonzero(found > 1e-9)
+            found = lattice.expected([_MARK + w for w in words], table)
+            piece, lang = np.nonzero(found)
             for at in range(0, len(piece), 1 << 16):
                 p, g = piece[at : at + (1 << 16)], lang[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in g.tolist()]), pa.array(p.astype(np.int32)), pa.array(found[p, g])], ["lang", "piece", "n"])
@@ -263,7 +275,7 @@ def _predictor(path: str, model):
         names, p, prior = model.value
         find, lattice = words_of(), Lattice(load_pieces(path), p) if names else None
         place: dict[str, int] = {}
-        table = np.zeros((KNOWN_WORDS * 2, len(names)))
+        table = np.zeros((min(2 * KNOWN_WORDS, CELLS // max(1, len(names))), len(names)))
         for batch in slices(batches):
             split = [find(t) if t else [] for t in column(batch, "text").to_pylist()]
             langs, scores = ["und"] * len(split), [0.0] * len(split)
@@ -274,11 +286,7 @@ def _predictor(path: str, model):
                     new = list(set().union(*split))
                     if len(new) > len(table):
                         table = np.zeros((len(new), len(names)))
-                parts = [(k, x) for k, w in enumerate(new) for x in cut(w)]
-                sums = lattice.log_sums([x for _, x in parts])
-                lines = np.array([k for k, _ in parts])
-                each = np.stack([np.bincount(lines, sums[:, c], len(new)) for c in range(len(names))], axis=1)
-                table[len(place) : len(place) + len(new)] = each
+                table[len(place) : len(place) + len(new)] = lattice.log_sums([_MARK + w for w in new])
                 place.update(zip(new, range(len(place), len(place) + len(new))))
             for k, words in enumerate(split):
                 if words and names:
