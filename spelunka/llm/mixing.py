@@ -2,29 +2,31 @@
 
 Native: DataFrame functions only. Documents are summed once into cells of (source, language, topic); everything iterative
 runs on cells. Each round rescales the cells' weights so that the marginals of source, then language, then topic meet
-their targets; ``rounds`` rounds are made, kept in the shared folder every few. A cell's sampling probability is
-min(1, c x weight / tokens), with c such that the expected tokens are ``keep`` of all; c is found by a fixed point that
-needs two sums over the cells a step. A document stays if the uniform number that its id gives is below its cell's
-probability, so repeated runs and repeated rows agree.
+their targets: a sum by group, combined before it is shuffled, joined back to the cells; so a topic that a third of all
+cells has is no large partition. ``rounds`` rounds are made, each step kept in the shared folder. A cell's sampling
+probability is min(1, c x weight / tokens), with c such that the expected tokens are ``keep`` of all; c is found by a fixed
+point that needs two sums over the cells a step. A document stays if the uniform number that its id gives is below its
+cell's probability, so repeated runs and repeated rows agree.
 
-Targets default to tempered shares: each value's tokens to the power ``temper``, normalised.
+Targets default to tempered shares: each value's tokens to the power ``temper``, normalised. The topic is the column
+``topic`` of mixed(); by default it is the first of TOPICS whose pattern a text holds.
 
-A document's tokens are estimated as a quarter of its bytes, at least 1. Cells are broadcast only after they have been
-counted, up to ``max_broadcast_cells``; beyond it they are joined by Spark's own choice.
+A document's tokens are estimated as a quarter of its bytes, at least 1. Cells and marginals are broadcast only after they
+have been counted, up to ``max_broadcast_cells``; beyond it they are joined by Spark's own choice.
 
 Defined results: nulls in source, language or topic form values of their own; a null text has no bytes; a null id draws
-the number of the empty string; an empty table gives no rows. All columns of the table stay, whatever their names.
+the number of the empty string; an empty table gives no rows. All columns of the table stay, but that __topic, __tokens,
+__weight, __p and __kept replace columns of these names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelunka.llm.common import documents, durable
+from spelunka.llm.common import documents, durable, fresh, written
 
-ROUNDS, TEMPER, KEEP = 20, 0.7, 0.7
-KEPT_EVERY = 5
+ROUNDS, TEMPER, KEEP = 10, 0.7, 0.7
 STEPS = 24
 MAX_BROADCAST_CELLS = 100_000
 PARTS = ("source", "lang", "topic")
@@ -57,21 +59,20 @@ def tempered(cells: DataFrame, part: str, temper: float) -> DataFrame:
     return sums.select(part, (F.col("power") / F.lit(total or 1.0)).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, max_broadcast: int = MAX_BROADCAST_CELLS) -> DataFrame:
     """cells (source, lang, topic, tokens) and weight, the fitted share of each cell. targets: for any part, (part, share)."""
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    now, values = cells.withColumn("weight", F.col("tokens").cast("double")), cells.agg(*(F.count_distinct(F.struct(part)).alias(part) for part in PARTS)).first()
+    sized = lambda part, df: F.broadcast(df) if values[part] <= max_broadcast else df
     for part in PARTS:
         want = (targets or {}).get(part)
-        want = tempered(cells, part, temper) if want is None else want
-        named = want.select(F.col(part).alias("__value"), F.col("share").alias(f"__{part}"))
-        now = now.join(named, F.col(part).eqNullSafe(F.col("__value")), "left").drop("__value").fillna(0.0, [f"__{part}"])
-    now = durable(now)
-    for k in range(1, rounds + 1):
+        want = (tempered(cells, part, temper) if want is None else want).select(F.col(part).alias("__value"), F.col("share").alias(f"__{part}"))
+        now = now.join(sized(part, want), F.col(part).eqNullSafe(F.col("__value")), "left").drop("__value").fillna(0.0, [f"__{part}"])
+    now = written(now)
+    for _ in range(rounds):
         for part in PARTS:
-            have = F.sum("weight").over(Window.partitionBy(part))
-            now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"__{part}") / have).otherwise(0.0))
-        if k % KEPT_EVERY == 0 or k == rounds:
-            now = durable(now)
+            have = now.groupBy(F.col(part).alias("__value")).agg(F.sum("weight").alias("__have"))
+            met = F.when(F.col("__have") > 0, F.col("weight") * F.col(f"__{part}") / F.nullif("__have", F.lit(0.0))).otherwise(0.0)
+            now = written(now.join(sized(part, have), F.col(part).eqNullSafe(F.col("__value"))).withColumn("weight", met).drop("__value", "__have"))
     return now.drop(*(f"__{part}" for part in PARTS))
 
 
@@ -93,14 +94,18 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def mixed(df: DataFrame, topic: Column | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, keep: float = KEEP, max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
     """df with __topic, __tokens, __weight (its cell's share), __p and __kept, for columns doc_id, text, lang and source."""
-    rows = df.withColumns({"__topic": topic_of(F.col("text")) if topic is None else topic, "__tokens": tokens_of(F.col("text"))})
-    cells = durable(rows.groupBy("source", "lang", F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")))
-    done = durable(calibrated(raked(cells, targets, rounds, temper), keep))
-    rates = done.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("weight").alias("__weight"), F.col("p").alias("__p"))
+    topic = topic_of(F.col("text")) if topic is None else topic
+    made = ("__topic", "__tokens", "__weight", "__p", "__kept")
+    rows = df.withColumns({"__topic": topic, "__tokens": tokens_of(F.col("text"))}).drop(*made[2:])
+    parts = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col("__topic").cast("string")}
+    cells = durable(rows.groupBy(*(c.alias(part) for part, c in parts.items())).agg(F.sum("__tokens").alias("tokens")))
+    done = durable(calibrated(raked(cells, targets, rounds, temper, max_broadcast_cells), keep))
+    own = {part: fresh(rows, f"__cell_{part}") for part in PARTS}
+    rates = done.select(*(F.col(part).alias(own[part]) for part in PARTS), F.col("weight").alias("__weight"), F.col("p").alias("__p"))
     if done.count() <= max_broadcast_cells:
         rates = F.broadcast(rates)
-    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("lang").eqNullSafe(F.col("__l")) & F.col("__topic").eqNullSafe(F.col("__t"))
-    return rows.join(rates, same).drop("__s", "__l", "__t").withColumn("__kept", draw_of(F.col("doc_id")) < F.col("__p"))
+    same = parts["source"].eqNullSafe(F.col(own["source"])) & parts["lang"].eqNullSafe(F.col(own["lang"])) & parts["topic"].eqNullSafe(F.col(own["topic"]))
+    return rows.join(rates, same).drop(*own.values()).withColumn("__kept", draw_of(F.col("doc_id")) < F.col("__p"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
