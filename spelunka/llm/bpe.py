@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding by merge replay over the distinct words of the whole corpus.
 
-1. Tasks split their texts into words (matches of the split pattern). A block is some documents of a task, up to SLICE_BYTES
-   of text; its distinct words are numbered, its documents become lists of these numbers, and the words are packed by
-   shard, a hash of the word. Blocks are kept in the shared folder, so texts are split only once.
+1. Tasks split their texts into words (matches of the split pattern). A block is some documents of a task, up to BLOCK_BYTES
+   of text; its distinct words are numbered, the most frequent first, and its documents become lists of these numbers.
+   Blocks are kept in the shared folder, so texts are split only once. The words go to shards by their hash.
 2. Each shard gathers its words from all blocks and takes each distinct one once. Their bytes lie in one linked array of
    symbols, with an inverted index from token pair (named by the rank of the merge that joins it) to the positions where
    that pair stands. Merges are replayed in rank order: a merge visits only the positions in its index entry, and
    re-indexes only the two neighbours that it touches. No word is replayed twice in the corpus.
-3. The ids of a block's words go back to the block, in the order of its words, and its documents' ids are gathered from
-   them by number. Texts themselves never move. Decoding gathers the tokens' bytes in the same way.
+3. The ids of a block's words go back to the block, with the words' numbers, and its documents' ids are gathered from
+   them. Texts themselves never move. Decoding gathers the tokens' bytes in the same way.
 
 Shards are as many as keep each at about SHARD_BYTES of words, which are counted first.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spelunka.llm.common import column, documents, durable, slices
 
-SHARDS_OF_WORDS = 1 << 16  # hashes of words; shards are runs of these
+BLOCK_ROWS, BLOCK_BYTES = 1 << 14, 16 << 20
 SHARD_BYTES = 2 << 20
 PACK_BYTES = 1 << 20
 
@@ -146,68 +146,73 @@ def _replayer(path: str) -> MergeReplay:
 
 # -- blocks -------------------------------------------------------------------------------------------------------------
 
-BLOCKS = "block long, words binary, sizes binary, hashes binary, ids binary, null binary, counts binary, numbers binary"
+BLOCKS = "block long, words binary, sizes binary, ids binary, null binary, counts binary, numbers binary"
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
+    """Compressed; numbers as unsigned 32-bit ones, all their low bytes first."""
+    return zstandard.compress(x if isinstance(x, bytes) else np.ascontiguousarray(x, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
-def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(x), kind)
+def _unpack(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
+def _cut(words: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [words[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _binary(**columns) -> pa.RecordBatch:
+    """Numbers as longs, the rest as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if isinstance(x[0], int) else pa.binary()) for x in columns.values()], list(columns))
 
 
 def _blocker(pattern: str):
-    """One row for each block: its distinct words in order of their hashes, and its documents as numbers of words."""
+    """One row for each block: its distinct words, the most frequent first, and its documents as numbers of words."""
 
     def work(batches):
         import regex
         from pyspark import TaskContext
-        from xxhash import xxh3_64_intdigest
 
         words_of, n = regex.compile(pattern).findall, 0
-        for batch in slices(batches, rows=1 << 14):
+        for batch in slices(batches, rows=BLOCK_ROWS, size=BLOCK_BYTES):
             split = [words_of(text) if text else [] for text in column(batch, "text").to_pylist()]
-            known = list(set().union(*split))
-            packed = [w.encode() for w in known]
-            hashes = np.array([xxh3_64_intdigest(w) >> 48 for w in packed], np.uint16)
-            order = np.argsort(hashes, kind="stable").tolist()
-            number = {known[k]: i for i, k in enumerate(order)}.__getitem__
+            known = sorted(set().union(*split))
+            number = dict(zip(known, range(len(known)))).__getitem__
             counts = np.fromiter(map(len, split), np.int64, len(split))
-            numbers = np.fromiter((number(w) for words in split for w in words), np.uint32, int(counts.sum()))
+            numbers = np.fromiter((k for words in split for k in map(number, words)), np.int64, int(counts.sum()))
+            order = np.argsort(-np.bincount(numbers, minlength=len(known)), kind="stable")
+            place = np.empty(len(known), np.int64)
+            place[order] = np.arange(len(known))
+            packed = [known[k].encode() for k in order.tolist()]
             ids = column(batch, "id")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": [TaskContext.get().partitionId() << 32 | n],
-                    "words": [_pack(b"".join([packed[k] for k in order]))],
-                    "sizes": [_pack(np.array([len(packed[k]) for k in order], np.uint32))],
-                    "hashes": [_pack(hashes[order])],
-                    "ids": [ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()],
-                    "null": [np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()],
-                    "counts": [_pack(counts)],
-                    "numbers": [_pack(numbers)],
-                },
-                pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("words", "sizes", "hashes", "ids", "null", "counts", "numbers"))]),
-            )
+            yield _binary(
+                block=[TaskContext.get().partitionId() << 32 | n], words=[_pack(b"".join(packed))], sizes=[_pack(np.fromiter(map(len, packed), np.uint32, len(packed)))],
+                ids=[ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes()], null=[np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes()],
+                counts=[_pack(counts)], numbers=[_pack(place[numbers])],
+            )
             n += 1
 
     return work
 
 
 def _dealer(shards: int):
-    """The words of each block, by shard."""
+    """The words of each block and their numbers, by shard."""
 
     def work(batches):
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
-            for block, words, sizes, hashes in zip(*(column(batch, c).to_pylist() for c in ("block", "words", "sizes", "hashes"))):
-                words, sizes, hashes = zstandard.decompress(words), _unpack(sizes, np.uint32), _unpack(hashes, np.uint16)
-                shard = hashes.astype(np.int64) * shards >> 16
-                some, cut = np.unique(shard, return_index=True)
-                cut, ends = np.r_[cut, len(shard)].tolist(), np.r_[0, np.cumsum(sizes.astype(np.int64))]
-                parts = [(words[ends[a] : ends[b]], sizes[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-                for i in range(0, len(some), 1024):
-                    part = parts[i : i + 1024]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(some[i : i + 1024]), pa.array([w for w, _ in part], pa.binary()), pa.array([k for _, k in part], pa.binary())], ["block", "shard", "words", "sizes"])
+            for block, words, sizes in zip(*(column(batch, c).to_pylist() for c in ("block", "words", "sizes"))):
+                each = _cut(zstandard.decompress(words), _unpack(sizes))
+                shard = (np.fromiter(map(xxh3_64_intdigest, each), np.uint64, len(each)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                some, cut = np.unique(shard[order], return_index=True)
+                for s, part in zip(some.tolist(), np.split(order, cut[1:])):
+                    own = [each[k] for k in part.tolist()]
+                    yield _binary(block=[block], shard=[s], words=[_pack(b"".join(own))], sizes=[_pack(np.fromiter(map(len, own), np.uint32, len(own)))], which=[_pack(np.diff(part, prepend=0))])
 
     return work
 
@@ -216,37 +221,23 @@ def _replayed(path: str):
     """Rows come sorted by shard: for each block, how many ids each of its words has, and the ids."""
 
     def answers(asked):
-        replay, lists = _replayer(path), []
-        for _, words, sizes in asked:
-            ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
-            lists.append([words[a:b] for a, b in zip([0, *ends], ends)])
+        replay = _replayer(path)
+        lists = [_cut(zstandard.decompress(words), _unpack(sizes)) for _, words, sizes, _ in asked]
         new = list(dict.fromkeys(w for words in lists for w in words))
         get = dict(zip(new, replay.encode_words(new))).__getitem__
-        for (block, _, _), words in zip(asked, lists):
+        for (block, _, _, which), words in zip(asked, lists):
             found = list(map(get, words))
-            yield block, np.array(list(map(len, found)), np.uint32) // 4, b"".join(found)
+            yield _binary(block=[block], which=[which], lengths=[_pack(np.fromiter(map(len, found), np.int64, len(found)) // 4)], tokens=[_pack(np.frombuffer(b"".join(found), "<u4"))])
 
     def work(batches):
-        shard, asked, out, size = None, [], [], 0
-
-        def batch():
-            return pa.RecordBatch.from_pydict({"block": [b for b, *_ in out], "shard": [s for _, s, *_ in out], "lengths": [_pack(x) for *_, x, _ in out], "tokens": [_pack(x) for *_, x in out]}, pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("lengths", pa.binary()), ("tokens", pa.binary())]))
-
-        for whole in batches:
-            for block, s, words, sizes in zip(*(column(whole, c).to_pylist() for c in ("block", "shard", "words", "sizes"))):
+        shard, asked = None, []
+        for batch in batches:
+            for s, *one in zip(*(column(batch, c).to_pylist() for c in ("shard", "block", "words", "sizes", "which"))):
                 if s != shard:
-                    for b, n, ids in answers(asked):
-                        out.append((b, shard, n, ids))
-                        size += len(ids)
-                        if size > PACK_BYTES:
-                            yield batch()
-                            out, size = [], 0
+                    yield from answers(asked)
                     shard, asked = s, []
-                asked.append((block, words, sizes))
-        for b, n, ids in answers(asked):
-            out.append((b, shard, n, ids))
-        if out:
-            yield batch()
+                asked.append(one)
+        yield from answers(asked)
 
     return work
 
@@ -279,36 +270,39 @@ def _decoder(path: str) -> Decoder:
 
 
 def _gatherer(path: str):
-    """Rows come sorted by block and shard, the block's documents last: id, ids and decoded bytes of each document."""
+    """Rows come sorted by block, the block's documents last: id, ids and decoded bytes of each document."""
 
     def work(batches):
         decoder = _decoder(path)
-        block, lengths, tokens = None, [], []
+        block, held = None, []
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
+
         for batch in batches:
-            for now, n, t, ids, null, counts, numbers in zip(*(column(batch, c).to_pylist() for c in ("block", "lengths", "tokens", "ids", "null", "counts", "numbers"))):
+            for now, *reply, ids, null, counts, numbers in zip(*(column(batch, c).to_pylist() for c in ("block", "which", "lengths", "tokens", "ids", "null", "counts", "numbers"))):
                 if now != block:
-                    block, lengths, tokens = now, [], []
+                    block, held = now, []
                 if numbers is None:
-                    lengths.append(_unpack(n, np.uint32))
-                    tokens.append(_unpack(t, np.uint32))
+                    held.append(list(map(_unpack, reply)))
                     continue
-                size = np.concatenate([*lengths, np.zeros(0, np.uint32)]).astype(np.int64)
-                start, every = np.cumsum(size) - size, np.concatenate([*tokens, np.zeros(0, np.uint32)])
-                ids, counts, numbers = np.frombuffer(ids, np.int64), _unpack(counts, np.int64), _unpack(numbers, np.uint32)
+                which, lengths, every = (np.concatenate(x).astype(np.int64) for x in zip(*((np.cumsum(w), n, t) for w, n, t in held))) if held else [np.zeros(0, np.int64)] * 3
+                size, start = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+                size[which], start[which] = lengths, np.cumsum(lengths) - lengths
+                ids, counts, numbers = np.frombuffer(ids, np.int64), _unpack(counts).astype(np.int64), _unpack(numbers)
                 null = np.unpackbits(np.frombuffer(null, np.uint8), count=len(ids)).astype(bool)
-                ends, out, made = np.cumsum(counts), [[], [], []], 0
+                ends, rows, made = np.cumsum(counts), [], 0
                 for k, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                     words = numbers[a:b]
                     found = every[ranges(start[words], size[words])]
                     text = decoder.decode(found)
-                    for column_, value in zip(out, (None if null[k] else int(ids[k]), found.astype("<u4").tobytes(), text)):
-                        column_.append(value)
+                    rows.append((None if null[k] else int(ids[k]), found.astype("<u4").tobytes(), text))
                     made += len(text) + 4 * len(found)
                     if made > 8 * PACK_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
-                        out, made = [[], [], []], 0
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
+                        yield out(rows)
+                        rows, made = [], 0
+                if rows:
+                    yield out(rows)
 
     return work
 
@@ -318,11 +312,11 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = durable(rows.mapInArrow(_blocker(pattern), BLOCKS))
     size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = min(SHARDS_OF_WORDS, max(1, -(-2 * size // shard_bytes)))  # packed words are about half as long
-    dealt = blocks.select("block", "words", "sizes", "hashes").mapInArrow(_dealer(shards), "block long, shard long, words binary, sizes binary")
-    replies = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_replayed(path), "block long, shard long, lengths binary, tokens binary")
+    shards = max(1, -(-2 * size // shard_bytes))  # packed words are about half as long
+    dealt = blocks.select("block", "words", "sizes").mapInArrow(_dealer(shards), "block long, shard long, words binary, sizes binary, which binary")
+    replies = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_replayed(path), "block long, which binary, lengths binary, tokens binary")
     both = replies.unionByName(blocks.select("block", "ids", "null", "counts", "numbers"), allowMissingColumns=True)
-    ready = both.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull(), "shard")
+    ready = both.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull())
     return ready.mapInArrow(_gatherer(path), "id long, ids binary, decoded binary")
 
 
