@@ -1,9 +1,10 @@
 """The pipeline's near-duplicate stage against brute-force Jaccard similarity."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline as C
-from spelunka.llm import nearcopies
+from spelunka.llm import nearcopies, simhash
 
 
 def slow_shingles(text):
@@ -58,3 +59,32 @@ def test_one_row_of_each_class_stays(spark):
 def test_similar_at_the_bound():
     sets = [np.arange(8, dtype=np.uint64), np.arange(10, dtype=np.uint64), np.arange(7, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
     assert nearcopies.similar(sets).tolist() == [0, 0, 0, 3]
+
+
+@pytest.mark.parametrize("block", [nearcopies.BLOCK, 700])
+def test_classes_in_blocks(spark, block):
+    """Parts in one task and parts split into blocks: chains whose ends are not similar, and one large group."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 900, 120)]
+    texts = cases()
+    for k in range(60):  # a chain: each differs from the one before in two places
+        base = list(base)
+        for at in rng.integers(0, 120, 2).tolist():
+            base[at] = f"x{k}"
+        texts.append(" ".join(base))
+    found = nearcopies.classes(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), block=block).collect()
+    root = {r.key: r.root for r in found}
+    keys = [int(np.array([nearcopies.key_of(nearcopies.words_of(t))], np.uint64).view(np.int64)[0]) for t in texts]
+    got, want = [root.get(k, k) for k in keys], slow_classes(texts)
+    assert len(root) == len(found) and {(a, b) for a, b in zip(got, want)} == set(dict(zip(got, want)).items()) == {(a, b) for b, a in dict(zip(want, got)).items()}
+
+
+def test_index_finds_close_fingerprints(spark):
+    """The candidates of op10's index: fingerprints within its bits are in one component."""
+    texts = cases()
+    edges = nearcopies.index_edges(spark.createDataFrame([(t,) for t in texts], "text string"))
+    part = {r.node: r.root for r in simhash.components(edges).collect()}
+    keys = np.array([nearcopies.key_of(nearcopies.words_of(t)) for t in texts], np.uint64).view(np.int64).tolist()
+    prints = [simhash.fingerprint(t, 5, nearcopies.SEED) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4 and keys[a] != keys[b]]
+    assert len(close) > 20 and all(part[keys[a]] == part[keys[b]] for a, b in close)

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline as C
 from spelunka.llm import bpe, lines, mixing, toxicity
-from tests.llm.test_warc_simhash import slow_components, slow_fingerprint
+from tests.llm.test_nearcopies import slow_classes
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +61,7 @@ def test_stages(spark, folder, tmp_path):
 
     near = C.stage_near_duplicates(spark, deduped, folder)
     ordered = sorted(got, key=lambda r: r.doc_id)
-    roots = slow_components([slow_fingerprint(r.text) for r in ordered])
+    roots = slow_classes([r.text for r in ordered])
     assert {r.doc_id for r in near.collect()} == {ordered[r].doc_id for r in set(roots)}
 
     mixed = C.stage_mixing(spark, near, folder)
