@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset and all of Spark is in this process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = folder or tempfile.mkdtemp(prefix="spelunka-checkpoint-")
         context.setCheckpointDir(folder)
     return folder or context._jsc.sc().getCheckpointDir().get()
@@ -35,6 +37,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key beyond which hot_join treats it apart, and the most such keys that are broadcast.
+HOT_ROWS, MAX_HOT_KEYS = 1000, 1_000_000
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """many joined with few (key, unique, and n: how many rows of many have it) on key. Keys with very many rows are
+    broadcast, after they have been counted, so that no task gets all rows of one; the others are shuffled."""
+    hot = few.where(F.col("n") > HOT_ROWS).drop("n")
+    count = hot.count()
+    if count == 0 or count > MAX_HOT_KEYS:
+        return many.join(few.drop("n"), key)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(few.where(F.col("n") <= HOT_ROWS).drop("n"), key)
+    return many.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -6,10 +6,11 @@
    arrays of a 64-bit fingerprint, the count and the largest id, one entry a key, no gaps.
 3. Documents compute the same hashes and look them up in the arrays. If the arrays of all shards together are at most
    ``max_broadcast_bytes``, known from the count before anything is sent, they go to every task. Beyond that, line hashes
-   go to the shards instead: a shard's arrays are copied to ``salts`` tasks, hashes stream past them, and the positions to
-   drop come back to their documents.
+   go to the shards instead: a shard's arrays are copied to ``salts`` tasks, to more where its keys are in very many
+   documents (one for each ROWS_PER_COPY), hashes stream past them, and the positions to drop come back to their documents.
 
-Keys are equal where both 64-bit halves of the hash are.
+Keys are equal where both 64-bit halves of the hash are. A probe compares one 64-bit fingerprint mixed from both halves,
+so of 2**64 lines that no key equals one is mistaken for one.
 
 Defined results: a null or empty text is one empty line, which is never long enough to drop. A document counts once for
 a key however often it holds it; each row is a document, so repeated rows count each. All rows of the largest id keep
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spelunka.llm.common import column, documents, durable, slices
+from spelunka.llm.common import MAX_HOT_KEYS, column, documents, durable, slices
 
 MIN_LENGTH, MIN_DOCUMENTS = 20, 3
 SHARD_KEYS = 1 << 15
 MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 8
+SALTS, ROWS_PER_COPY = 8, 500_000
 _MASK = (1 << 64) - 1
 
 
@@ -307,8 +308,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         return back(rows.mapInArrow(_prober(arrays, min_length, shards), out))
     rows = rows.withColumn("row", F.unhex(F.md5(F.coalesce("text", F.lit("")))))  # with the id, it tells rows apart where they differ
     lines = rows.select("id", "text", "row").mapInArrow(_line_rows(min_length), "id long, row binary, line long, h1 long, h2 long, spread long").dropDuplicates(["id", "row", "line"])
-    lines = lines.withColumns({"shard": _shard_column(shards)("h1"), "salt": F.pmod(F.xxhash64("id", "row"), F.lit(salts))}).drop("spread")
-    copies = built.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    often = shared.withColumn("shard", _shard_column(shards)("h1")).groupBy("shard").agg(F.ceil(F.sum("n") / ROWS_PER_COPY).alias("copies")).where(F.col("copies") > salts)
+    often = durable(often)  # a row for each ROWS_PER_COPY * salts lines at most
+    often = F.broadcast(often) if often.count() <= MAX_HOT_KEYS else often
+    spread = lambda df: df.join(often, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(salts)))
+    lines = spread(lines.withColumn("shard", _shard_column(shards)("h1")).drop("spread")).withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.col("copies"))).drop("copies")
+    copies = spread(built).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
     both = copies.unionByName(lines, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("seeds").isNull())
     dropped = both.mapInArrow(_streamed, "id long, row binary, line long").groupBy("id", "row").agg(F.collect_list("line").alias("lines"))
     joined = rows.alias("r").join(dropped.alias("d"), (F.col("r.id") == F.col("d.id")) & (F.col("r.row") == F.col("d.row")), "left").select("r.*", "d.lines").drop("row")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelunka.llm.common import column, documents, durable, slices
+from spelunka.llm.common import column, documents, durable, hot_join, slices
 
 WORDS, BITS, SEED = 4, 4, 42
 FANOUT = 8
@@ -257,12 +257,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """id, fp (long) and component_id of each row of df."""
     found = durable(fingerprints(df, id_col, text_col, words, seed))
-    fps = durable(found.groupBy("fp").agg(F.min("id").alias("least")))
+    fps = durable(found.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
     roots = components(link_edges(fps, bits))
-    classed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = classed.join(smallest, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp").select("id", "fp", "component_id")
+    classed = durable(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    smallest = durable(classed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    of_fp = durable(hot_join(classed, smallest, "root").select("fp", "component_id", F.col("rows").alias("n")))
+    return hot_join(found, of_fp, "fp").select("id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
