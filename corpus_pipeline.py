@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spelunka.llm import bpe, lines, mixing, nearcopies, toxicity
 from spelunka.llm.common import ensure_checkpoint_dir
+from spelunka.llm.warc import remove_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,7 +34,9 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8) one row stays: that of the smallest id, of several by hash."""
+    """Of each class of near copies (five-word shingles, similarity 0.8) one row stays: that of the smallest id, of several by hash.
+
+    op10's Gray-order index and MinHash bands propose, whole shingle sets decide (nearcopies.py says why both)."""
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__h"))
     keyed = nearcopies.with_key(rows.select("doc_id", "text", "__h")).select("doc_id", "__h", F.col("__key").alias("key"))
     found = keyed.join(nearcopies.classes(docs), "key", "left").where("doc_id is not null").select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "__h").alias("row"))
@@ -65,11 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next; a stage's folder goes once
+    the next one is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs
