@@ -2,7 +2,7 @@
 
 1. Tasks split their texts into words (matches of the split pattern). A block is some documents of a task, up to BLOCK_BYTES
    of text; its distinct words are numbered, the most frequent first, and its documents become lists of these numbers.
-   Blocks are kept in the shared folder, so texts are split only once. The words go to shards by their hash.
+   Blocks are shuffled once, to where their ids will come, and read there twice. The words go to shards by their hash.
 2. Each shard gathers its words from all blocks and takes each distinct one once. Their bytes lie in one linked array of
    symbols, with an inverted index from token pair (named by the rank of the merge that joins it) to the positions where
    that pair stands. Merges are replayed in rank order: a merge visits only the positions in its index entry, and
@@ -10,7 +10,7 @@
 3. The ids of a block's words go back to the block, with the words' numbers, and its documents' ids are gathered from
    them. Texts themselves never move. Decoding gathers the tokens' bytes in the same way.
 
-Shards are as many as keep each at about SHARD_BYTES of words, which are counted first.
+Shards are as many as keep each at about SHARD_BYTES of words, by the bytes of text, which are counted first.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; texts of any length are encoded whole; rows
 with null ids keep a null id; repeated rows give a row each; an empty table gives no rows. Columns other than the two
@@ -30,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spelunka.llm.common import column, documents, durable, slices
+from spelunka.llm.common import column, documents, slices
 
-BLOCK_ROWS, BLOCK_BYTES = 1 << 14, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1 << 14, 8 << 20
+WORDS_SHARE = 0.2  # about how much of a block's text its distinct words are; only the number of shards follows it
 SHARD_BYTES = 2 << 20
 PACK_BYTES = 1 << 20
 
@@ -270,22 +271,16 @@ def _decoder(path: str) -> Decoder:
 
 
 def _gatherer(path: str):
-    """Rows come sorted by block, the block's documents last: id, ids and decoded bytes of each document."""
+    """id, ids and decoded bytes of each document of a block, given what its words' shards reply."""
 
     def work(batches):
         decoder = _decoder(path)
-        block, held = None, []
-
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["id", "ids", "decoded"])
 
         for batch in batches:
-            for now, *reply, ids, null, counts, numbers in zip(*(column(batch, c).to_pylist() for c in ("block", "which", "lengths", "tokens", "ids", "null", "counts", "numbers"))):
-                if now != block:
-                    block, held = now, []
-                if numbers is None:
-                    held.append(list(map(_unpack, reply)))
-                    continue
+            for replies, ids, null, counts, numbers in zip(*(column(batch, c).to_pylist() for c in ("replies", "ids", "null", "counts", "numbers"))):
+                held = [[_unpack(r[c]) for c in ("which", "lengths", "tokens")] for r in replies or []]
                 which, lengths, every = (np.concatenate(x).astype(np.int64) for x in zip(*((np.cumsum(w), n, t) for w, n, t in held))) if held else [np.zeros(0, np.int64)] * 3
                 size, start = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
                 size[which], start[which] = lengths, np.cumsum(lengths) - lengths
@@ -310,14 +305,14 @@ def _gatherer(path: str):
 def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """id, ids (binary) and decoded (binary, from the ids) of each whole text."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = durable(rows.mapInArrow(_blocker(pattern), BLOCKS))
-    size = blocks.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-2 * size // shard_bytes))  # packed words are about half as long
-    dealt = blocks.select("block", "words", "sizes").mapInArrow(_dealer(shards), "block long, shard long, words binary, sizes binary, which binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-int(total * WORDS_SHARE) // shard_bytes))
+    blocks = rows.mapInArrow(_blocker(pattern), BLOCKS).repartition("block")
+    # All columns go to both readers, so that Spark sees one and the same shuffle.
+    dealt = blocks.mapInArrow(_dealer(shards), "block long, shard long, words binary, sizes binary, which binary")
     replies = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_replayed(path), "block long, which binary, lengths binary, tokens binary")
-    both = replies.unionByName(blocks.select("block", "ids", "null", "counts", "numbers"), allowMissingColumns=True)
-    ready = both.repartition("block").sortWithinPartitions("block", F.col("numbers").isNotNull())
-    return ready.mapInArrow(_gatherer(path), "id long, ids binary, decoded binary")
+    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("which", "lengths", "tokens")).alias("replies"))
+    return blocks.join(gathered, "block", "left").mapInArrow(_gatherer(path), "id long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
