@@ -6,6 +6,8 @@ Levels, ranks and labels stay distributed; the driver sees counts only.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,13 +16,24 @@ DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 SIGNALS = {"structural": 0.4, "behavioral": 0.3, "temporal": 0.3}
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once, in the shared checkpoint folder; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of our own only where none is set and all of Spark is in this process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="spelunka-graph-")
+        context.setCheckpointDir(folder)
+    return folder or context._jsc.sc().getCheckpointDir().get()
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spelunka-graph-"))
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -67,12 +80,12 @@ def coupling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.withColumn("instability", instability(F.col("fan_in"), F.col("fan_out"))).withColumn("assessment", stability(F.col("instability")))
 
 
-def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """node, depth: least number of edges from start (column node), without start itself, up to depth."""
+def bfs(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """node, depth: least number of edges from start (column node), without start itself, up to depth or as far as it goes."""
     edges = kept(simple(edges))
     seen = kept(start.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen.select("node")
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = kept(edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti"))
         if new.isEmpty():
             break
@@ -81,9 +94,9 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node: everything start reaches, start included."""
-    return bfs(edges, start, most).select("node").unionByName(start.select("node")).distinct()
+    return bfs(edges, start).select("node").unionByName(start.select("node")).distinct()
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, direction: str = "imports") -> DataFrame:
@@ -212,12 +225,13 @@ def structural_signal(edges: DataFrame) -> DataFrame:
     return simple(edges).groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").alias("n"))
 
 
-def group_pairs(members: DataFrame, group: str, item: str, least: int = 2, most: int = 30) -> DataFrame:
-    """a, b, n: groups that hold both items. Groups outside [least, most] say nothing and are left out before pairing,
-    which bounds the pairs of a group by most squared; this bound is the measure's own definition."""
+def group_pairs(members: DataFrame, group: str, item: str, most: int | None = None) -> DataFrame:
+    """a, b, n: groups that hold both items. With most, groups of more items say nothing and are left out before pairing:
+    a bound that some measures (behavioural coupling: 30) have by definition."""
     m = members.select(group, item).distinct()
-    sized = m.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
-    m = m.join(sized.select(group), group, "left_semi")
+    if most is not None:
+        sized = m.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size") <= most)
+        m = m.join(sized.select(group), group, "left_semi")
     pair = m.select(group, F.col(item).alias("a")).join(m.select(group, F.col(item).alias("b")), group).where("a < b")
     return pair.groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -315,13 +329,22 @@ def signal_chains(gateways: DataFrame, calls: DataFrame, depth: int = 8) -> Data
     return seen
 
 
-def prune(edges: DataFrame, most: int, keep: set | None = None) -> list[tuple]:
-    """Edges of at most `most` nodes, for drawing: leaves go first, then the lowest degrees. Works on the driver on what a
-    diagram can show; the edges come through a limit far above it."""
-    rows = {(r.src, r.dst) for r in edges.select("src", "dst").limit(50 * most * most).collect()}
+def prune(edges: DataFrame, most: int, keep: set | None = None, drawable: int = 5_000) -> list[tuple]:
+    """Edges of at most `most` nodes, for drawing: leaves go first, then the lowest degrees. While there are more than
+    drawable nodes this happens on DataFrames, leaves in rounds and then all but the drawable nodes of most edges; the rest
+    is done on the driver."""
     keep = keep or set()
+    e = kept(edges.select("src", "dst").distinct())
+    ends = lambda d: d.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    among = lambda d, nodes: d.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    while (size := (degree := ends(e)).count()) > drawable:
+        inner = kept(degree.where((F.col("n") > 1) | F.col("node").isin(list(keep))))
+        if inner.count() == size or inner.count() < drawable:
+            inner = degree.orderBy(F.desc(F.col("node").isin(list(keep))), F.desc("n"), "node").limit(drawable)
+        e = kept(among(e, inner).select("src", "dst"))
+    rows = {(r.src, r.dst) for r in e.collect()}
     while True:
-        degree: dict = {}
+        degree = {}
         for a, b in rows:
             degree[a] = degree.get(a, 0) + 1
             degree[b] = degree.get(b, 0) + 1

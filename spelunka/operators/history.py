@@ -40,6 +40,24 @@ def compose_branch(base: DataFrame, delta: DataFrame, key: str = "file", action:
     return base.join(gone, key, "left_anti").unionByName(delta.where(F.col(action) != "delete").drop(action), allowMissingColumns=True)
 
 
+def changed_symbols(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
+    """id, file, name, lines: symbols whose lines a change touches. hunks: file, start, lines of the new side (0: a deletion
+    behind that line). Hunks are joined on their file, cut into buckets of lines as in hygiene.enclosing()."""
+    width = 64
+    until = F.col("start") + F.greatest(F.col("lines"), F.lit(1)) - 1
+    h = hunks.select("file", F.col("start").alias("lo"), until.alias("hi")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    s = symbols.select("id", "file", "name", "line", "end_line").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line") / width), F.floor(F.col("end_line") / width))))
+    both = s.join(h, ["file", "bucket"]).where("lo <= end_line and hi >= line").select("id", "file", "name", "lo", "hi", "line", "end_line").distinct()
+    return both.groupBy("id", "file", "name").agg(F.sum(F.least("hi", "end_line") - F.greatest("lo", "line") + 1).alias("lines"))
+
+
+def verified_source(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """id, source, intact: the bytes of each symbol in its file (path, content), and whether their SHA-256 is the stored one."""
+    both = symbols.join(files.select(F.col("path").alias("file"), F.col("content").cast("binary").alias("b")), "file")
+    part = F.substring("b", F.col("byte_offset") + 1, F.col("byte_length"))
+    return both.select("id", F.decode(part, "UTF-8").alias("source"), (F.sha2(part, 256) == F.col("content_hash")).alias("intact"))
+
+
 def overload_ids(symbols: DataFrame, ident: str = "id", order: str = "byte_offset") -> DataFrame:
     """symbols whose ids are told apart: repeated ids get ~1, ~2, ... in document order, the others stay."""
     w = Window.partitionBy(ident)
@@ -101,9 +119,14 @@ def line_slice(files: DataFrame, start: int, end: int, text: str = "content") ->
     return files.withColumns({"slice": F.array_join(F.slice(parts, lo, hi - lo + 1), "\n"), "n_lines": F.size(parts)})
 
 
+def byte_range(content: Column, offset: Column, length: Column) -> Column:
+    """The bytes at a range, which may begin or end inside a character."""
+    return F.substring(content.cast("binary"), offset + 1, length)
+
+
 def byte_slice(content: Column, offset: Column, length: Column) -> Column:
     """The text at a range of bytes."""
-    return F.decode(F.substring(content.cast("binary"), offset + 1, length), "UTF-8")
+    return F.decode(byte_range(content, offset, length), "UTF-8")
 
 
 def file_tree(files: DataFrame, prefix: str = "", k: int = 500) -> DataFrame:

@@ -103,17 +103,17 @@ def content_references(lines: DataFrame, defining: DataFrame, name: str) -> Data
 
 def callers(symbols: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
     """callee_id, caller_id: calls (caller_id, caller_file, name) of a symbol from its file or a file that imports it."""
-    s = symbols.select(F.col("id").alias("callee_id"), "name", F.col("file").alias("callee_file"))
-    pairs = calls.join(s, "name").where("caller_id <> callee_id")
-    own = pairs.where("caller_file = callee_file")
-    far = pairs.where("caller_file <> callee_file").join(G.simple(edges), (F.col("caller_file") == F.col("src")) & (F.col("callee_file") == F.col("dst")), "left_semi")
-    return own.unionByName(far).select("callee_id", "caller_id").distinct()
+    s = symbols.select(F.col("id").alias("callee_id"), "name", F.col("file").alias("seen"))
+    c = calls.select("caller_id", "caller_file", "name").distinct()
+    # What each caller's file sees comes first, so that symbols are joined on file and name, never on a common name alone.
+    near = c.withColumn("seen", F.col("caller_file")).unionByName(c.join(G.simple(edges).select(F.col("src").alias("caller_file"), F.col("dst").alias("seen")), "caller_file"))
+    return near.join(s, ["seen", "name"]).where("caller_id <> callee_id").select("callee_id", "caller_id").distinct()
 
 
 def callees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """caller_id, callee_id, resolution: resolved within the file, inferred elsewhere (imports are not asked)."""
     s = symbols.select(F.col("id").alias("callee_id"), "name", F.col("file").alias("callee_file"))
-    pairs = calls.join(s, "name").where("caller_id <> callee_id")
+    pairs = calls.select("caller_id", "caller_file", "name").distinct().join(s, "name").where("caller_id <> callee_id")
     return pairs.select("caller_id", "callee_id", F.when(F.col("caller_file") == F.col("callee_file"), "ast_resolved").otherwise("ast_inferred").alias("resolution")).distinct()
 
 
@@ -183,3 +183,91 @@ def bloat(files: DataFrame, text: str = "content", tokens: int = 2000) -> DataFr
     share = F.aggregate(blocks, F.lit(0), lambda a, b: a + F.length(b)) / F.nullif(F.length(text), F.lit(0))
     n = X.token_estimate(F.col(text))
     return files.withColumns({"tokens": n, "verdict": F.when(n > tokens, "too_long").when((share > 0.5) & (F.size(blocks) > 2), "mostly_code").otherwise("ok")})
+
+
+# -- reachability of code, end to end -----------------------------------------------------------------------------------
+
+
+def live_roots(files: DataFrame, contents: DataFrame | None = None, manifests: DataFrame | None = None, patterns: list[str] = (), include_tests: bool = True) -> DataFrame:
+    """file: entry points by name, main guards in contents (file, content), entries that manifests name (file), patterns, tests."""
+    path = F.col("file")
+    by_name = X.is_entry(path) | (X.is_test(path) if include_tests else F.lit(False))
+    for p in patterns:
+        by_name = by_name | X.glob(path, p, "name")
+    roots = files.where(by_name).select("file")
+    if contents is not None:
+        roots = roots.unionByName(contents.where(F.col("content").rlike(X.MAIN_GUARD)).select("file"))
+    if manifests is not None:
+        roots = roots.unionByName(files.join(manifests, "file", "left_semi").select("file"))
+    return roots.distinct()
+
+
+def barrel_exports(contents: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+    """file, name: identifiers that a barrel file names, for itself and for what it imports, over at most hops re-exports."""
+    barrels = contents.where(X.is_barrel(F.col("file")))
+    own = barrels.select("file", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
+    found = front = G.kept(own.distinct())
+    e = G.simple(edges)
+    for _ in range(hops):
+        front = G.kept(front.join(e.select(F.col("src").alias("file"), "dst"), "file").select(F.col("dst").alias("file"), "name").distinct().join(found, ["file", "name"], "left_anti"))
+        if front.isEmpty():
+            break
+        found = G.kept(found.unionByName(front))
+    return found
+
+
+DECORATED = r"(?i)(route|get|post|put|delete|command|task|fixture|event|listener|handler|register|hook)"
+DECORATED_CAP = 0.5
+
+
+def dead_code(symbols: DataFrame, edges: DataFrame, calls: DataFrame, exports: DataFrame, roots: DataFrame, min_confidence: float = 0.33) -> DataFrame:
+    """id, file, name, confidence of symbols that nothing seems to use: the mean of three signals, that no root reaches the
+    file (nor it a root's importer), that no call names the symbol, that no barrel exports it. Without any edges the call
+    signal stands alone. What a decorator may register is capped at 0.5.
+
+    symbols: id, file, name, decorators; calls: name; exports: from barrel_exports(); roots: from live_roots()."""
+    start = roots.select(F.col("file").alias("node"))
+    reached = G.reachable(edges, start).select(F.col("node").alias("file"))
+    flag = lambda d, keys, name: d.select(*keys).distinct().withColumn(name, F.lit(0))
+    s = symbols.join(flag(reached, ["file"], "unreached"), "file", "left").join(flag(calls, ["name"], "uncalled"), "name", "left").join(flag(exports, ["file", "name"], "unexported"), ["file", "name"], "left")
+    s = s.fillna(1, ["unreached", "uncalled", "unexported"])
+    mean = F.col("uncalled").cast("double") if edges.isEmpty() else (F.col("unreached") + F.col("uncalled") + F.col("unexported")) / 3.0
+    capped = F.when(F.exists(F.coalesce("decorators", F.array()), lambda d: d.rlike(DECORATED)), F.least(mean, F.lit(DECORATED_CAP))).otherwise(mean)
+    return s.select("id", "file", "name", F.round(capped, 4).alias("confidence")).where(F.col("confidence") >= min_confidence)
+
+
+def blast_radius(edges: DataFrame, contents: DataFrame, changed: DataFrame, name: str, depth: int = 3) -> DataFrame:
+    """file, depth, level, tested: the files that import the changed ones (column file), directly or not. A direct importer
+    whose content names the symbol is confirmed, the others are potential; tested says whether a test file imports it.
+    The changed files themselves are left out."""
+    levels = G.bfs(G.reverse(edges), changed.select(F.col("file").alias("node")), depth).select(F.col("node").alias("file"), "depth")
+    named = G.mentions(contents, name).where("references > 0").select("file").distinct().withColumn("named", F.lit(True))
+    tests = G.simple(edges).where(X.is_test(F.col("src"))).select(F.col("dst").alias("file")).distinct().withColumn("t", F.lit(True))
+    found = levels.join(changed.select("file"), "file", "left_anti").join(named, "file", "left").join(tests, "file", "left")
+    level = F.when((F.col("depth") == 1) & F.col("named"), "confirmed").otherwise("potential")
+    return found.select("file", "depth", level.alias("level"), F.col("t").isNotNull().alias("tested"))
+
+
+def gateway_kind(signature: Column, decorators: Column) -> Column:
+    """What kind of way in a symbol is, by its decorators, else by its name: http, cli, event, task, test; null for none."""
+    text = F.concat_ws(" ", decorators)
+    return (
+        F.when(text.rlike(r"(?i)\b(route|get|post|put|patch|delete|api)\b"), "http").when(text.rlike(r"(?i)\b(command|click|argument)\b"), "cli")
+        .when(text.rlike(r"(?i)\b(on|event|listener|subscribe|receiver)\b"), "event").when(text.rlike(r"(?i)\b(task|job|schedule|cron)\b"), "task")
+        .when(signature.rlike(r"\bmain\s*\("), "cli").when(signature.rlike(r"\btest_?\w*\s*\("), "test")
+    )
+
+
+def orphan_share(symbols: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row: symbols, those that no gateway reaches (chains: from graph.signal_chains()), and their share in percent."""
+    seen = chains.select(F.col("node").alias("id")).distinct().withColumn("s", F.lit(1))
+    return symbols.join(seen, "id", "left").agg(F.count("*").alias("symbols"), F.sum(F.when(F.col("s").isNull(), 1).otherwise(0)).alias("orphans")).withColumn("percent", F.round(100.0 * F.col("orphans") / F.nullif("symbols", F.lit(0)), 2))
+
+
+def scope_leaks(entries: DataFrame, scopes: list[tuple[str, str]]) -> DataFrame:
+    """file, line, text, scope: lines of an agent's configuration that name a path of another scope than their file's.
+    entries: file, line, text; scopes: (name, path prefix). A file belongs to the first scope whose prefix it has."""
+    own = layer_of(F.col("file"), [(name, [prefix]) for name, prefix in scopes])
+    rows = entries.withColumn("own", own)
+    named = F.array(*(F.when(F.col("text").contains(prefix), F.lit(name)) for name, prefix in scopes))
+    return rows.withColumn("scope", F.explode(F.filter(named, lambda x: x.isNotNull()))).where("own is not null and scope <> own").select("file", "line", "text", "scope")

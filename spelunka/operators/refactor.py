@@ -43,23 +43,79 @@ def move_plan(symbols: DataFrame, lines: DataFrame, imports: DataFrame, symbol_i
 
 
 def call_sites(lines: DataFrame, files: DataFrame, name: str) -> DataFrame:
-    """file, line, arguments of calls of a name, for changes of its signature."""
-    pattern = rf"\b{re.escape(name)}\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)"
-    found = lines.where(F.col("text").rlike(rf"\b{re.escape(name)}\s*\(")).join(files.select("file").distinct(), "file", "left_semi")
-    return found.where(~F.col("text").rlike(DEFINES + re.escape(name) + r"\b")).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("arguments"))
+    """file, line, arguments of calls of a name, for changes of its signature. Brackets inside the arguments nest to any
+    depth; a call that goes on behind its line has what stands on that line."""
+    word = rf"\b{re.escape(name)}\s*\("
+    found = lines.where(F.col("text").rlike(word) & ~F.col("text").rlike(DEFINES + re.escape(name) + r"\b")).join(files.select("file").distinct(), "file", "left_semi")
+    # Each call's rest of the line, read letter by letter until its parenthesis closes.
+    rests = F.slice(F.split("text", word), 2, 1_000_000)
+    cut = F.regexp_extract_all("text", F.lit(word), F.lit(0))
+    whole = F.transform(F.sequence(F.lit(1), F.size(rests)), lambda i: F.concat(rests[i - 1], F.array_join(F.flatten(F.transform(F.sequence(i + 1, F.size(rests) + 1), lambda j: F.when(j <= F.size(rests), F.array(cut[j - 1], rests[j - 1])).otherwise(F.array()))), "")))
+
+    def step(s, c):
+        depth = F.when(s["d"] < 1, s["d"]).when(c.isin("(", "[", "{"), s["d"] + 1).when(c.isin(")", "]", "}"), s["d"] - 1).otherwise(s["d"])
+        return F.struct(depth.alias("d"), F.when((s["d"] >= 1) & (depth >= 1), F.concat(s["t"], c)).otherwise(s["t"]).alias("t"))
+
+    inside = lambda rest: F.aggregate(F.split(rest, ""), F.struct(F.lit(1).alias("d"), F.lit("").alias("t")), step, lambda s: s["t"])
+    return found.select("file", "line", F.explode(F.transform(whole, inside)).alias("arguments"))
+
+
+def _escaped(c: Column) -> Column:
+    for raw, code in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        c = F.replace(c, F.lit(raw), F.lit(code))
+    return c
+
+
+def _replaced(parts: Column, code: str, raw: str) -> Column:
+    return F.transform(parts, lambda p: F.replace(p, F.lit(code), F.lit(raw)))
+
+
+def _unescaped(c: Column) -> Column:
+    parts = F.split(c, r"\\\\")  # each escaped backslash apart, so that what follows it is read by itself
+    for code, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+        parts = _replaced(parts, code, raw)
+    return F.array_join(parts, "\\")
+
+
+NULL = "\\N"  # how a cell is null
+MIN_GAIN = 0.15
 
 
 def compact_table(df: DataFrame, columns: list[str], min_uses: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(legend, rows): values of string columns that recur get short codes; rows are tab-separated text with codes. Reading
-    the rows with the legend gives the table back."""
+    """(legend: value, code; rows: row): values of string columns that recur get short codes (@1, @2, ...); a row is its
+    cells, tab-separated, with backslash escapes, so expanded_table() gives the table back. Cells that begin with @ are
+    escaped as well."""
     from spelunka.operators.history import legend
 
     texts = [c for c in columns if dict(df.dtypes)[c] == "string"]
+    plain = lambda c: F.coalesce(F.regexp_replace(_escaped(F.col(c).cast("string")), "^@", r"\\@"), F.lit(NULL))
     if not texts:
-        return df.sparkSession.createDataFrame([], "value string, code string"), df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("row"))
+        return df.sparkSession.createDataFrame([], "value string, code string"), df.select(F.concat_ws("\t", *map(plain, columns)).alias("row"))
     values = df.select(F.explode(F.array(*texts)).alias("value")).where("value is not null")
     best = legend(values, "value", min_uses=min_uses)
     coded = best.select("value").orderBy("value").selectExpr("value", "concat('@', cast(row_number() over (order by value) as string)) as code")
     table = F.broadcast(coded.agg(F.map_from_entries(F.collect_list(F.struct("value", "code"))).alias("codes")))  # at most the legend's size
-    cell = lambda c: F.coalesce(F.get(F.array(F.element_at("codes", F.col(c))), F.lit(0)), F.col(c), F.lit("")) if c in texts else F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return coded, df.join(table).select(F.concat_ws("\t", *[cell(c) for c in columns]).alias("row"))
+    cell = lambda c: F.coalesce(F.try_element_at("codes", F.col(c)), plain(c)) if c in texts else plain(c)
+    return coded, df.join(table).select(F.concat_ws("\t", *map(cell, columns)).alias("row"))
+
+
+def expanded_table(legend: DataFrame, rows: DataFrame, schema: str) -> DataFrame:
+    """The table that compact_table() encoded, with the columns and types of schema (a DDL string)."""
+    from pyspark.sql import types as T
+
+    table = F.broadcast(legend.agg(F.map_from_entries(F.collect_list(F.struct("code", "value"))).alias("codes")))  # at most the legend's size
+    cells = rows.join(table).select(F.split("row", "\t").alias("cells"), "codes")
+
+    def value(i):
+        c = F.col("cells")[i]
+        return F.when(c == NULL, None).when(c.startswith("@"), F.try_element_at("codes", c)).otherwise(_unescaped(F.regexp_replace(c, r"^\\@", "@")))
+
+    return cells.select(*(value(i).cast(f.dataType).alias(f.name) for i, f in enumerate(T.StructType.fromDDL(schema).fields)))
+
+
+def worth_encoding(df: DataFrame, legend: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: bytes of the plain rows, of legend and rows, and whether encoding saves at least 15 %."""
+    size = lambda d, c: d.agg(F.coalesce(F.sum(F.octet_length(c) + 1), F.lit(0)).alias("n"))
+    plain = size(df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("row")), "row").withColumnRenamed("n", "plain")
+    coded = size(rows, "row").withColumnRenamed("n", "rows").join(size(legend.select(F.concat("code", "value").alias("v")), "v"))
+    return plain.join(coded).select("plain", (F.col("rows") + F.col("n")).alias("encoded")).withColumn("worth", F.col("encoded") <= (1 - MIN_GAIN) * F.col("plain"))

@@ -85,11 +85,48 @@ def term_scores(post: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def bm25(post: DataFrame, query: str, expand: bool = False) -> DataFrame:
-    """id, score of every document that holds a query term."""
+    """id, score of every document that holds a query term, from stored postings."""
     terms = X.expand_query(query) if expand else list(dict.fromkeys(X.tokens_of(query)))
     return term_scores(post, terms).groupBy("id").agg(F.sum("score").alias("score"))
 
 
+def bags(df: DataFrame, id_col: str, fields: dict[str, int], terms: list[str]) -> DataFrame:
+    """id, dl (distinct terms) and tfs (weighted count of each term, in their order), all inside the row: ids are unique, so
+    nothing is exploded and nothing is shuffled."""
+    tokens = {c: X.split_tokens(F.col(c)) for c in fields}
+    held = df.select(F.col(id_col).alias("id"), *(t.alias(f"t{i}") for i, t in enumerate(tokens.values())))
+    columns = [(F.col(f"t{i}"), w) for i, w in enumerate(fields.values())]
+    every = F.array_distinct(F.concat(*(t for t, _ in columns)))
+    hits = [F.filter(t, lambda x: x.isin(terms)) for t, _ in columns]  # few tokens are left to be counted
+    held = held.select("id", F.size(every).alias("dl"), *(h.alias(f"h{i}") for i, h in enumerate(hits)))
+    count = lambda q: sum((w * F.size(F.filter(F.col(f"h{i}"), lambda x: x == q)) for i, (_, w) in enumerate(columns)), F.lit(0))
+    return held.select("id", "dl", F.array(*(count(q) for q in terms)).alias("tfs"))
+
+
+def bag_stats(found: DataFrame, terms: list[str]) -> DataFrame:
+    """One row: n documents with a term at all, their mean length, and dfs, each query term's document frequency."""
+    dfs = F.array(*(F.sum(F.when(F.col("tfs")[i] > 0, 1).otherwise(0)) for i in range(len(terms))))
+    return found.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("dfs"))
+
+
+def bag_scores(found: DataFrame, terms: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """found with scores, the score of each query term in order, and score, their sum; documents without any go."""
+    stats = bag_stats(found, terms) if stats is None else stats
+    k = K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
+    weight = lambda i: F.log((F.col("n") - F.col("dfs")[i] + 0.5) / (F.col("dfs")[i] + 0.5) + 1.0) * F.col("tfs")[i] * (K1 + 1) / (F.col("tfs")[i] + k)
+    scored = found.where(F.exists("tfs", lambda t: t > 0)).join(F.broadcast(stats))  # one row
+    scored = scored.withColumn("scores", F.array(*(weight(i) for i in range(len(terms)))))
+    return scored.withColumn("score", F.aggregate("scores", F.lit(0.0), lambda a, b: a + b)).drop("n", "avgdl", "dfs")
+
+
+def bm25_rows(df: DataFrame, id_col: str, fields: dict[str, int], query: str) -> DataFrame:
+    """id, score as bm25() gives, from the texts themselves: one scan, whose narrow result serves statistics and scores; no shuffle."""
+    from spelunka.operators.graph import kept
+
+    terms = list(dict.fromkeys(X.tokens_of(query)))
+    return bag_scores(kept(bags(df, id_col, fields, terms)), terms).select("id", "score")
+
+
 def top(df: DataFrame, k: int, *by) -> DataFrame:
     return df.orderBy(*by).limit(k)
 
@@ -228,8 +265,11 @@ def criterion(axis: str, op: str, value, dtypes: dict[str, str] | None = None) -
         needles = [str(v).lower() for v in (value if isinstance(value, (list, tuple)) else [value])]
         tests = [_holds(c, n) if axis != "summary" else F.lower(c).contains(n) for n in needles]
         return F.coalesce(reduce(or_, tests), F.lit(False))
-    number = F.coalesce(c.cast("double"), F.lit(0.0))
-    limit = F.lit(float(value))
+    number = F.coalesce(c.try_cast("double"), F.lit(0.0))
+    try:
+        limit = F.lit(float(value))
+    except (TypeError, ValueError):
+        return F.lit(False)
     return {">": number > limit, "<": number < limit, ">=": number >= limit, "<=": number <= limit, "==": number == limit}[op]
 
 
@@ -271,13 +311,23 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float) -> DataFrame:
     return both.select("id", score.alias("score")).where("score > 0")
 
 
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with rank, from 1, over all rows: sorted by ranges, numbered inside each, and shifted by the sizes of those before."""
+    from spelunka.operators.graph import kept
+
+    rows = kept(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")  # a row a partition
+    return rows.withColumns({"__p": part, "__i": place}).join(F.broadcast(before), "__p").withColumn("rank", F.col("__b") + F.col("__i") + 1).drop("__p", "__i", "__b", "__m")
+
+
 def fuse(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K) -> DataFrame:
-    """id, score: weighted reciprocal ranks over channels (id, score); ties within a channel by id."""
+    """id, score: weighted reciprocal ranks over channels (id, score), of all rows; ties within a channel by id."""
     weights = CHANNELS | (weights or {})
     out = None
     for name, df in channels.items():
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-        part = df.select("id", (F.lit(weights.get(name, 1.0)) / (k + rank)).alias("score"))
+        part = ranked(df.select("id", "score"), F.desc("score"), "id").select("id", (F.lit(weights.get(name, 1.0)) / (k + F.col("rank"))).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("id").agg(F.sum("score").alias("score"))
 
@@ -298,3 +348,54 @@ def negative_evidence(scores: DataFrame, files: DataFrame, query: str, weak: flo
     held = reduce(or_, [name.contains(t) for t in terms], F.lit(False))
     near = files.where(held).select("file").distinct().orderBy("file").limit(k).agg(F.array_join(F.sort_array(F.collect_list("file")), ",").alias("related_files"))
     return best.join(F.broadcast(near))
+
+
+# -- symbol search, end to end ------------------------------------------------------------------------------------------
+
+#: What a term counts in each field of a symbol.
+FIELDS = {"name": 3, "signature": 2, "summary": 1, "docstring": 1}
+SORTS = ("relevance", "name", "file", "complexity")
+
+
+def narrowed(symbols: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
+    """Only symbols in one of whose fields a term stands as a part: a filter that the scan can apply before any tokens are cut."""
+    return symbols.where(reduce(or_, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(t) for c in fields for t in terms], F.lit(False)))
+
+
+def search_symbols(symbols: DataFrame, query: str, kind: str | None = None, language: str | None = None, file_glob: str | None = None, sort_by: str = "relevance", k: int = 20, budget: int | None = None, centrality: DataFrame | None = None) -> DataFrame:
+    """id, name, file, score of the best symbols: filters, candidates that hold a term, weighted BM25, the identity bonus,
+    0.3 x ln(1 + centrality of the file); if nothing is found, fuzzy names. Sorted and cut to k; with a budget (of
+    byte_length), packed into it.
+
+    Frequencies are of all symbols that pass the filters, not of the candidates. An empty query lists what passes."""
+    from spelunka.operators.packing import greedy_skip
+
+    if sort_by not in SORTS:
+        raise ValueError(f"no such order: {sort_by!r}")
+    for c, value in (("kind", kind), ("language", language)):
+        symbols = symbols.where(F.col(c) == value) if value else symbols
+    symbols = symbols.where(X.glob(F.col("file"), file_glob, "name")) if file_glob else symbols
+    fields = {c: w for c, w in FIELDS.items() if c in symbols.columns}
+    terms = list(dict.fromkeys(X.tokens_of(query)))
+    if terms:
+        bag = bags(symbols, "id", fields, terms)
+        scores = bag_scores(bags(narrowed(symbols, terms, list(fields)), "id", fields, terms), terms, bag_stats(bag, terms)).select("id", F.col("score").alias("lexical"))
+        bonus = identity(F.col("name"), F.col("id"), query)
+        found = symbols.join(scores, "id", "left").withColumn("score", F.coalesce("lexical", F.lit(0.0)) + bonus).where("score > 0").drop("lexical")
+        if found.isEmpty():
+            found = fuzzy(symbols, query).withColumn("score", F.col("jaccard")).drop("jaccard", "edits")
+    else:
+        found = symbols.withColumn("score", F.lit(0.0))
+    if centrality is not None:
+        found = found.join(centrality.select("file", F.col("n").alias("__n")), "file", "left").withColumn("score", F.col("score") + CENTRALITY * F.log1p(F.coalesce("__n", F.lit(0)))).drop("__n")
+    order = {"relevance": [F.desc("score"), "id"], "name": ["name", "id"], "file": ["file", "id"], "complexity": [F.desc("cyclomatic"), "id"]}[sort_by]
+    if budget is not None:
+        packed = greedy_skip(found, budget, [F.col(c) if isinstance(c, str) else c for c in order], "byte_length", "id").select("id")
+        found = found.join(packed, "id", "left_semi")
+    return top(found, k, *order).select("id", "name", "file", "score")
+
+
+def column_files(columns: DataFrame, files: DataFrame) -> DataFrame:
+    """columns (model, ...) with the file whose stem is the model's name, case ignored; of several the least; null if none."""
+    stems = files.groupBy(F.lower(X.stem_of_path(F.col("file"))).alias("__stem")).agg(F.min("file").alias("file"))
+    return columns.join(stems, F.lower("model") == F.col("__stem"), "left").drop("__stem")

@@ -30,10 +30,10 @@ def ranked_context(spark, sf):
     return c.withColumn("k", k).where("k <= 3").select("id", "source", F.round("score", 6).alias("score"))
 
 
-@query("context_bundle", f"WITH RECURSIVE {SYMBOLS_SQL}, c AS (SELECT *, row_number() OVER (ORDER BY size, id) AS k FROM (SELECT id, byte_length // 4 AS size FROM symbols WHERE file = 'Brand#7') ORDER BY k LIMIT 200), w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS size, 0::BIGINT AS used, false AS taken UNION ALL SELECT c.k, c.id, c.size, CASE WHEN used + c.size <= 1500 THEN used + c.size ELSE used END, used + c.size <= 1500 FROM w JOIN c ON c.k = w.k + 1) SELECT id, size FROM w WHERE taken")
+@query("context_bundle", f"WITH RECURSIVE {SYMBOLS_SQL}, c AS (SELECT *, row_number() OVER (ORDER BY size, id) AS k FROM (SELECT id, byte_length // 4 AS size FROM symbols WHERE file = 'Brand#7')), w AS (SELECT 0::BIGINT AS k, 0::BIGINT AS id, 0::BIGINT AS size, 0::BIGINT AS used, false AS taken UNION ALL SELECT c.k, c.id, c.size, CASE WHEN used + c.size <= 1500 THEN used + c.size ELSE used END, used + c.size <= 1500 FROM w JOIN c ON c.k = w.k + 1) SELECT id, size FROM w WHERE taken")
 def context_bundle(spark, sf):
     s = symbols(spark, sf).where("file = 'Brand#7'").select("id", F.floor(F.col("byte_length") / 4).alias("size"))
-    return P.greedy_skip(s, 1500, P.bundle_order("compact"), "size", "id", k=200)
+    return P.greedy_skip(s, 1500, P.bundle_order("compact"), "size", "id")
 
 
 @query("detail_projection", f"WITH {SYMBOLS_SQL} SELECT id, name, kind, file, line, byte_length, signature, end_line FROM symbols WHERE kind = 'PROMO'")
@@ -63,7 +63,7 @@ def page_links(spark, sf):
     return links.groupBy("target").agg(F.count("*").alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
-@query("co_linked_targets", f"WITH {LINKS}, d AS (SELECT DISTINCT * FROM links), s AS (SELECT page_id FROM d GROUP BY page_id HAVING count(*) BETWEEN 2 AND 30) SELECT x.target AS a, y.target AS b, count(*) AS n FROM d x JOIN d y ON x.page_id = y.page_id AND x.target < y.target WHERE x.page_id IN (SELECT page_id FROM s) GROUP BY ALL")
+@query("co_linked_targets", f"WITH {LINKS}, d AS (SELECT DISTINCT * FROM links) SELECT x.target AS a, y.target AS b, count(*) AS n FROM d x JOIN d y ON x.page_id = y.page_id AND x.target < y.target GROUP BY ALL")
 def co_linked_targets(spark, sf):
     links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
     return G.group_pairs(links, "page_id", "target")
@@ -106,9 +106,12 @@ def hourly_windows(spark, sf):
     return out.select("tool", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("signature_counts", f"WITH {SYMBOLS_SQL} SELECT id, 1 AS params, 0 AS nesting FROM symbols")
+@query("signature_counts", f"WITH {SYMBOLS_SQL} SELECT id, (cyclomatic % 6)::INTEGER AS params, CASE WHEN cyclomatic % 6 = 0 THEN 0 ELSE 1 + cyclomatic % 5 END::INTEGER AS nesting FROM symbols")
 def signature_counts(spark, sf):
-    s = symbols(spark, sf)
+    """Signatures of 0 to 5 parameters, whose types nest up to five brackets deep with commas inside."""
+    nested = F.concat(F.repeat(F.lit("map["), (1 + F.col("cyclomatic") % 5).cast("int")), F.lit("a, b"), F.repeat(F.lit("]"), (1 + F.col("cyclomatic") % 5).cast("int")))
+    several = F.array_join(F.array_repeat(F.concat(F.lit("x: "), nested), (F.col("cyclomatic") % 6).cast("int")), ", ")
+    s = symbols(spark, sf).withColumn("signature", F.concat(F.lit("def f("), several, F.lit(")")))
     return s.select("id", X.param_count(F.col("signature")).cast("int").alias("params"), X.nesting(F.col("signature")).alias("nesting"))
 
 
@@ -139,7 +142,9 @@ def rename_plan(spark, sf):
     return plan.select(F.col("file").alias("doc_id"), "line", "kind", F.md5(F.col("after").cast("binary")).alias("after"))
 
 
-@query("call_site_plan", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS calls FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bprint\\s*\\(([^()]*)\\)', 1)) AS a FROM lines) GROUP BY doc_id")
+@query("call_site_plan", "SELECT p_brand AS file, p_partkey AS line, unnest(['a(b(' || p_name || ')), ' || p_size, '[1, (2)]']) AS arguments FROM part")
 def call_site_plan(spark, sf):
-    rows = lines(spark, sf).withColumn("file", F.col("doc_id"))
-    return R.call_sites(rows, rows, "print").groupBy(F.col("file").alias("doc_id")).agg(F.count("*").alias("calls"))
+    p = table(spark, sf, "part")
+    text = F.concat(F.lit("x = print(a(b("), "p_name", F.lit(")), "), F.col("p_size").cast("string"), F.lit(") + print([1, (2)])"))
+    rows = p.select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), text.alias("text"))
+    return R.call_sites(rows, rows, "print")

@@ -167,7 +167,7 @@ def structural_edges(spark, sf):
 
 @query("behavioral_edges", f"WITH {EDGES_SQL}, {BEHAVE} SELECT * FROM behavioral")
 def behavioral_edges(spark, sf):
-    return G.group_pairs(edges(spark, sf), "dst", "src")
+    return G.group_pairs(edges(spark, sf), "dst", "src", 30)
 
 
 def order_nations(spark, sf):
@@ -177,7 +177,7 @@ def order_nations(spark, sf):
 
 @query("co_change_pairs", f"WITH {TEMPORAL} SELECT * FROM temporal")
 def co_change_pairs(spark, sf):
-    return G.group_pairs(order_nations(spark, sf), "o_orderdate", "c_nationkey", 2, 20)
+    return G.group_pairs(order_nations(spark, sf), "o_orderdate", "c_nationkey", 20)
 
 
 FUSE = f"""{EDGES_SQL}, {STRUCT}, {BEHAVE}, {TEMPORAL}, fused AS (SELECT a, b, sum(w) AS weight FROM (
@@ -187,7 +187,7 @@ FUSE = f"""{EDGES_SQL}, {STRUCT}, {BEHAVE}, {TEMPORAL}, fused AS (SELECT a, b, s
 
 def fused(spark, sf):
     e = G.kept(edges(spark, sf))
-    return G.fuse_signals({"structural": G.structural_signal(e), "behavioral": G.group_pairs(e, "dst", "src"), "temporal": G.group_pairs(order_nations(spark, sf), "o_orderdate", "c_nationkey", 2, 20)})
+    return G.fuse_signals({"structural": G.structural_signal(e), "behavioral": G.group_pairs(e, "dst", "src", 30), "temporal": G.group_pairs(order_nations(spark, sf), "o_orderdate", "c_nationkey", 20)})
 
 
 @query("fused_edges", f"WITH {FUSE} SELECT a, b, round(weight, 6) AS weight FROM fused")

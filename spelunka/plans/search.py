@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spelunka.functions import text as X
+from spelunka.operators import graph as G
 from spelunka.operators import search as S
 from spelunka.plans.base import LINES_SQL, SYMBOLS_SQL, lines, query, symbols, table
 
@@ -33,7 +34,7 @@ def doc_postings(spark, sf):
 
 
 def doc_scores(spark, sf):
-    return S.bm25(doc_postings(spark, sf), QUERY)
+    return S.bm25_rows(table(spark, sf, "documents"), "doc_id", {"text": 1}, QUERY)
 
 
 @query("bm25_topk", f"WITH {SCORES} SELECT id AS doc_id, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC, id LIMIT 10")
@@ -54,11 +55,10 @@ def postings_df(spark, sf):
 
 @query("term_breakdown", f"WITH {SCORES} SELECT id AS doc_id, term, tf::BIGINT AS tf, round(score, 6) AS score FROM scores WHERE id IN (SELECT id FROM ranked ORDER BY score DESC, id LIMIT 10)")
 def term_breakdown(spark, sf):
-    post = doc_postings(spark, sf)
-    scores = S.term_scores(post, list(dict.fromkeys(X.tokens_of(QUERY))))
-    best = S.top(scores.groupBy("id").agg(F.sum("score").alias("total")), 10, F.desc("total"), "id").select("id")
-    tf = post.where(F.col("term").isin(X.tokens_of(QUERY)))
-    return scores.join(F.broadcast(best), "id").join(tf, ["id", "term"]).select(F.col("id").alias("doc_id"), "term", "tf", F.round("score", 6).alias("score"))
+    terms = list(dict.fromkeys(X.tokens_of(QUERY)))
+    best = S.top(S.bag_scores(G.kept(S.bags(table(spark, sf, "documents"), "doc_id", {"text": 1}, terms)), terms), 10, F.desc("score"), "id")
+    each = best.select(F.col("id").alias("doc_id"), F.explode(F.arrays_zip(F.array(*map(F.lit, terms)).alias("term"), F.col("tfs").alias("tf"), F.col("scores").alias("s"))).alias("x"))
+    return each.select("doc_id", "x.term", F.col("x.tf").cast("long").alias("tf"), F.round("x.s", 6).alias("score")).where("tf > 0")
 
 
 CONV_TOKENS = "raw0 AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(regexp_replace(text, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[a-zA-Z0-9]{2,}') AS t FROM conversations)"
@@ -169,17 +169,16 @@ def hybrid_rank(spark, sf):
     return S.top(found, 20, F.desc("score"), "id").select("id", F.round("score", 6).alias("score"))
 
 
-FUSED = f"""{SCORES}, {COSINES}, chan AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS c FROM (SELECT id, score FROM ranked ORDER BY score DESC, id LIMIT 200)
- UNION ALL SELECT id, 0.8 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM (SELECT id, score FROM sem WHERE score >= 0.1 ORDER BY score DESC, id LIMIT 200)
- UNION ALL SELECT doc_id, 0.4 / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200)),
+FUSED = f"""{SCORES}, {COSINES}, chan AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id)) AS c FROM ranked
+ UNION ALL SELECT id, 0.8 / (60 + row_number() OVER (ORDER BY score DESC, id)) FROM sem WHERE score >= 0.1
+ UNION ALL SELECT doc_id, 0.4 / (60 + row_number() OVER (ORDER BY n_chars DESC, doc_id)) FROM documents),
 fused AS (SELECT id, sum(c) AS score FROM chan GROUP BY id)"""
 
 
 @query("wrr_fusion", f"WITH {FUSED} SELECT id, round(score, 8) AS score FROM fused ORDER BY fused.score DESC, id LIMIT 25")
 def wrr_fusion(spark, sf):
-    best = lambda d: S.top(d, 200, F.desc("score"), "id")
     size = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
-    fused = S.fuse({"lexical": best(doc_scores(spark, sf)), "similarity": best(cosines(spark, sf).where("score >= 0.1")), "structural": best(size)})
+    fused = S.fuse({"lexical": doc_scores(spark, sf), "similarity": cosines(spark, sf).where("score >= 0.1"), "structural": size})
     return S.top(fused, 25, F.desc("score"), "id").select("id", F.round("score", 8).alias("score"))
 
 

@@ -11,21 +11,22 @@ from spelunka.functions import text as X
 PATTERNS = {
     "javascript": [r"import\s+(?:type\s+)?([\w*\s{},$]+?)\s+from\s*['\"]([^'\"]+)['\"]", r"import\s*['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", r"export\s+(?:\*|\{[^}]*\})[^'\"]*from\s*['\"]([^'\"]+)['\"]", r"import\(\s*['\"]([^'\"]+)['\"]\s*\)"],
     "python": [r"(?m)^[ \t]*from\s+([.\w]+)\s+import\s+\(?([^)#\n]+(?:\n[^)]*)?)\)?", r"(?m)^[ \t]*import\s+([\w., \t]+)"],
-    "go": [r"(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$"],
+    "go": [r"(?m)^\s*import\s+(?:[\w.]+\s+)?\"([\w./-]+)\"", r"(?s)\bimport\s*\(([^)]*)\)"],
     "java": [r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"],
-    "rust": [r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"],
+    "rust": [r"(?ms)^\s*(?:pub\s+)?use\s+([^;]+);"],
     "c": [r"(?m)^\s*#\s*(?:include|import)\s*[<\"]([^>\"]+)[>\"]"],
     "asm": [r"(?mi)^\s*[.%]?include\s+[\"']?([^\"'\s]+)"],
     "vhdl": [r"(?mi)^\s*library\s+(\w+)", r"(?mi)^\s*use\s+([\w.]+)"],
     "verilog": [r"(?m)^\s*`include\s+\"([^\"]+)\""],
     "ruby": [r"(?m)^\s*require(?:_relative)?\s*\(?['\"]([^'\"]+)['\"]"],
-    "csharp": [r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"],
+    "csharp": [r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+|\w+\s*=\s*)?([\w.]+)\s*;"],
     "php": [r"(?m)^\s*use\s+([\w\\]+)", r"(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]"],
     "swift": [r"(?m)^\s*(?:@testable\s+)?import\s+(\w+)"],
-    "scala": [r"(?m)^\s*import\s+([\w.]+)"],
+    "scala": [r"(?m)^\s*import\s+([^\n;]+)"],
     "haskell": [r"(?m)^\s*import\s+(?:qualified\s+)?([\w.]+)"],
     "dart": [r"(?m)^\s*(?:import|export)\s+['\"]([^'\"]+)['\"]"],
-    "sql": [r"ref\(\s*['\"]([^'\"]+)['\"]\s*\)"],
+    "sql": [r"\bref\(\s*['\"]([^'\"]+)['\"]\s*\)", r"\bsource\(\s*(['\"][^'\"]+['\"]\s*,\s*['\"][^'\"]+['\"])\s*\)"],
+    "vue": [r"<([A-Z]\w+)[\s/>]"],
 }
 SAME = {"typescript": "javascript", "tsx": "javascript", "jsx": "javascript", "vue": "javascript", "kotlin": "java", "cpp": "c", "objc": "c", "arduino": "c"}
 SCRIPT_ENDINGS = [".js", ".ts", ".tsx", ".jsx", ".mjs", ".cjs", ".vue"]
@@ -37,11 +38,23 @@ def _names(listed: Column) -> Column:
     return F.filter(plain, lambda x: (x != "") & (x != "*"))
 
 
+def _unfolded(path: Column, separator: str) -> Column:
+    """a::{b, c::d as e} as a::b and a::c::d; lists inside lists keep what stands before their own brace."""
+    path = F.regexp_replace(path, r"\s+(?:as|=>)\s+\w+", "")
+    head = F.regexp_extract(path, r"^\s*([^{]*?)\s*(?:\{|$)", 1)
+    inner = F.regexp_replace(F.regexp_extract(path, r"(?s)\{(.*)\}", 1), r"[\w:.]+\{[^{}]*\}", "")
+    nested = F.flatten(F.transform(F.regexp_extract_all(F.regexp_extract(path, r"(?s)\{(.*)\}", 1), F.lit(r"[\w:.]+\{[^{}]*\}"), F.lit(0)), lambda x: F.transform(F.split(F.regexp_extract(x, r"\{([^{}]*)\}", 1), ","), lambda y: F.concat(F.regexp_extract(x, r"^([^{]*)\{", 1), F.trim(y)))))
+    own = F.concat(F.transform(F.split(inner, ","), lambda x: F.trim(x)), nested)
+    each = F.transform(F.filter(own, lambda x: x != ""), lambda x: F.when(x == "self", F.regexp_replace(head, r"[:.]+$", "")).otherwise(F.concat(head, x)))
+    return F.when(path.contains("{"), each).otherwise(F.transform(F.split(path, ","), lambda x: F.trim(x)))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """file, specifier, names of the imports of files (file, language, text): native regular expressions, names of one
     specifier merged. Python names of `from` imports are kept for every such line."""
     base = F.coalesce(F.create_map(*[F.lit(x) for pair in SAME.items() for x in pair])[F.col("language")], F.col("language"))
     rows = files.withColumn("family", base)
+    rows = rows.unionByName(rows.where("language = 'vue'").withColumn("family", F.lit("vue")))  # a template's components, besides its script
     out = None
     for family, patterns in PATTERNS.items():
         for pattern in patterns:
@@ -51,6 +64,14 @@ def extract(files: DataFrame) -> DataFrame:
             found = found.select("file", "language", F.explode("z").alias("z")).select("file", "language", F.col("z.s").alias("specifier"), (_names(F.col("z.n")) if two else F.array().cast("array<string>")).alias("names"))
             if family == "python" and not two:
                 found = found.select("file", "language", F.explode(F.transform(F.split("specifier", ","), lambda x: F.regexp_extract(F.trim(x), r"^([\w.]+)", 1))).alias("specifier"), "names")
+            if pattern.endswith(r"\(([^)]*)\)"):  # a block: its quoted strings
+                found = found.select("file", "language", F.explode(F.regexp_extract_all("specifier", F.lit(r"\"([\w./-]+)\""), F.lit(1))).alias("specifier"), "names")
+            if family in ("rust", "scala"):  # lists in braces
+                found = found.select("file", "language", F.explode(_unfolded(F.col("specifier"), "::" if family == "rust" else ".")).alias("specifier"), "names")
+            if family == "sql" and "source" in pattern:
+                found = found.withColumn("specifier", F.array_join(F.regexp_extract_all("specifier", F.lit(r"[^'\",\s]+"), F.lit(0)), "."))
+            if family == "vhdl":
+                found = found.where(~F.lower("specifier").rlike(r"^work(\.|$)"))
             if family in ("java", "csharp"):
                 found = found.withColumn("names", F.array(F.element_at(F.split("specifier", r"\."), -1)))
             out = found if out is None else out.unionByName(found)

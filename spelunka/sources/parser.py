@@ -48,7 +48,7 @@ def nesting_of(body: str) -> int:
 def _row(file, language, name, qualified, kind, body, signature, line, end, offset, length, docstring="", decorators=(), parent=None, params=0, calls=()):
     return {
         "id": symbol_id(file, qualified, kind), "file": file, "name": name, "qualified_name": qualified, "kind": kind, "language": language, "signature": signature, "docstring": docstring or "",
-        "summary": ((docstring or "").strip().split("\n")[0] or signature)[:120], "decorators": list(decorators), "keywords": [], "parent": parent, "line": line, "end_line": end, "byte_offset": offset,
+        "summary": ((docstring or "").strip().split("\n")[0] or signature)[:120], "decorators": list(decorators), "keywords": sorted(set(X.tokens_of(qualified)) - {name.lower()}), "parent": parent, "line": line, "end_line": end, "byte_offset": offset,
         "byte_length": length, "content_hash": hashlib.sha256(body.encode()).hexdigest(), "cyclomatic": len(BRANCH.findall(body)) + 1, "max_nesting": nesting_of(body), "param_count": params, "call_references": list(calls),
     }
 
@@ -155,8 +155,10 @@ PRESETS = {"empty_catch": "error", "bare_except": "warning", "deeply_nested": "w
 DEEP, LOOPS, LONG = 5, 3, 100
 MARKER = re.compile(r"\b(TODO|FIXME|HACK|XXX|NOCOMMIT|TEMP)\b", re.I)
 CREDENTIAL = re.compile(r"(?i)\b\w*(?:password|passwd|secret|api_?key|token|credential)\w*[\"']?\s*[:=]\s*[\"'][^\"']{4,}[\"']")
-DYNAMIC = {"eval", "exec", "compile", "Function", "execfile", "setTimeout"}
-SAFE_NUMBERS = {-1, 0, 1, 2}
+# Calls that run text as code, by language, and numbers that need no name.
+DYNAMIC = {"eval", "exec", "compile", "__import__"}
+DYNAMIC_BY = {"javascript": ["eval", "Function", "setTimeout", "setInterval"], "ruby": ["eval", "instance_eval", "class_eval", "module_eval", "send", "public_send"], "php": ["eval", "assert", "create_function", "call_user_func"], "c": ["system", "popen"]}
+SAFE_NUMBERS = {-1, 0, 0.5, 1, 2, 100, 255, 256, 1000, 1024}
 CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
 LOOP = (ast.For, ast.AsyncFor, ast.While)
 DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -178,6 +180,84 @@ def _deep(tree, kinds, most):
     return out
 
 
+def _own_nodes(function):
+    """What is inside a function, but not inside functions in it."""
+    stack = list(function.body)
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += [x for x in ast.iter_child_nodes(node) if not isinstance(x, (*DEF, ast.Lambda))]
+
+
+_COMMENT_OR_TEXT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_CONTROL_HEAD = re.compile(r"\b(?:if|else|for|foreach|while|do|switch|match|try|catch|loop|select|with|using)\b")
+_LOOP_HEAD = re.compile(r"\b(?:for|foreach|while|do|loop)\b")
+_FUNCTION_HEAD = re.compile(r"([\w$]+)?\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)[^(){};]*$")
+_CONSTANT_LINE = re.compile(r"\b(?:const|final|static|enum|#define|readonly)\b|^\s*[A-Z][A-Z0-9_]*\s*=")
+
+
+def masked(text: str) -> str:
+    """The text with comments and strings blanked, so that places stay the same."""
+    return _COMMENT_OR_TEXT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def blocks(code: str) -> list[tuple[str, int, int, int]]:
+    """(head, start, end, parent) of each pair of braces in masked code; head is what stands before it since the last statement."""
+    out, stack, last = [], [], 0
+    for m in re.finditer(r"[{};]", code):
+        at = m.start()
+        if m[0] == "{":
+            out.append([code[last:at].strip(), at, len(code), stack[-1] if stack else -1])
+            stack.append(len(out) - 1)
+        elif m[0] == "}" and stack:
+            out[stack.pop()][2] = at
+        elif m[0] == ";" and code.count("(", last, at) > code.count(")", last, at):
+            continue  # inside for (...; ...)
+        last = at + 1
+    return [tuple(b) for b in out]
+
+
+def brace_matches(text: str, rules: set[str], language: str) -> list[tuple[str, int, int]]:
+    """(rule, first line, last line) of a file in a language of braces, by its blocks: approximate where such a language has
+    other forms."""
+    code, out = masked(text), []
+    line = lambda at: code.count("\n", 0, at) + 1
+    hit = lambda rule, a, b: out.append((rule, line(a), line(b))) if rule in rules else None
+    found, control, loops = blocks(code), {}, {}
+    for k, (head, start, end, parent) in enumerate(found):
+        is_control, is_function = bool(_CONTROL_HEAD.search(head)), _FUNCTION_HEAD.search(head)
+        begin = start - len(head)
+        nested = -1 if is_function and not is_control else parent
+        control[k] = control.get(nested, 0) + is_control
+        loops[k] = loops.get(nested, 0) + bool(_LOOP_HEAD.search(head))
+        if is_control and control[k] == DEEP:
+            hit("deeply_nested", begin, end)
+        if _LOOP_HEAD.search(head) and loops[k] == LOOPS:
+            hit("nested_loops", begin, end)
+        if re.search(r"\bcatch\b", head):
+            if not code[start + 1 : end].strip():
+                hit("empty_catch", start, end)
+            if re.search(r"\bcatch\s*\(\s*(?:\.\.\.|(?:final\s+)?(?:java\.lang\.)?(?:Exception|Throwable)\b)", head):
+                hit("bare_except", start, end)
+        if is_function and not is_control:
+            if line(end) - line(start) + 1 > LONG:
+                hit("god_function", start, end)
+            names = {w[-1] for p in is_function[2].split(",") if (w := re.findall(r"[A-Za-z_$][\w$]*", re.split(r"[=:]", p)[0]))}
+            inner = [(a, b) for h, a, b, p in found if a > start and b < end and _FUNCTION_HEAD.search(h) and not _CONTROL_HEAD.search(h)]
+            for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*(?:[-+*/%|&^]|\|\||&&|\?\?|<<|>>)?=(?![=>])", code[start:end]):
+                if m[1] in names and not any(a < start + m.start() < b for a, b in inner) and not re.search(r"\b(?:let|var|const)\s+$", code[: start + m.start()][-8:]):
+                    hit("reassigned_param", start + m.start(), start + m.start())
+    calls = DYNAMIC_BY.get(LIKE.get(language, language), [])
+    for m in re.finditer(r"(?<![\w$.])(?:" + "|".join(calls) + r")\s*\(", code) if calls else ():
+        hit("eval_exec", m.start(), m.start())
+    if "magic_number" in rules:
+        lines = code.split("\n")
+        for n, x in enumerate(lines, 1):
+            if not _CONSTANT_LINE.search(x):
+                out += [("magic_number", n, n) for m in re.finditer(r"(?<![\w.$])-?(\d+(?:\.\d+)?)(?![\w.])", x) if float(m[1]) not in SAFE_NUMBERS]
+    return out
+
+
 def python_matches(text: str, rules: set[str]) -> list[tuple[str, int, int]]:
     """(rule, first line, last line) of a Python file."""
     tree = ast.parse(text)
@@ -204,8 +284,9 @@ def python_matches(text: str, rules: set[str]) -> list[tuple[str, int, int]]:
             if node.end_lineno - node.lineno + 1 > LONG:
                 hit("god_function", node)
             names = {a.arg for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]}
-            for x in ast.walk(node):
-                if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id in names for t in x.targets):
+            for x in _own_nodes(node):
+                targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, (ast.AugAssign, ast.AnnAssign, ast.NamedExpr)) else []
+                if any(isinstance(t, ast.Name) and t.id in names for t in targets):
                     hit("reassigned_param", x)
     for node in _deep(tree, CONTROL, DEEP):
         hit("deeply_nested", node)
@@ -252,8 +333,9 @@ def _matcher(rules: set[str], pattern: tuple[str, str] | None):
                     if language == "python":
                         found += python_matches(text, rules)
                         found += _custom(text, *pattern) if pattern else []
-                    elif pattern and pattern[0] == "comment":
-                        found += _custom(text, *pattern)
+                    else:
+                        found += brace_matches(text, rules, language) if LIKE.get(language, language) in ("javascript", "go", "java", "rust", "c", "php") else []
+                        found += _custom(text, *pattern) if pattern and pattern[0] == "comment" else []
                 except (SyntaxError, ValueError, RecursionError):
                     pass
                 rows += [{"file": path, "rule": r, "severity": PRESETS.get(r, "info"), "line": a, "end_line": b, "snippet": lines[a - 1].strip()[:200]} for r, a, b in found]

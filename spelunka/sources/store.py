@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 class Store:
-    """Tables below one root folder. A partition is replaced as a whole: readers see the old rows or the new ones."""
+    """Tables below one root folder. A partition (repository and branch) is replaced as a whole, by Spark's dynamic overwrite:
+    its files are written aside and moved in at the end; without rows, the partition's folder goes."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -22,7 +23,9 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def save(self, table: str, df: DataFrame, repo: str, branch: str = "") -> None:
-        """Replaces the rows of one repository and branch; others stay."""
+        """Replaces the rows of one repository and branch, by none if df has none; others stay."""
+        if df.isEmpty() and self.exists(table):
+            return self.drop(table, repo, branch)
         df.withColumns({"repo": F.lit(repo), "branch": F.lit(branch or "-")}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo", "branch").parquet(self.path(table))
 
     def load(self, table: str, repo: str | None = None, branch: str = "") -> DataFrame:
@@ -42,12 +45,19 @@ class Store:
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(table))
 
+    def upsert_delta(self, table: str, delta: DataFrame, repo: str, branch: str) -> None:
+        """A branch's delta (file, action and payload): for each file the new rows replace those stored before."""
+        if not self.exists(table):
+            return self.save(table, delta, repo, branch)
+        self.update(table, delta, delta.select("file").limit(0), "file", repo, branch)
+
     def trim(self, table: str, k: int, order: str = "ts") -> DataFrame:
         """The last k rows of an append-only table."""
         return self.spark.read.parquet(self.path(table)).orderBy(F.desc(order)).limit(k)
 
     def drop(self, table: str, repo: str, branch: str = "") -> None:
-        self._delete(f"{self.path(table)}/repo={repo}/branch={branch or '-'}")
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName  # as the writer names folders
+        self._delete(f"{self.path(table)}/repo={name(repo)}/branch={name(branch or '-')}")
 
     def repositories(self, table: str = "symbols") -> DataFrame:
         return self.spark.read.parquet(self.path(table)).groupBy("repo", "branch").agg(F.count("*").alias("rows"))
