@@ -13,6 +13,7 @@ from spelunka.functions import text as X
 from spelunka.operators import graph as G
 from spelunka.operators import history as H
 from spelunka.operators import hygiene as Y
+from spelunka.operators import project as J
 from spelunka.operators import refactor as R
 from spelunka.operators import search as S
 from spelunka.plans.base import EDGES_SQL, SYMBOLS_SQL, edges, query, symbols, table
@@ -20,6 +21,7 @@ from spelunka.plans.quality import FILES, file_edges, nation_files
 from spelunka.sources import imports as I
 from spelunka.sources import parser as A
 from spelunka.sources import store as D
+from spelunka.streaming import watch as W
 
 # -- symbol search --------------------------------------------------------------------------------------------------------
 
@@ -290,3 +292,133 @@ def store_update(spark, sf):
         else:
             store.update("symbols", rows.where("id % 3 = 1").withColumn("size", F.col("size") + 1000), rows.where("id % 3 = 0"), "id", repo)
     return store.load("symbols").select("repo", "id", "size")
+
+
+# -- packages, context, outlines, health ----------------------------------------------------------------------------------
+
+
+def brand_repos(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("package")).distinct()
+
+
+@query("package_registry", "SELECT package, string_agg(repo, ',' ORDER BY repo) AS repos FROM (SELECT DISTINCT p_brand AS repo, p_name AS package FROM part) GROUP BY package")
+def package_registry(spark, sf):
+    return J.package_registry(brand_repos(spark, sf)).select("package", F.array_join("repos", ",").alias("repos"))
+
+
+@query("cross_repo_files", "WITH p AS (SELECT DISTINCT p_brand AS repo, p_name AS package FROM part WHERE p_size < 10), i AS (SELECT DISTINCT p_brand AS repo, p_name AS package FROM part WHERE p_size > 45), e AS (SELECT p_brand AS repo, lower(p_type) || '/' || p_name AS file FROM part), f AS (SELECT repo, (SELECT file FROM e x WHERE x.repo = e.repo ORDER BY length(file), file LIMIT 1) AS file FROM e GROUP BY repo) SELECT i.repo, i.package, p.repo AS provider, f.file FROM i JOIN p ON i.package = p.package AND i.repo <> p.repo LEFT JOIN f ON f.repo = p.repo")
+def cross_repo_files(spark, sf):
+    p = table(spark, sf, "part")
+    pairs = lambda test: p.where(test).select(F.col("p_brand").alias("repo"), F.col("p_name").alias("package"))
+    return J.cross_repo_files(pairs("p_size > 45"), pairs("p_size < 10"), p.select(F.col("p_brand").alias("repo"), F.concat(F.lower("p_type"), F.lit("/"), "p_name").alias("file")))
+
+
+@query("language_summary", "SELECT CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 'api' ELSE 'data' END AS category, count(*) AS n, count(DISTINCT p_brand) AS files FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL') GROUP BY ALL")
+def language_summary(spark, sf):
+    s = table(spark, sf, "part").select(F.col("p_type").alias("language"), F.col("p_brand").alias("file"))
+    return J.language_summary(s, {"api": ["PROMO", "LARGE"], "data": ["SMALL"]})
+
+
+@query("context_enrichment", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'own' WHEN substr(p_brand, 7)::INT % 3 = 0 THEN 'about ' || p_brand ELSE '' END AS summary, CASE WHEN substr(p_brand, 7)::INT % 3 = 0 THEN 'alpha,key,owner' ELSE 'key' END AS keywords FROM part")
+def context_enrichment(spark, sf):
+    p = table(spark, sf, "part")
+    third = F.substring("p_brand", 7, 9).cast("int") % 3 == 0
+    s = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"), F.when(F.col("p_size") % 2 == 0, "own").otherwise("").alias("summary"), F.array(F.lit("key")).alias("keywords"))
+    context = p.where(third).select(F.col("p_brand").alias("file")).distinct().select("file", F.concat(F.lit("about "), "file").alias("description"), F.array(F.lit("alpha"), F.lit("key")).alias("tags"), F.create_map(F.lit("owner"), F.lit("x")).alias("properties"))
+    return J.enriched(s, context).select("id", "summary", F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("ambiguous_name", f"WITH {SYMBOLS_SQL} SELECT id, name, file, 'ambiguous' AS status FROM symbols WHERE name = 'red plate' UNION ALL SELECT id, name, file, 'ok' FROM symbols WHERE id = 7")
+def ambiguous_name(spark, sf):
+    return J.named(symbols(spark, sf), "red plate").unionByName(J.named(symbols(spark, sf), "7"))
+
+
+@query("agent_config_files", "SELECT p_partkey || suffix AS file, scope FROM part, (VALUES ('/CLAUDE.md', 'project'), ('/.claude/CLAUDE.md', 'global'), ('/AGENTS.md', 'project')) t(suffix, scope) WHERE p_size = 7")
+def agent_config_files(spark, sf):
+    names = F.explode(F.array(*map(F.lit, ("/CLAUDE.md", "/.claude/CLAUDE.md", "/AGENTS.md", "/agents.txt", "/README.md"))))
+    files = table(spark, sf, "part").where("p_size = 7").select("p_partkey", names.alias("s")).select(F.concat(F.col("p_partkey").cast("string"), "s").alias("file"))
+    return J.agent_files(files)
+
+
+@query("folder_outline", "WITH f AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS file FROM pages), p AS (SELECT file, string_split(file, '/') AS p FROM f), c AS (SELECT count(*) > 500 AND count(DISTINCT CASE WHEN len(p) = 1 THEN '.' WHEN len(p) > 2 THEN p[1] || '/' || p[2] ELSE p[1] END) > count(DISTINCT CASE WHEN len(p) = 1 THEN '.' ELSE p[1] END) AS finer FROM p) SELECT CASE WHEN len(p) = 1 THEN '.' WHEN finer AND len(p) > 2 THEN p[1] || '/' || p[2] ELSE p[1] END AS value, count(*)::DOUBLE AS n FROM p, c GROUP BY ALL ORDER BY n DESC, value LIMIT 40")
+def folder_outline(spark, sf):
+    files = table(spark, sf, "pages").select(F.regexp_replace("url", "^https?://", "").alias("file"))
+    return J.repo_outline(files, spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")).where("what = 'folder'").select("value", "n")
+
+
+@query("cycle_members", "SELECT * FROM (VALUES (1, 3::BIGINT, '1,2,3'), (7, 2, '7,8')) t(component, size, members)")
+def cycle_members(spark, sf):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (7, 8), (8, 7), (9, 9)], "src int, dst int")
+    return J.cycles(e).select("component", "size", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("health_composed", f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON r.b = e.src), scc AS (SELECT a, min(b) AS root FROM (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a) GROUP BY a), d AS (SELECT node, sum(i) AS fi, sum(o) AS fo FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node) SELECT (SELECT count(*) FROM part) AS symbols, (SELECT round(avg(p_size), 4) FROM part) AS complexity, (SELECT count(*) FROM part WHERE p_size / 50.0 >= 0.67) AS dead, (SELECT count(DISTINCT root) FROM scc) AS cycles, (SELECT count(*) FROM d WHERE round(fo::DOUBLE / (fi + fo), 4) > 0.7) AS unstable, (SELECT max(p_size) FROM part)::INTEGER AS worst_hotspot")
+def health_composed(spark, sf):
+    s = symbols(spark, sf)
+    return J.health(s, s.select("id", (F.col("cyclomatic") / 50.0).alias("confidence")), s.select(F.col("cyclomatic").alias("hotspot")), edges(spark, sf))
+
+
+@query("snippet_pack", "SELECT * FROM (VALUES ('b', 3::BIGINT, 40::BIGINT), ('b', 4, 70), ('a', 1, 95)) t(file, id, used)")
+def snippet_pack(spark, sf):
+    """b is referenced most: 3 and 4 fit, 5 ends it; of a, 1 fits what is left and 2 ends it; c's first is too large."""
+    rows = [("a", 1, 25, 2, 9), ("a", 2, 10, 2, 8), ("b", 3, 40, 5, 9), ("b", 4, 30, 5, 8), ("b", 5, 60, 5, 7), ("b", 6, 1, 5, 6), ("c", 7, 200, 1, 1)]
+    return J.snippet_pack(spark.createDataFrame(rows, "file string, id long, size long, references int, weight int"), 100)
+
+
+# -- streams ---------------------------------------------------------------------------------------------------------------
+
+
+def streamed(spark, rows, schema=None):
+    """rows, written to a folder and read as a stream."""
+    folder = f"{G.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+
+
+def drained(spark, folder, stream, mode):
+    """Everything that the stream gives once it has read what there is."""
+    keep = lambda batch, number: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def event_calls(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool"), "user_id", F.col("value").alias("duration_ms"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query("stream_windows", "SELECT event_type AS tool, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    folder, stream = streamed(spark, event_calls(spark, sf))
+    return drained(spark, folder, W.windowed_counts(stream), "complete").select("tool", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("stream_latency", "WITH r AS (SELECT event_type AS tool, value AS v, event_type = 'error' AS bad, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT tool, v, bad, row_number() OVER (PARTITION BY tool ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY tool) AS n FROM r WHERE k <= 512) SELECT tool, n, max(v) FILTER (WHERE i = n // 2) AS p50, max(v) FILTER (WHERE i = least(floor(0.95 * n)::BIGINT, n - 1)) AS p95, max(v) AS max_ms, round(avg(bad::INT), 4) AS error_rate FROM s GROUP BY tool, n")
+def stream_latency(spark, sf):
+    folder, stream = streamed(spark, event_calls(spark, sf).coalesce(1).sortWithinPartitions("ts", "event_id"))
+    return drained(spark, folder, W.rolling_latency(stream), "update")
+
+
+@query("stream_changes", "WITH c AS (SELECT o_custkey || '.py' AS path, max_by(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END, o_orderkey) AS dummy, max(o_orderkey) AS seq FROM orders GROUP BY o_custkey), l AS (SELECT o_custkey || '.py' AS path, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey IN (SELECT seq FROM c)), k AS (SELECT c_custkey || '.py' AS path, 'O' AS old FROM customer WHERE c_custkey % 2 = 0) SELECT state, count(*) AS n FROM (SELECT CASE WHEN hash IS NULL THEN 'deleted' WHEN old IS NULL THEN 'added' WHEN old = hash THEN 'same' ELSE 'modified' END AS state FROM l LEFT JOIN k USING (path)) WHERE state <> 'same' GROUP BY state")
+def stream_changes(spark, sf):
+    """A folder of change records watched once, classified against what is known, and written by batch."""
+    path = F.concat(F.col("o_custkey").cast("string"), F.lit(".py"))
+    changes = table(spark, sf, "orders").select(path.alias("path"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderstatus")).alias("hash"), F.col("o_orderkey").alias("seq"))
+    known = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit("O").alias("hash"))
+    folder, _ = streamed(spark, changes.coalesce(1))
+    handle = lambda batch, number: W.classify(batch, known).write.mode("append").parquet(f"{folder}/out")
+    W.watch(spark, f"{folder}/in", "path string, hash string, seq long", handle, f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("reindex_generations", "SELECT * FROM (VALUES ('a', 2::BIGINT, 2::BIGINT, 0::BIGINT), ('b', 2, 1, 1)) t(repo, begun, done, failures)")
+def reindex_generations(spark, sf):
+    """Two repositories; what an older generation writes is refused; the state outlives the object that wrote it."""
+    folder = f"{G.shared_folder(spark)}/generations-{uuid.uuid4().hex}"
+    one = W.Generations(spark, folder)
+    first, _ = one.start("a"), one.finish("b", one.start("b"))
+    second = W.Generations(spark, folder).start("a")
+    assert not one.finish("a", first) and one.finish("a", second)
+    one.start("b")
+    one.fail("b")
+    return W.Generations(spark, folder).table()

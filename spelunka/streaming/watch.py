@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,28 +33,114 @@ def classify(batch: DataFrame, known: DataFrame) -> DataFrame:
 
 
 class Generations:
-    """Which generation of a re-index may write: an older one than the newest begun is late and is discarded."""
+    """Which generation of a re-index may write: an older one than the newest begun is late and is discarded.
 
-    def __init__(self):
-        self.begun: dict[str, int] = {}
-        self.done: dict[str, int] = {}
-        self.failures: dict[str, int] = {}
+    Events (repo, kind, generation) are appended to a folder, so the state outlives the driver; without a session they are
+    kept in memory. Events of a repository are few: one for each start, end or failure of a re-index."""
+
+    SCHEMA = "repo string, kind string, generation long"
+
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None):
+        self.spark, self.folder, self.events = spark, folder, []
+
+    def _add(self, repo: str, kind: str, generation: int) -> None:
+        if self.spark is None:
+            self.events.append((repo, kind, generation))
+        else:
+            self.spark.createDataFrame([(repo, kind, generation)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def _of(self, repo: str) -> list[tuple[str, int]]:
+        if self.spark is None:
+            return [(k, g) for r, k, g in self.events if r == repo]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return []
+        return [(r.kind, r.generation) for r in self.spark.read.schema(self.SCHEMA).parquet(self.folder).where(F.col("repo") == repo).collect()]
+
+    def _last(self, repo: str, kind: str) -> int:
+        return max((g for k, g in self._of(repo) if k == kind), default=0)
 
     def start(self, repo: str) -> int:
-        self.begun[repo] = self.begun.get(repo, 0) + 1
-        return self.begun[repo]
+        new = self._last(repo, "begun") + 1
+        self._add(repo, "begun", new)
+        return new
 
     def finish(self, repo: str, generation: int) -> bool:
-        if generation < self.begun.get(repo, 0):
+        if generation < self._last(repo, "begun"):
             return False
-        self.done[repo], self.failures[repo] = generation, 0
+        self._add(repo, "done", generation)
         return True
 
     def fail(self, repo: str) -> None:
-        self.failures[repo] = self.failures.get(repo, 0) + 1
+        self._add(repo, "failed", self._last(repo, "begun"))
+
+    def failures(self, repo: str) -> int:
+        """Failures since a re-index was last done."""
+        done = self._last(repo, "done")
+        return sum(k == "failed" and g > done for k, g in self._of(repo))
 
     def stale(self, repo: str) -> bool:
-        return self.begun.get(repo, 0) > self.done.get(repo, 0)
+        return self._last(repo, "begun") > self._last(repo, "done")
+
+    def table(self) -> DataFrame:
+        """repo, begun, done, failures."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+        last = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("generation"))), F.lit(0))
+        done = rows.groupBy("repo").agg(last("begun").alias("begun"), last("done").alias("done"))
+        failed = rows.where("kind = 'failed'").join(done, "repo").where("generation > done").groupBy("repo").agg(F.count("*").alias("failures"))
+        return done.join(failed, "repo", "left").fillna(0, ["failures"])
+
+
+def fresh_enough(generations: Generations, repo: str, query: StreamingQuery | None = None, wait_ms: int = 500) -> bool:
+    """Waits, at most wait_ms, until a repository's newest re-index is done, or the query has read what there is."""
+    end = time.monotonic() + wait_ms / 1000
+    while generations.stale(repo) and time.monotonic() < end:
+        if query is not None and not query.isActive:
+            break
+        time.sleep(min(0.05, max(0.0, end - time.monotonic())))
+    return not generations.stale(repo)
+
+
+def stop_when_idle(query: StreamingQuery, idle_seconds: float, poll_seconds: float = 1.0) -> None:
+    """Stops a query once it has read nothing for that long."""
+    last = time.monotonic()
+    seen = -1
+    while query.isActive:
+        progress = query.lastProgress
+        if progress is not None and progress["numInputRows"] > 0 and progress["batchId"] != seen:
+            seen, last = progress["batchId"], time.monotonic()
+        if time.monotonic() - last >= idle_seconds:
+            query.stop()
+            return
+        query.awaitTermination(poll_seconds)
+
+
+class Folders:
+    """One watching query a folder; one that fails is started again, at most `restarts` times, the others go on."""
+
+    def __init__(self, start: Callable[[str], StreamingQuery], restarts: int = 3):
+        self.start, self.restarts = start, restarts
+        self.queries: dict[str, StreamingQuery] = {}
+        self.failed: dict[str, int] = {}
+
+    def add(self, folder: str) -> None:
+        self.queries[folder] = self.start(folder)
+
+    def remove(self, folder: str) -> None:
+        self.queries.pop(folder).stop()
+
+    def tend(self) -> list[str]:
+        """Starts again what has failed; the folders that are given up."""
+        lost = []
+        for folder, running in list(self.queries.items()):
+            if not running.isActive and running.exception() is not None:
+                self.failed[folder] = self.failed.get(folder, 0) + 1
+                if self.failed[folder] > self.restarts:
+                    lost.append(folder)
+                    del self.queries[folder]
+                else:
+                    self.queries[folder] = self.start(folder)
+        return lost
 
 
 def _rolling(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
