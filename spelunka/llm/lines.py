@@ -13,9 +13,9 @@ Keys are equal where both 64-bit halves of the hash are. A probe compares one 64
 so of 2**64 lines that no key equals one is mistaken for one.
 
 Defined results: a null or empty text is one empty line, which is never long enough to drop. A document counts once for
-a key however often it holds it; each row is a document, so repeated rows count each. All rows of the largest id keep
-the line. Rows with a null id are never changed, and count for no key. Within the document that keeps a key, all its
-occurrences stay. Columns other than the two named are not read.
+a key however often it holds it, and repeated rows of an id are one document. All rows of the largest id keep the line.
+Rows with a null id are never changed, and count for no key. Within the document that keeps a key, all its occurrences
+stay. Columns other than the two named are not read.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ fixes the size of the model and of everything that reaches the driver.
    so that copies of a text count once. The n-grams far more frequent in one class give that class's training text: the
    stretches of its words that they cover, as often as they occur.
 2. Dictionaries: zstandard trains one on the toxic training text and one on the ordinary training text. Each follows a
-   common base, which zstandard trains on at most ``base_windows`` windows of ordinary text (of the sample, by hash), so
-   that both compress what is common alike. Both pairs are padded to equal lengths, so the base is indexed alike.
+   common base, which zstandard trains on at most ``base_windows`` windows of ordinary text (of the sample, by hash, and
+   without contrasting words, so that wrong labels don't teach the base what tells the classes apart), so that both compress what is common alike; padding to equal lengths has the base indexed alike. zstandard indexes every
+   third place of a dictionary, so a second pair holds each class's dictionary three times, once in each phase; of the two
+   pairs, the one that classifies the sample better is used.
 3. Windows: a text's words (runs of letters, lower case) are cut into windows. The gain of a window is its compressed
    length under the ordinary dictionary less that under the toxic one. A document's features are the sum of its gains, of
    its positive gains, its largest gain, and its number of words.
@@ -40,7 +42,7 @@ from spelunka.llm.common import column, documents, durable, fold_of, slices
 SAMPLE_ROWS = 6_000
 WINDOW, GRAM = 8, 6
 LEVEL = 3
-BASE_BYTES, CLASS_BYTES = 16 << 10, 2 << 10
+BASE_BYTES, CLASS_BYTES, PHASES = 16 << 10, 2 << 10, 3
 CONTRAST = 5.0
 BASE_WINDOWS = 40_000
 TRAINING_SAMPLES = 20_000  # stretches that a class's dictionary is trained on, repeated as often as they occur
@@ -126,17 +128,22 @@ def _sampled(rows: DataFrame, sample_rows: int) -> tuple[DataFrame, list[int]]:
     return parts[0].unionByName(parts[1]), [totals.get(0, 0), totals.get(1, 0)]
 
 
-def _base_windows(batches):
-    from xxhash import xxh64_intdigest
+def _base_windows(contrast: frozenset):
+    """Windows of four words, those with a contrasting word left out, and their hashes."""
 
-    find = words_of()
-    for batch in slices(batches):
-        out = []
-        for text in column(batch, "text").to_pylist():
-            words = find(text)
-            out += [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.array([xxh64_intdigest(x) >> 44 for x in out], np.int64))], ["w", "h"])
+    def work(batches):
+        from xxhash import xxh64_intdigest
+
+        find = words_of()
+        for batch in slices(batches):
+            out = []
+            for text in column(batch, "text").to_pylist():
+                words = [w for w in find(text) if contrast.isdisjoint(grams(w))]
+                out += [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(np.array([xxh64_intdigest(x) >> 44 for x in out], np.int64))], ["w", "h"])
+
+    return work
 
 
 def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -154,8 +161,8 @@ def _repeated(counted: list[tuple[bytes, int]], samples: int = TRAINING_SAMPLES)
     return [many[i] for i in np.random.default_rng(0).permutation(len(many))]
 
 
-def dictionaries(sample: DataFrame, base_windows: int = BASE_WINDOWS) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) raw dictionaries, learnt from rows (text, toxic)."""
+def dictionaries(sample: DataFrame, base_windows: int = BASE_WINDOWS) -> list[tuple[bytes, bytes]]:
+    """Pairs of (ordinary, toxic) raw dictionaries, learnt from rows (text, toxic): as trained, and each three times over."""
     context = durable(sample.mapInArrow(_contexts, "toxic int, context long, word binary").dropDuplicates(["toxic", "context"]))
     size = [0, 0]
     for r in context.groupBy("toxic").count().collect():
@@ -172,10 +179,13 @@ def dictionaries(sample: DataFrame, base_windows: int = BASE_WINDOWS) -> tuple[b
     least_n = F.when(F.col("toxic") == 0, total.get(0, 0)).otherwise(total.get(1, 0)) / (2 * TRAINING_SAMPLES)  # less than half a sample
     found = [(r["toxic"], bytes(r["x"]), r["n"]) for r in snippets.where(F.col("n") >= least_n).collect()]
     own = [_trained(_repeated([(x, n) for c, x, n in found if c == toxic]), CLASS_BYTES, 32, 8) for toxic in (0, 1)]
-    windows = sample.where("toxic = 0").mapInArrow(_base_windows, "w binary, h long").where(F.col("w").isNotNull())
+    windows = sample.where("toxic = 0").mapInArrow(_base_windows(picked[0] | picked[1]), "w binary, h long").where(F.col("w").isNotNull())
     base = _trained(windows.orderBy("h", "w").limit(base_windows).select("w").toPandas()["w"].map(bytes).tolist(), BASE_BYTES, 64, 6)
-    longest = max(map(len, own))
-    return tuple(base + bytes(longest - len(x)) + x for x in own)
+    pairs = []
+    for laid in (own, [b"".join(b" " * ((len(x) + i) % 3) + x for i in range(PHASES)) for x in own]):
+        longest = max(map(len, laid))
+        pairs.append(tuple(base + bytes(longest - len(x)) + x for x in laid))
+    return pairs
 
 
 class Gains:
@@ -217,13 +227,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The middle between the two scores around the cut of best weighted F1."""
+    return best_cut(z, y, weight)[0]
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """The middle between the two scores around the cut of best weighted F1, and that F1."""
     order = np.argsort(-z, kind="stable")
     hit, miss = np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
     f1 = 2 * hit / (hit + miss + (weight * y).sum())
     last = np.r_[np.diff(z[order]) != 0, True]  # cut only where the score changes
     k = int(np.argmax(np.where(last, f1, -1)))
-    return float(z[order][k] + (z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1)) / 2
+    return float(z[order][k] + (z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1)) / 2, float(f1[k])
 
 
 def _measured(pair):
@@ -242,15 +256,21 @@ def learn(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, base_windows: int = B
     if not all(totals):
         return {"only": float(totals[1] > 0)}
     sample = durable(sample.select("text", "toxic"))
-    pair = dictionaries(sample, base_windows)
+    found = [calibrated(sample, pair, totals) for pair in dictionaries(sample, base_windows)]
+    return max(found, key=lambda m: m["f1"])  # of equals the first
+
+
+def calibrated(sample: DataFrame, pair: tuple[bytes, bytes], totals: list[int]) -> dict:
+    """The regression over a pair's features, its threshold at score 0.5, and the F1 that it has there on the sample."""
     found = sample.mapInArrow(_measured(pair), "toxic int, a double, b double, c double, d double").toPandas().sort_values(["toxic", "a", "b", "c", "d"])
     y = found["toxic"].to_numpy(float)
     x = design(found[["a", "b", "c", "d"]].to_numpy())
     weight = np.where(y == 1, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
     weight *= len(y) / weight.sum()
     b = fit_logistic(x, y, weight)
-    b[0] -= best_threshold(x @ b, y, weight)
-    return {"pair": pair, "b": b}
+    cut, f1 = best_cut(x @ b, y, weight)
+    b[0] -= cut
+    return {"pair": pair, "b": b, "f1": f1}
 
 
 def _scorer(sent, place: int):

@@ -52,3 +52,12 @@ def test_minimal_perfect():
         assert (counts == np.arange(1, n + 1)).all() and (lasts == np.arange(n)).all()
         counts, _ = lines.Shards([row], 1).probe(h2, h1)
         assert not counts.any()
+
+
+def test_more_copies_for_frequent_keys(spark, monkeypatch):
+    monkeypatch.setattr(lines, "ROWS_PER_COPY", 1)
+    docs = cases()
+    found = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), max_broadcast_bytes=0, shard_keys=7, salts=1)
+    got = found.select("id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256)).collect()
+    order = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(map(tuple, got), key=order) == sorted(lines.brute_force(docs), key=order)

@@ -60,7 +60,7 @@ def test_learning_against_plain_python(spark):
     covered = Counter(" " + word + " " for y, (_, word, _) in contexts if y and all((" " + word + " ")[k : k + 6] in far for k in range(len(word) - 3)))
     assert set(covered) == {f" {w} " for w in rude}
     toxic = zstandard.train_dictionary(2048, toxicity._repeated([(w.encode(), n) for w, n in covered.items()]), k=32, d=8, level=3).as_bytes()
-    assert model["pair"][1].endswith(toxic) and not any(w.encode() in model["pair"][0] for w in rude)
+    assert model["pair"][1].endswith(toxic) and model["f1"] == 1.0 and not any(w.encode() in model["pair"][0] for w in rude)
     features = []
     for _, text, _ in data:
         words = text.split()

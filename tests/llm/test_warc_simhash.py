@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from spelunka.llm import simhash, warc
+from spelunka.llm import common, simhash, warc
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
@@ -92,7 +92,9 @@ def slow_components(fps):
     return [root(i) for i in range(len(fps))]
 
 
-def test_simhash_against_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [common.HOT_ROWS, 1])
+def test_simhash_against_brute_force(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     rng = np.random.default_rng(7)
     base = [" ".join(rng.choice(["alpha", "Beta", "gamma", "É", "x1", "delta,"], 60)) for _ in range(40)]
     texts = [None, "", "  \n", "one", "One two", "a b c", "a b c d", "A b\tc d"] + base + [b + " end" for b in base[:20]] + base[:10] + ["zz " + b for b in base[:15]] + ["w " * 30000]
