@@ -83,7 +83,7 @@ def _contexts(batches):
     from xxhash import xxh64_intdigest
 
     find = words_of()
-    for batch in slices(batches):
+    for batch in slices(batches, size=2 << 20):
         seen: dict[tuple[int, int], bytes] = {}
         for text, toxic in zip(column(batch, "text").to_pylist(), column(batch, "toxic").to_pylist()):
             words = find(text)
