@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -59,6 +60,33 @@ def test_media_query(spark):
     assert media.media_features(media.store_texts(docs(spark).limit(0))).count() == 0
 
 
+def slow_hash(pixels):
+    """Area averages of 32 x 32 fields, sums of cosines one by one, bits against the median."""
+    h, w = pixels.shape
+
+    def shares(n, k):  # of n cells, what lies in the k-th of 32 equal parts
+        a, b = k * n / 32, (k + 1) * n / 32
+        return [(i, min(b, i + 1) - max(a, i)) for i in range(int(a), min(n, math.ceil(b))) if min(b, i + 1) > max(a, i)]
+
+    field = [[sum(p * q * float(pixels[i, j]) for i, p in shares(h, y) for j, q in shares(w, x)) * 32 * 32 / (h * w) for x in range(32)] for y in range(32)]
+    cosine = [[math.cos(math.pi * u * (x + 0.5) / 32) for x in range(32)] for u in range(8)]
+    low = [round(sum(field[y][x] * cosine[u][y] * cosine[v][x] for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low)
+    middle = (middle[31] + middle[32]) / 2
+    bits = [x > middle for x in low]
+    return bytes(sum(bits[8 * i + j] << (7 - j) for j in range(8)) for i in range(8))
+
+
+def test_features_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    for rows in (1, 2, 31, 45, 130):
+        pixels = rng.integers(0, 256, (rows, 64), dtype=np.uint8)
+        assert media.cosine_hash(pixels) == slow_hash(pixels)
+    for r in media.media_features(media.store_texts(docs(spark))).join(media.store_texts(docs(spark)).select("id", "media"), "id").collect():
+        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        assert r.hash == slow_hash(media.decode_png(bytes(r.media))) or r.n_bytes > 50_000
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
