@@ -114,11 +114,10 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None
     module = s.rlike(r"^\.+\w*[\w.]*$") & F.col("file").endswith(".py")
     up = F.concat_ws("/", folder, F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), F.translate(F.regexp_replace(s, r"^\.+", ""), ".", "/"))
     relative = F.when(module, _join_path(F.lit(""), up)).when(s.startswith("."), _join_path(folder, s))
-    roots = source_roots(files).agg(F.collect_set("root").alias("roots"))  # a few folders
-    rows = imports.select("file", "specifier").distinct().join(F.broadcast(roots))
+    rows = imports.select("file", "specifier").distinct()
     dotted = ~s.startswith(".") & s.contains(".") & ~s.contains("/") & ~s.contains("\\")
     none = F.array().cast("array<string>")
-    below = F.flatten(F.transform("roots", lambda r: _with_endings(F.when(r == "", F.translate(s, ".", "/")).otherwise(F.concat(r, F.lit("/"), F.translate(s, ".", "/"))))))
+    below = F.transform(_with_endings(F.translate(s, ".", "/")), lambda x: F.concat(F.lit("below:"), x))
     alias = F.lit(None).cast("string")
     for prefix, target in (aliases or {}).items():
         alias = F.when(s.startswith(prefix.rstrip("*")), F.concat(F.lit(target.rstrip("*")), F.substring(s, len(prefix.rstrip("*")) + 1, 1000))).otherwise(alias)
@@ -129,7 +128,11 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None
     tried = rows.select("file", "specifier", F.posexplode(F.concat(*steps)).alias("priority", "path"))
     own = files.select("file").distinct().select(F.col("file").alias("dst"), F.col("file").alias("path"))
     stems = files.where(F.col("file").endswith(".sql")).groupBy(F.concat(F.lit("sql:"), F.lower(X.stem_of_path(F.col("file")))).alias("path")).agg(F.min("file").alias("dst")).select("dst", "path")
-    found = tried.join(own.unionByName(stems), "path").groupBy("file", "specifier").agg(F.min_by("dst", "priority").alias("dst"))
+    # Each file's path below each source root that holds it: a join with the roots, however many there are.
+    folders = F.split(F.regexp_replace("file", r"/?[^/]*$", ""), "/")
+    above = files.select("file", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(folders, 1, n), "/")))).alias("root")).distinct()
+    rooted = above.join(source_roots(files), "root").select(F.col("file").alias("dst"), F.concat(F.lit("below:"), F.when(F.col("root") == "", F.col("file")).otherwise(F.expr("substring(file, length(root) + 2)"))).alias("path"))
+    found = tried.join(own.unionByName(stems).unionByName(rooted), "path").groupBy("file", "specifier").agg(F.min_by("dst", F.struct("priority", F.length("dst"), "dst")).alias("dst"))
     return found.select(F.col("file").alias("src"), "dst", "specifier")
 
 
