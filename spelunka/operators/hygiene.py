@@ -117,6 +117,35 @@ def callees(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return pairs.select("caller_id", "callee_id", F.when(F.col("caller_file") == F.col("callee_file"), "ast_resolved").otherwise("ast_inferred").alias("resolution")).distinct()
 
 
+def _by_rows_of_id(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """symbols (callee_id, name, file) whose id stands in one distinct row, and the others."""
+    s = symbols.distinct()
+    again = s.groupBy("callee_id").count().where("count > 1").select("callee_id")
+    return s.join(again, "callee_id", "left_anti"), s.join(again, "callee_id", "left_semi")
+
+
+def callee_counts(symbols: DataFrame, calls: DataFrame, itself: bool = False) -> DataFrame:
+    """caller_id, resolution, n: how many rows callees() has for each caller and resolution, without making them.
+
+    Symbols are counted by name and by name and file; only ids that stand in several files or under several names are paired
+    with callers. itself: calls of a symbol by
+    itself count (or ids of callers and symbols are unrelated)."""
+    one, many = _by_rows_of_id(symbols.select(F.col("id").alias("callee_id"), "name", "file"))
+    c = calls.select("caller_id", "caller_file", "name").distinct()
+    here = one.groupBy("name", F.col("file").alias("caller_file")).agg(F.count("*").alias("here"))
+    total = here.groupBy("name").agg(F.sum("here").alias("total"))
+    # A name called from several files is elsewhere for one of them at least, wherever its symbols are.
+    named = c.join(total, "name").join(here, ["name", "caller_file"], "left").groupBy("caller_id", "name").agg(F.sum(F.coalesce("here", F.lit(0))).alias("here"), F.count("*").alias("files"), F.max("total").alias("total"))
+    sums = named.groupBy("caller_id").agg(F.sum("here").alias("ast_resolved"), F.sum(F.when(F.col("files") > 1, F.col("total")).otherwise(F.col("total") - F.col("here"))).alias("ast_inferred"))
+    kind = F.when(F.col("caller_file") == F.col("file"), "ast_resolved").otherwise("ast_inferred").alias("resolution")
+    pairs = c.join(many, "name").select("caller_id", "callee_id", kind).distinct().groupBy("caller_id", "resolution").agg(F.count("*").alias("n"))
+    found = sums.unpivot("caller_id", ["ast_resolved", "ast_inferred"], "resolution", "n").unionByName(pairs)
+    if not itself:
+        own = c.join(one.unionByName(many).withColumn("caller_id", F.col("callee_id")), ["caller_id", "name"]).select("caller_id", kind).distinct()
+        found = found.unionByName(own.withColumn("n", F.lit(-1).cast("long")))
+    return found.groupBy("caller_id", "resolution").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 PRECEDENCE = ["dispatch", "lsp", "ast", "text"]
 
 

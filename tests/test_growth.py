@@ -1,0 +1,68 @@
+"""Queries over tables of few names, files and keys, repeated: results as by SQL, and no step with more rows than it needs."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from spelunka.operators import hygiene as Y
+from spelunka.plans import catalog
+
+
+def most_rows(df):
+    """df's rows, and the most rows that any step of its plan gave out."""
+    rows = [tuple(r) for r in df.collect()]
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
+
+
+@pytest.fixture(scope="module")
+def tables(tmp_path_factory):
+    """A folder of 6,000 parts with two names, in five files, and 500 suppliers who call 4 parts each; keys on both sides of 1,000,000."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    for name, sql in {
+        "part": "SELECT (CASE WHEN i < 5600 THEN i ELSE 994400 + i END)::BIGINT AS p_partkey, ['red ring', 'hot bolt'][1 + i % 2] AS p_name, 'Brand#' || (1 + i % 5) AS p_brand, 'LARGE' AS p_type, (1 + i % 50)::INTEGER AS p_size FROM range(6000) t(i)",
+        "supplier": "SELECT i::BIGINT AS s_suppkey, (i // 3 % 6)::INTEGER AS s_nationkey FROM range(500) t(i)",
+        "lineitem": "SELECT (i % 50)::BIGINT AS l_orderkey, (CASE WHEN i % 7 = 0 THEN 1000000 + i % 400 ELSE i * 11 % 5600 END)::BIGINT AS l_partkey, (i % 500)::BIGINT AS l_suppkey FROM range(2000) t(i)",
+        "orders": "SELECT i::BIGINT AS o_orderkey, (i % 20)::BIGINT AS o_custkey FROM range(50) t(i)",
+        "customer": "SELECT i::BIGINT AS c_custkey, (i % 6)::INTEGER AS c_nationkey FROM range(20) t(i)",
+    }.items():
+        duckdb.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return folder
+
+
+def as_sql(name, folder, columns):
+    db = duckdb.connect()
+    for t in ("part", "supplier", "lineitem", "orders", "customer"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return db.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+
+
+def check(spark, tables, name, bound):
+    df = catalog.QUERIES[name](spark, tables)
+    rows, most = most_rows(df)
+    assert sorted(rows) == sorted(as_sql(name, tables, df.columns)) and rows
+    assert most <= bound
+
+
+def test_direct_callees_without_pairs(spark, tables):
+    check(spark, tables, "direct_callees", 20_000)
+
+
+def test_counts_are_those_of_the_pairs(spark):
+    """Ids in several files and under several names, callers in several files, symbols that call themselves, nulls."""
+    symbols = spark.createDataFrame([(1, "a", "f"), (1, "a", "g"), (2, "a", "f"), (2, "b", "f"), (3, "b", "g"), (3, "b", "g"), (4, "a", None), (5, None, "f"), (6, "b", "h")], "id long, name string, file string")
+    calls = spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (3, "g", "b"), (7, "f", "a"), (7, "g", "a"), (7, "f", "b"), (8, "h", "b"), (9, None, "a"), (6, "h", "b"), (2, "g", "a")], "caller_id long, caller_file string, name string")
+    got = sorted(map(tuple, Y.callee_counts(symbols, calls).collect()))
+    assert got == sorted(map(tuple, Y.callees(symbols, calls).groupBy("caller_id", "resolution").agg(F.count("*")).collect())) and got
