@@ -124,12 +124,30 @@ def _by_rows_of_id(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.join(again, "callee_id", "left_anti"), s.join(again, "callee_id", "left_semi")
 
 
+def caller_counts(symbols: DataFrame, calls: DataFrame, edges: DataFrame, itself: bool = False) -> DataFrame:
+    """callee_id, callers: how many rows callers() has for each symbol, without making them.
+
+    Symbols of one file and name have the same callers, so callers are counted by what they see and name, and the counts are
+    joined; only ids that stand in several files or under several names are paired with callers. itself: calls of a symbol by
+    itself count (or ids of callers and symbols are unrelated)."""
+    s = symbols.select(F.col("id").alias("callee_id"), "name", F.col("file").alias("seen"))
+    sees = G.simple(edges).unionByName(s.select(F.col("seen").alias("src"), F.col("seen").alias("dst")).distinct())
+    near = calls.select("caller_id", "caller_file", "name").join(sees.select(F.col("src").alias("caller_file"), F.col("dst").alias("seen")), "caller_file").select("caller_id", "seen", "name").distinct()
+    one, many = _by_rows_of_id(s)
+    found = one.join(near.where("caller_id is not null").groupBy("seen", "name").agg(F.count("*").alias("callers")), ["seen", "name"]).select("callee_id", "callers")
+    pairs = many.join(near, ["seen", "name"]).where("caller_id is not null").select("callee_id", "caller_id").distinct()
+    found = found.unionByName(pairs.groupBy("callee_id").agg(F.count("*").alias("callers")))
+    if not itself:
+        own = near.join(s.withColumn("caller_id", F.col("callee_id")), ["caller_id", "seen", "name"]).select("callee_id").distinct().withColumn("own", F.lit(1))
+        found = found.join(own, "callee_id", "left").select("callee_id", (F.col("callers") - F.coalesce("own", F.lit(0))).alias("callers")).where("callers > 0")
+    return found
+
+
 def callee_counts(symbols: DataFrame, calls: DataFrame, itself: bool = False) -> DataFrame:
     """caller_id, resolution, n: how many rows callees() has for each caller and resolution, without making them.
 
     Symbols are counted by name and by name and file; only ids that stand in several files or under several names are paired
-    with callers. itself: calls of a symbol by
-    itself count (or ids of callers and symbols are unrelated)."""
+    with callers. itself as in caller_counts()."""
     one, many = _by_rows_of_id(symbols.select(F.col("id").alias("callee_id"), "name", "file"))
     c = calls.select("caller_id", "caller_file", "name").distinct()
     here = one.groupBy("name", F.col("file").alias("caller_file")).agg(F.count("*").alias("here"))

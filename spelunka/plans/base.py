@@ -52,11 +52,12 @@ edges AS (SELECT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY src
 def trade(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    # Sum by (customer, supplier) before the small tables come in: the joins then carry counts, not line items.
-    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").count()
     buyers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     sellers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
-    both = pairs.join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+    # Orders take their buyer's nation first: sums by (nation, supplier) are few, those by (customer, supplier) as many as line items.
+    placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "src")
+    pairs = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "l_suppkey").count()
+    both = pairs.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
     return both.where("src <> dst").groupBy("src", "dst").agg(F.sum("count").alias("n"))
 
 

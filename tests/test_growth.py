@@ -60,9 +60,16 @@ def test_direct_callees_without_pairs(spark, tables):
     check(spark, tables, "direct_callees", 20_000)
 
 
+def test_direct_callers_without_pairs(spark, tables):
+    check(spark, tables, "direct_callers", 20_000)
+
+
 def test_counts_are_those_of_the_pairs(spark):
     """Ids in several files and under several names, callers in several files, symbols that call themselves, nulls."""
     symbols = spark.createDataFrame([(1, "a", "f"), (1, "a", "g"), (2, "a", "f"), (2, "b", "f"), (3, "b", "g"), (3, "b", "g"), (4, "a", None), (5, None, "f"), (6, "b", "h")], "id long, name string, file string")
     calls = spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (3, "g", "b"), (7, "f", "a"), (7, "g", "a"), (7, "f", "b"), (8, "h", "b"), (9, None, "a"), (6, "h", "b"), (2, "g", "a")], "caller_id long, caller_file string, name string")
+    edges = spark.createDataFrame([("f", "g"), ("f", "g"), ("h", "f"), ("g", "g")], "src string, dst string")
+    got = sorted(map(tuple, Y.caller_counts(symbols, calls, edges).collect()))
+    assert got == sorted(map(tuple, Y.callers(symbols, calls, edges).groupBy("callee_id").agg(F.count("*")).collect())) and got
     got = sorted(map(tuple, Y.callee_counts(symbols, calls).collect()))
     assert got == sorted(map(tuple, Y.callees(symbols, calls).groupBy("caller_id", "resolution").agg(F.count("*")).collect())) and got
