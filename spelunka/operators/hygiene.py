@@ -177,14 +177,24 @@ def combined_edges(sources: dict[str, DataFrame]) -> DataFrame:
     return best.select("caller_id", "callee_id", F.element_at(F.array(*map(F.lit, PRECEDENCE)), F.col("p") + 1).alias("source"))
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, key: str = "file", width: int = 64) -> DataFrame:
-    """For each point (key, pos) the innermost range (key, start, end, id) around it: an as-of join by buckets of positions.
-
-    A range enters each bucket it touches; a point looks into its own bucket only, so the join is an equi-join."""
-    r = ranges.select(key, "start", "end", "id", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("bucket"))
-    p = points.withColumn("bucket", F.floor(F.col("pos") / width))
-    both = p.join(r, [key, "bucket"]).where("pos between start and end")
-    return both.groupBy(*[c for c in points.columns]).agg(F.max_by("id", F.struct("start", -F.col("end"), "id")).alias("id"))
+def enclosing(points: DataFrame, ranges: DataFrame, key: str = "file") -> DataFrame:
+    """For each point (key, pos) the innermost range (key, start, end, id) around it: the last to start, of those the first to end.
+
+    A range is cut into the aligned blocks of 2 ** level positions that fill it, two a level at most, and each block keeps its
+    innermost range. A point looks into the one block of each level that holds it, so the join is an equi-join that finds at
+    most one row a level, however many ranges overlap or however long they are."""
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    one = ranges.select(key, start.alias("start"), end.alias("end"), "id").where("start <= end").groupBy(key, "start", "end").agg(F.max("id").alias("id"))
+    cut = one.withColumn("__level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("end") - F.col("start") + 1)) - 1)))
+    below = -F.expr("shiftright(-start, __level)")  # the first block of the level that starts in the range, and behind the last that ends in it
+    behind = F.expr("shiftright(end + 1, __level)")
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    used = F.filter(F.array(F.when(odd(below) & (below < behind), below), F.when(odd(behind) & (below < behind), behind - 1)), lambda x: x.isNotNull())
+    inner = F.max(F.struct("start", (-F.col("end")).alias("until"), "id"))
+    blocks = cut.select(key, "__level", F.explode(used).alias("__block"), "start", "end", "id").groupBy(key, "__level", "__block").agg(inner.alias("r"))
+    tall = blocks.groupBy(key).agg(F.max("__level").alias("tall"))
+    p = points.distinct().join(tall, key).withColumn("__level", F.explode(F.sequence(F.lit(0), "tall"))).withColumn("__block", F.expr("shiftright(cast(pos as long), __level)"))
+    return p.join(blocks, [key, "__level", "__block"]).groupBy(*[c for c in points.columns]).agg(F.max("r").alias("r")).select(*points.columns, F.col("r.id").alias("id"))
 
 
 def near_symbols(points: DataFrame, ranges: DataFrame, key: str = "file", within: int = 5, width: int = 64) -> DataFrame:

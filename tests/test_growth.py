@@ -1,9 +1,12 @@
 """Queries over tables of few names, files and keys, repeated: results as by SQL, and no step with more rows than it needs."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from spelunka.operators import history as H
 from spelunka.operators import hygiene as Y
 from spelunka.plans import catalog
 
@@ -77,3 +80,33 @@ def test_counts_are_those_of_the_pairs(spark):
 
 def test_changed_symbols_without_pairs(spark, tables):
     check(spark, tables, "changed_symbols", 20_000)
+
+
+def test_enclosing_asof_without_pairs(spark, tables):
+    check(spark, tables, "enclosing_asof", 60_000)
+
+
+def test_overlapping_ranges_against_enumeration(spark):
+    """Nested, crossing, equal and very long ranges, hunks of no lines, nulls and files that only one side has."""
+    rng = random.Random(5)
+    spans = [(rng.choice("fgh"), a := rng.randint(-20, 60), a + rng.choice((0, 1, 7, 30, 10**6, 2**40))) for _ in range(120)] + [("f", 8, 15), ("f", 8, 15), (None, 1, 9), ("f", None, 9), ("k", 1, 4)]
+    hunks = [(rng.choice("fgh"), rng.randint(-30, 80), rng.choice((0, 1, 2, 9, 40))) for _ in range(60)] + [(None, 1, 9), ("m", 1, 9), ("f", 5, 0), ("f", 5, 1), ("f", 10**6, 3)]
+    rows = [(i, f, f"n{i % 3}", a, b) for i, (f, a, b) in enumerate(spans)]
+    symbols = spark.createDataFrame(rows, "id long, file string, name string, line long, end_line long")
+    parts = {(f, lo, lo + max(n, 1) - 1) for f, lo, n in hunks if f}
+    want = {}
+    for i, f, name, a, b in rows:
+        shared = [min(hi, b) - max(lo, a) + 1 for g, lo, hi in parts if g == f and a is not None and lo <= b and hi >= a]
+        if shared:
+            want[i, f, name] = sum(shared)
+    got = H.changed_symbols(symbols, spark.createDataFrame(hunks, "file string, start long, lines long")).collect()
+    assert {(r.id, r.file, r.name): r.lines for r in got} == want and len(got) == len(want)
+    points = [(rng.choice("fgh"), rng.randint(-40, 90)) for _ in range(80)] + [("f", 2**39), ("f", 8), ("f", 8), (None, 3), ("m", 1), ("f", None)]
+    want = {}
+    for f, x in points:
+        around = [(a, -b, i) for i, g, _, a, b in rows if g is not None and g == f and a is not None and x is not None and a <= x <= b]
+        if around:
+            want[f, x] = max(around)[2]
+    ranges = symbols.select("file", F.col("line").alias("start"), F.col("end_line").alias("end"), "id")
+    got = Y.enclosing(spark.createDataFrame(points, "file string, pos long"), ranges).collect()
+    assert {(r.file, r.pos): r.id for r in got} == want and len(got) == len(want)
