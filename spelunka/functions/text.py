@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -239,12 +241,47 @@ NAMED_KEY = r"(?i)\b\w{0,20}(?:key|token|secret)\W{1,6}([\w-]{32,})"
 MIN_ENTROPY = 3.5
 
 
+#: What every match of a shape holds to the letter; shapes that are not here begin with words of ANY_CASE_MARKS or hold one.
+SECRET_MARKS = {
+    "aws_access_key": ["AKIA", "ASIA"], "gcp_service_account": [".iam.gserviceaccount.com"], "jwt": ["eyJ"], "slack_token": ["xox"], "private_key": ["-----BEGIN "],
+    "github_token": ["ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_"], "private_ipv4": ["10.", "192.168.", "172."],
+}
+KEY_MARKS = ["key", "token", "secret"]  # of NAMED_KEY, in any case
+ANY_CASE_MARKS = [*KEY_MARKS, "bearer"]
+
+
+def holds_any(text: Column, marks: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in marks))
+
+
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _hide(kind: str, before: str, secret: str) -> Callable[[Column], Column]:
+    hidden = lambda t: F.regexp_replace(t, f"({before}){secret}", f"$1[REDACTED:{kind}]")
+    if kind not in SECRET_MARKS:
+        return hidden
+    # Marks are asked of the text as it then is: what stands in for a secret may be part of a later match.
+    return lambda text: with_value(text, lambda t: F.when(holds_any(t, SECRET_MARKS[kind]), hidden(t)).otherwise(t))
+
+
 def redact(text: Column) -> Column:
-    """Known kinds of secrets become [REDACTED:kind]; generic keys only if they look random."""
-    for kind, before, secret in SECRET_SHAPES:
-        text = F.regexp_replace(text, f"({before}){secret}", f"$1[REDACTED:{kind}]")
-    keys = F.filter(F.regexp_extract_all(text, F.lit(NAMED_KEY), F.lit(1)), lambda k: k.rlike("[a-z]") & k.rlike("[A-Z]") & k.rlike("[0-9]") & (entropy(k) >= MIN_ENTROPY))
-    return F.aggregate(keys, text, lambda t, k: F.replace(t, k, F.lit("[REDACTED:generic_api_key]")))
+    """Known kinds of secrets become [REDACTED:kind]; generic keys only if they look random. Texts that hold no mark of any
+    shape, and so no match, are left as they are without trying the patterns."""
+
+    def generic(t):
+        keys = F.filter(F.regexp_extract_all(t, F.lit(NAMED_KEY), F.lit(1)), lambda k: k.rlike("[a-z]") & k.rlike("[A-Z]") & k.rlike("[0-9]") & (entropy(k) >= MIN_ENTROPY))
+        return F.when(holds_any(F.lower(t), KEY_MARKS), F.aggregate(keys, t, lambda s, k: F.replace(s, k, F.lit("[REDACTED:generic_api_key]")))).otherwise(t)
+
+    def every(t):
+        for shape in SECRET_SHAPES:
+            t = _hide(*shape)(t)
+        return with_value(t, generic)
+
+    marked = lambda t: holds_any(t, sum(SECRET_MARKS.values(), [])) | with_value(F.lower(t), lambda low: holds_any(low, ANY_CASE_MARKS))
+    return with_value(text, lambda t: F.when(marked(t), every(t)).otherwise(t))
 
 
 # Files that start something, files that gather exports, and what marks a test.
