@@ -395,8 +395,8 @@ def stream_windows(spark, sf):
 
 @query("stream_latency", "WITH r AS (SELECT event_type AS tool, value AS v, event_type = 'error' AS bad, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT tool, v, bad, row_number() OVER (PARTITION BY tool ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY tool) AS n FROM r WHERE k <= 512) SELECT tool, n, max(v) FILTER (WHERE i = n // 2) AS p50, max(v) FILTER (WHERE i = least(floor(0.95 * n)::BIGINT, n - 1)) AS p95, max(v) AS max_ms, round(avg(bad::INT), 4) AS error_rate FROM s GROUP BY tool, n")
 def stream_latency(spark, sf):
-    folder, stream = streamed(spark, event_calls(spark, sf).coalesce(1).sortWithinPartitions("ts", "event_id"))
-    return drained(spark, folder, W.rolling_latency(stream), "update")
+    folder, stream = streamed(spark, event_calls(spark, sf))
+    return drained(spark, folder, W.rolling_latency(stream, "event_id"), "update")
 
 
 @query("stream_changes", "WITH c AS (SELECT o_custkey || '.py' AS path, max_by(CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END, o_orderkey) AS dummy, max(o_orderkey) AS seq FROM orders GROUP BY o_custkey), l AS (SELECT o_custkey || '.py' AS path, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS hash FROM orders WHERE o_orderkey IN (SELECT seq FROM c)), k AS (SELECT c_custkey || '.py' AS path, 'O' AS old FROM customer WHERE c_custkey % 2 = 0) SELECT state, count(*) AS n FROM (SELECT CASE WHEN hash IS NULL THEN 'deleted' WHEN old IS NULL THEN 'added' WHEN old = hash THEN 'same' ELSE 'modified' END AS state FROM l LEFT JOIN k USING (path)) WHERE state <> 'same' GROUP BY state")

@@ -143,22 +143,62 @@ class Folders:
         return lost
 
 
-def _rolling(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    values, errors = (list(x) for x in state.get) if state.exists else ([], [])
-    for df in frames:
-        df = df.sort_values("ts", kind="stable")
-        values += df["duration_ms"].astype(float).tolist()
-        errors += [0 if ok else 1 for ok in df["ok"]]
-    values, errors = values[-RING:], errors[-RING:]
-    state.update((values, errors))
-    v, n = sorted(values), len(values)
-    yield pd.DataFrame({"tool": [key[0]], "n": [n], "p50": [v[n // 2]], "p95": [v[min(int(0.95 * n), n - 1)]], "max_ms": [v[-1]], "error_rate": [round(sum(errors) / n, 4)]})
-
-
-def rolling_latency(events: DataFrame) -> DataFrame:
+def _newest(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The last RING rows of each tool by ts and the further keys, oldest first; rows without ts are oldest."""
+    rows = rows.sort_values(keys, kind="stable", na_position="first")
+    return rows[rows.groupby("tool", dropna=False, sort=False).cumcount(ascending=False) < RING]
+
+
+def _trimmer(keys: list[str], most: int = 100 * RING):
+    """Of each tool the rows that may be among its last: what a task holds at once is a batch and about `most` rows."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for df in frames:
+            held.append(df)
+            n += len(df)
+            if n > most:
+                kept = _newest(pd.concat(held, ignore_index=True), keys)
+                if len(kept) > most // 2:  # so many tools that little goes: what is here is passed on
+                    yield kept
+                    kept = kept[:0]
+                held, n = [kept], len(kept)
+        if held:
+            yield _newest(pd.concat(held, ignore_index=True), keys)
+
+    return work
+
+
+def _roller(keys: list[str], whole: set[str]):
+    """whole: the keys that are whole numbers, which pandas turns into floats where one is unknown."""
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [*keys, "duration_ms", "bad"]
+        rows = pd.DataFrame(dict(zip(names, map(list, state.get)))) if state.exists else None
+        for df in frames:
+            new = df[names]
+            rows = new if rows is None else pd.concat([rows, new], ignore_index=True)
+            rows = _newest(rows.assign(tool=0), keys)[names]
+        values = [None if pd.isna(x) else float(x) for x in rows["duration_ms"]]
+        plain = lambda c: [None if pd.isna(x) else int(x) if c in whole else x for x in rows[c].tolist()]
+        state.update((*(plain(c) for c in keys), values, [int(x) for x in rows["bad"]]))
+        v, n = sorted(values, key=lambda x: (x is None, x or 0.0)), len(values)  # unknown durations are last
+        most = max((x for x in v if x is not None), default=None)
+        yield pd.DataFrame({"tool": [key[0]], "n": [n], "p50": [v[n // 2]], "p95": [v[min(int(0.95 * n), n - 1)]], "max_ms": [most], "error_rate": [round(sum(rows["bad"]) / n, 4)]})
+
+    return work
+
+
+def rolling_latency(events: DataFrame, order: str | None = None) -> DataFrame:
     """tool, n, p50, p95, max_ms, error_rate over the last calls of each tool (tool, ts, duration_ms, ok), a row for each tool of
-    a batch. State is a bounded ring."""
-    return events.groupBy("tool").applyInPandasWithState(_rolling, "tool string, n long, p50 double, p95 double, max_ms double, error_rate double", "values array<double>, errors array<int>", "update", GroupStateTimeout.NoTimeout)
+    a batch. Last is by ts, then by order, a column of numbers or texts (none: by arrival), whatever the order of arrival is. State is
+    a bounded ring; before rows are dealt by tool, each task keeps the last ones of its own."""
+    keys = ["ts"] if order is None else ["ts", order]
+    rows = events.select("tool", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), *keys[1:], F.col("duration_ms").cast("double").alias("duration_ms"), F.when(F.col("ok"), 0).otherwise(1).alias("bad"))
+    state = ", ".join(f"k{i} array<{rows.schema[c].dataType.simpleString()}>" for i, c in enumerate(keys)) + ", v array<double>, bad array<int>"
+    whole = {c for c in keys if rows.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    last = rows.mapInPandas(_trimmer(keys), rows.schema)
+    return last.groupBy("tool").applyInPandasWithState(_roller(keys, whole), "tool string, n long, p50 double, p95 double, max_ms double, error_rate double", state, "update", GroupStateTimeout.NoTimeout)
 
 
 def turns(events: DataFrame, late: str = "10 minutes", gap: int = GAP_SECONDS) -> DataFrame:

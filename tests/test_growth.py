@@ -3,13 +3,15 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spelunka.functions import text as X
 from spelunka.operators import history as H
 from spelunka.operators import hygiene as Y
-from spelunka.plans import catalog
+from spelunka.plans import catalog, project
+from spelunka.streaming import watch
 
 
 def most_rows(df):
@@ -140,3 +142,55 @@ def test_redact_tries_patterns_once(spark):
     """Each pattern stands once in the plan for each time that redact() is written."""
     plan = spark.range(1).select(X.redact(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?i:AccountKey)") == 1
+
+
+def test_rolling_latency_in_any_order(spark, tmp_path):
+    """The last calls by ts and event_id, from files in no order, over two batches, with ties, unknown times and durations."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("tuv"), rng.randint(0, 900) if i % 50 else None, float(rng.randint(1, 400)) if i % 31 else None, i % 7 != 0) for i in range(4000)]
+    rng.shuffle(rows)
+    make = lambda part: spark.createDataFrame(part, "event_id long, tool string, s long, duration_ms double, ok boolean").withColumn("ts", F.timestamp_seconds("s"))
+    make(rows[:2500]).repartition(5).write.parquet(f"{tmp_path}/in")
+    out = []
+
+    def run():
+        stream = spark.readStream.schema(make(rows[:1]).schema).parquet(f"{tmp_path}/in")
+        q = watch.rolling_latency(stream, "event_id").writeStream.outputMode("update").foreachBatch(lambda b, n: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/ck")
+        q.trigger(availableNow=True).start().awaitTermination(120)
+
+    run()
+    make(rows[2500:]).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = {r.tool: tuple(r)[1:] for r in out}
+    for tool in "tuv":
+        last = sorted((-1 if s is None else s, i, d, ok) for i, t, s, d, ok in rows if t == tool)[-watch.RING :]
+        v = sorted((x[2] for x in last), key=lambda d: (d is None, d or 0))
+        n = len(v)
+        assert got[tool] == (n, v[n // 2], v[min(int(0.95 * n), n - 1)], max(d for d in v if d is not None), round(sum(not x[3] for x in last) / n, 4))
+
+
+def test_trimmer_passes_many_tools_on():
+    """More tools than a task may hold: their rows go on in parts, none is lost that counts."""
+    frames = [pd.DataFrame({"tool": [f"t{i * 400 + j}" for j in range(400)] + ["x"] * 100, "ts": range(i * 500, i * 500 + 500)}) for i in range(40)]
+    parts = list(watch._trimmer(["ts"], 2000)(iter(frames)))
+    whole = pd.concat(parts)
+    assert max(map(len, parts)) <= 3000 and len(parts) > 1 and whole["tool"].nunique() == 16001
+    assert set(range(40 * 500 - 100, 40 * 500)) <= set(whole["ts"]) and not whole["ts"].duplicated().any()
+
+
+@pytest.mark.parametrize("name", ["stream_latency"])
+def test_streams_are_written_by_several_tasks(spark, tmp_path, monkeypatch, name):
+    """The stream's input is not drawn into one file."""
+    spark.range(4000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 9 as user_id", "'view' as event_type", "double(id) as value", "id as o_orderkey", "id % 40 as o_custkey", "'O' as o_orderstatus", "id as c_custkey").repartition(6).write.parquet(f"{tmp_path}/orders.parquet")
+    for other in ("events", "customer"):
+        (tmp_path / f"{other}.parquet").symlink_to(tmp_path / "orders.parquet")
+    files, before = [], project.streamed
+
+    def streamed(spark, rows, schema=None):
+        folder, stream = before(spark, rows, schema)
+        files.append(len(spark.read.parquet(f"{folder}/in").inputFiles()))
+        return folder, stream
+
+    monkeypatch.setattr(project, "streamed", streamed)
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 1 + (name == "stream_changes")
+    assert files[0] > 1
