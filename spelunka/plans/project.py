@@ -405,7 +405,7 @@ def stream_changes(spark, sf):
     path = F.concat(F.col("o_custkey").cast("string"), F.lit(".py"))
     changes = table(spark, sf, "orders").select(path.alias("path"), F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("o_orderstatus")).alias("hash"), F.col("o_orderkey").alias("seq"))
     known = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit("O").alias("hash"))
-    folder, _ = streamed(spark, changes.coalesce(1))
+    folder, _ = streamed(spark, changes)
     handle = lambda batch, number: W.classify(batch, known).write.mode("append").parquet(f"{folder}/out")
     W.watch(spark, f"{folder}/in", "path string, hash string, seq long", handle, f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("state").agg(F.count("*").alias("n"))

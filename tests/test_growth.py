@@ -178,7 +178,7 @@ def test_trimmer_passes_many_tools_on():
     assert set(range(40 * 500 - 100, 40 * 500)) <= set(whole["ts"]) and not whole["ts"].duplicated().any()
 
 
-@pytest.mark.parametrize("name", ["stream_latency"])
+@pytest.mark.parametrize("name", ["stream_latency", "stream_changes"])
 def test_streams_are_written_by_several_tasks(spark, tmp_path, monkeypatch, name):
     """The stream's input is not drawn into one file."""
     spark.range(4000).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "id % 9 as user_id", "'view' as event_type", "double(id) as value", "id as o_orderkey", "id % 40 as o_custkey", "'O' as o_orderstatus", "id as c_custkey").repartition(6).write.parquet(f"{tmp_path}/orders.parquet")
